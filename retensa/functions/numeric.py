@@ -52,18 +52,16 @@ def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column,
     return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
 
 
-def skew_bias_corrected(n: Column, m2: Column, m3: Column) -> Column:
-    """Adjusted Fisher-Pearson skewness (pandas .skew()) from central moments
-    m2 = sum((x-mean)^2)/n, m3 = sum((x-mean)^3)/n."""
-    g1 = m3 / F.pow(m2, 1.5)
-    return F.when((n > 2) & (m2 > 0), g1 * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def kurt_bias_corrected(n: Column, m2: Column, m4: Column) -> Column:
-    """Excess kurtosis with the sample correction used by pandas .kurt()."""
-    g2 = m4 / (m2 * m2) - 3.0
-    return F.when((n > 3) & (m2 > 0),
-                  (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6.0))
+def skew_bias_corrected(n: Column, g1: Column) -> Column:
+    """Adjusted Fisher-Pearson skewness (pandas .skew()) from the population
+    skewness g1 that Spark's ``skewness`` returns (trap T4)."""
+    return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def kurt_bias_corrected(n: Column, g2: Column) -> Column:
+    """Sample excess kurtosis (pandas .kurt()) from Spark's population excess
+    kurtosis g2."""
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6.0))
 
 
 def round_half_up(c: Column, digits: int) -> Column:

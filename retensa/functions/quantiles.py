@@ -58,3 +58,28 @@ def exact_quantiles(df: DataFrame, col: Column | str, probs: list[float],
 
 def exact_median(df: DataFrame, col: Column | str) -> float | None:
     return exact_quantiles(df, col, [0.5])[0]
+
+
+def quantiles_many(df: DataFrame, cols: dict[str, Column], probs: list[float],
+                   distinct_limit: int = DISTINCT_LIMIT) -> dict[str, list[float | None]]:
+    """Exact quantiles for many columns: one HyperLogLog pass decides the
+    method per column, then one ``percentile`` aggregate serves every
+    low-cardinality column; high-cardinality columns take the sorted path."""
+    if not cols:
+        return {}
+    names = list(cols)
+    st = df.agg(*[F.approx_count_distinct(cols[c]).alias(f"d{i}")
+                  for i, c in enumerate(names)]).first()
+    small = [c for i, c in enumerate(names) if (st[f"d{i}"] or 0) <= distinct_limit]
+    out: dict[str, list[float | None]] = {}
+    if small:
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        r = df.agg(*[F.percentile(cols[c].cast("double"), arr).alias(f"q{i}")
+                     for i, c in enumerate(small)]).first()
+        for i, c in enumerate(small):
+            v = r[f"q{i}"]
+            out[c] = [float(x) for x in v] if v is not None else [None] * len(probs)
+    for c in names:
+        if c not in out:
+            out[c] = exact_quantiles(df, cols[c], probs, distinct_limit)
+    return out

@@ -1,3 +1,3 @@
 """Importing this module registers every query of the catalogue."""
 
-from . import rfm_queries  # noqa: F401
+from . import quality_queries, rfm_queries  # noqa: F401

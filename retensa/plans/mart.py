@@ -193,3 +193,61 @@ event_mart AS (
          CAST(COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS total_value,
          CAST(date_diff('day', MAX(CAST(ts AS DATE)), DATE '{EVENT_REF_DATE}') AS INTEGER) AS days_since_last_event
   FROM events GROUP BY user_id)"""
+
+
+DIRTY_COLUMNS = ["customer_id", "segment", "nation", "account_balance", "tenure_days",
+                 "days_since_last_order", "order_count", "total_revenue", "avg_order_value",
+                 "monthly_charges", "usage_quantity", "complaint_ratio", "avg_discount",
+                 "urgent_share", "main_priority", "churn", "sparse_score", "constant_flag",
+                 "leak_copy", "leak_inverse", "priority_customer", "balance_text"]
+
+
+def build_mart_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture B2: the mart with defects planted by key arithmetic (no
+    randomness, so Spark and SQL agree): missing balances and segments,
+    infinite discounts, a 70 %-missing column, a constant column, two leak
+    columns, a yes/no text column, numbers stored as text with bad values,
+    and every 13th customer duplicated.  (The key arithmetic defines the
+    fixture; no query filters rows by it.)"""
+    m = build_mart(spark, sf_dir)
+    k = F.col("customer_id")
+    cols = []
+    for c in MART_COLUMNS:
+        if c == "account_balance":
+            cols.append(F.when(k % 7 != 0, F.col(c)).alias(c))
+        elif c == "segment":
+            cols.append(F.when(k % 23 != 0, F.col(c)).alias(c))
+        elif c == "avg_discount":
+            cols.append(F.when(k % 11 == 0, F.lit(float("inf"))).otherwise(F.col(c)).alias(c))
+        else:
+            cols.append(F.col(c))
+    cols += [
+        F.when(k % 10 < 3, F.col("tenure_days") / F.lit(7.0)).alias("sparse_score"),
+        F.lit(1).alias("constant_flag"),
+        F.col("churn").alias("leak_copy"),
+        (F.lit(1) - F.col("churn")).alias("leak_inverse"),
+        F.when(F.col("urgent_share") > F.lit(0.2), "Yes").otherwise("No").alias("priority_customer"),
+        F.when(k % 17 == 0, "n/a").when(k % 19 == 0, "12d")
+        .otherwise(F.col("account_balance").cast("decimal(12,2)").cast("string"))
+        .alias("balance_text"),
+    ]
+    d = m.select(*cols)
+    return d.unionByName(d.filter(k % 13 == 0))
+
+
+MART_DIRTY_SQL = """
+mart_dirty0 AS (
+  SELECT customer_id,
+         CASE WHEN customer_id % 23 <> 0 THEN segment END AS segment, nation,
+         CASE WHEN customer_id % 7 <> 0 THEN account_balance END AS account_balance,
+         tenure_days, days_since_last_order, order_count, total_revenue, avg_order_value,
+         monthly_charges, usage_quantity, complaint_ratio,
+         CASE WHEN customer_id % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE avg_discount END AS avg_discount,
+         urgent_share, main_priority, churn,
+         CASE WHEN customer_id % 10 < 3 THEN tenure_days / CAST(7.0 AS DOUBLE) END AS sparse_score,
+         1 AS constant_flag, churn AS leak_copy, 1 - churn AS leak_inverse,
+         CASE WHEN urgent_share > CAST(0.2 AS DOUBLE) THEN 'Yes' ELSE 'No' END AS priority_customer,
+         CASE WHEN customer_id % 17 = 0 THEN 'n/a' WHEN customer_id % 19 = 0 THEN '12d'
+              ELSE CAST(CAST(account_balance AS DECIMAL(12,2)) AS VARCHAR) END AS balance_text
+  FROM mart),
+mart_dirty AS (SELECT * FROM mart_dirty0 UNION ALL SELECT * FROM mart_dirty0 WHERE customer_id % 13 = 0)"""

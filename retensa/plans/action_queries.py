@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import sql_round_half_up as rhu
 from ..operators import actions as A
 from ..operators import explain as X
-from .mart import MART_COLUMNS
+from .mart import MART_COLUMNS, cached
 from .registry import register
 from .scored import (CATEGORY_COLUMNS, DUMMY_WEIGHTS, INTERCEPT, NUMERIC_WEIGHTS, SCORED_SQL,
                      build_scored, dummy_name, prob_sql, scorecard)
@@ -76,9 +76,13 @@ def scenario_table(spark, sf_dir):
 
 
 def value_table(spark, sf_dir):
-    s, sc = scenario_table(spark, sf_dir)
-    card = scorecard(spark, sf_dir)
-    return A.action_values(sc, s, KEY, card.prob, INPUTS, NUMERIC)
+    """Priced scenarios for every customer; persisted once per application
+    because the policy evaluations all start from it."""
+    def build():
+        s, sc = scenario_table(spark, sf_dir)
+        card = scorecard(spark, sf_dir)
+        return A.action_values(sc, s, KEY, card.prob, INPUTS, NUMERIC)
+    return cached(spark, ("action_values", sf_dir), build)
 
 
 # ------------------------------------------------------------------ SQL side
@@ -285,8 +289,14 @@ SELECT {KEY}, (SELECT p2.base_feature FROM pos p2 WHERE p2.{KEY} = pos.{KEY}
                ORDER BY p2.contribution DESC, p2.base_feature DESC LIMIT 1) AS top_feature,
        SUM(contribution) AS signal_sum, COUNT(*) AS n_drivers FROM pos GROUP BY {KEY}""")
 def q_actionable_signal(spark, sf_dir):
-    roll = X.rollup(linear_attribution(spark, sf_dir), KEY, LINEAGE)
-    return X.actionable_signal(roll, KEY, ACTIONABLE)
+    return signal_table(spark, sf_dir).drop("top_value")
+
+
+def signal_table(spark, sf_dir):
+    def build():
+        roll = X.rollup(linear_attribution(spark, sf_dir), KEY, LINEAGE)
+        return X.actionable_signal(roll, KEY, ACTIONABLE)
+    return cached(spark, ("signal", sf_dir), build)
 
 
 @register("attribution_permutation")

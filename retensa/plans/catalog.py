@@ -1,3 +1,4 @@
 """Importing this module registers every query of the catalogue."""
 
-from . import action_queries, metric_queries, quality_queries, rfm_queries  # noqa: F401
+from . import (action_queries, metric_queries, policy_queries, quality_queries,  # noqa: F401
+               rfm_queries)

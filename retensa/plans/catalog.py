@@ -1,4 +1,4 @@
 """Importing this module registers every query of the catalogue."""
 
-from . import (action_queries, metric_queries, policy_queries, quality_queries,  # noqa: F401
-               rfm_queries)
+from . import (action_queries, label_queries, metric_queries, policy_queries,  # noqa: F401
+               quality_queries, rfm_queries, sim_queries)

@@ -39,3 +39,8 @@ def quintile_score(name: str, expr: str, reverse: bool) -> str:
     if reverse:
         raw = f"(6 - {raw})"
     return f"CAST(COALESCE({raw}, 3) AS INTEGER)"
+
+
+def sql_str(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"

@@ -1,4 +1,5 @@
 """Importing this module registers every query of the catalogue."""
 
-from . import (action_queries, label_queries, metric_queries, misc_queries,  # noqa: F401
-               model_queries, policy_queries, quality_queries, rfm_queries, sim_queries)
+from . import (action_queries, io_queries, label_queries, metric_queries,  # noqa: F401
+               misc_queries, model_queries, policy_queries, quality_queries, rfm_queries,
+               sim_queries)

@@ -14,18 +14,27 @@ from .sqlgen import d, quintile_ctes, quintile_score
 SEG_ARRAY_SQL = "['At_Risk', 'Developing', 'Established', 'Champions']"
 
 
-def _rfm_sql(table: str, key: str, m: str, f: str, r: str, r_reverse: bool, keep: str = "") -> str:
-    """CTEs up to ``comp`` (scores + composite) for fixed M/F/R columns."""
+def _rfm_sql(table: str, key: str, m: str, f: str, r: str, r_reverse: bool, keep: str = "",
+             check_r: bool = False) -> str:
+    """CTEs up to ``seg`` (scores, composite, segment) for fixed M/F/R columns.
+    With ``check_r`` the recency column is used only when it has more than two
+    distinct values and a positive spread (the column-choice rule)."""
+    has_r = (f"(SELECT COUNT(DISTINCT {r}) > 2 AND STDDEV_SAMP({r}) > {d(1e-9)} FROM {table})"
+             if check_r else "TRUE")
+    comp_r = (f"((rfm_monetary_score * {d(0.4)} + rfm_frequency_score * {d(0.3)})"
+              f" + rfm_recency_score * {d(0.3)}) / {d(1.0)}")
+    comp_nr = f"(rfm_monetary_score * {d(0.4)} + rfm_frequency_score * {d(0.3)}) / {d(0.4 + 0.3)}"
     return f"""{quintile_ctes('qm', table, m)},
 {quintile_ctes('qf', table, f)},
 {quintile_ctes('qr', table, r)},
+hr AS (SELECT {has_r} AS has_r),
 sc AS (SELECT {key}{keep},
     CAST({m} AS DOUBLE) AS rfm_monetary_value, {quintile_score('qm', m, False)} AS rfm_monetary_score,
     CAST({f} AS DOUBLE) AS rfm_frequency_value, {quintile_score('qf', f, False)} AS rfm_frequency_score,
-    CAST({r} AS DOUBLE) AS rfm_recency_value, {quintile_score('qr', r, r_reverse)} AS rfm_recency_score
-  FROM {table}, qm_s, qf_s, qr_s),
-comp AS (SELECT *, ((rfm_monetary_score * {d(0.4)} + rfm_frequency_score * {d(0.3)})
-                    + rfm_recency_score * {d(0.3)}) / {d(1.0)} AS rfm_composite_score FROM sc),
+    CASE WHEN has_r THEN CAST({r} AS DOUBLE) END AS rfm_recency_value,
+    CASE WHEN has_r THEN {quintile_score('qr', r, r_reverse)} END AS rfm_recency_score, has_r
+  FROM {table}, qm_s, qf_s, qr_s, hr),
+comp AS (SELECT * EXCLUDE (has_r), CASE WHEN has_r THEN {comp_r} ELSE {comp_nr} END AS rfm_composite_score FROM sc),
 seg AS (SELECT *, {SEG_ARRAY_SQL}[CASE WHEN n <= 1 THEN 2
                    ELSE GREATEST((4 * (rfm_rank - 1) + n - 2) // (n - 1), 1) END] AS rfm_segment
         FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY rfm_composite_score, {key}) AS rfm_rank,
@@ -35,7 +44,7 @@ seg AS (SELECT *, {SEG_ARRAY_SQL}[CASE WHEN n <= 1 THEN 2
 MART_RFM_SQL = _rfm_sql("mart", "customer_id", "total_revenue", "order_count",
                         "days_since_last_order", True, keep=", churn")
 EVENT_RFM_SQL = _rfm_sql("event_mart", "user_id", "total_value", "purchase_count",
-                         "days_since_last_event", True)
+                         "days_since_last_event", True, check_r=True)
 
 SCORE_COLS = ("rfm_monetary_value, rfm_monetary_score, rfm_frequency_value, "
               "rfm_frequency_score, rfm_recency_value, rfm_recency_score, rfm_composite_score")
@@ -116,8 +125,15 @@ SELECT user_id, {SCORE_COLS}, rfm_segment FROM seg""")
 def q_rfm_events(spark, sf_dir):
     em = build_event_mart(spark, sf_dir)
     sc = rfm.rfm_scores(em, "user_id")
-    return rfm.rfm_segments(sc, "user_id").select(
-        "user_id", *[c.strip() for c in SCORE_COLS.split(",")], "rfm_segment")
+    seg = rfm.rfm_segments(sc, "user_id")
+    # stable schema: a dimension the column choice rejected comes out as nulls
+    types = {"value": "double", "score": "int"}
+    for dim in ("monetary", "frequency", "recency"):
+        for part, t in types.items():
+            c = f"rfm_{dim}_{part}"
+            if c not in seg.columns:
+                seg = seg.withColumn(c, F.lit(None).cast(t))
+    return seg.select("user_id", *[c.strip() for c in SCORE_COLS.split(",")], "rfm_segment")
 
 
 @register("rfm_column_choice", """SELECT * FROM (VALUES ('monetary', 'total_revenue'),

@@ -14,7 +14,7 @@ from retensa.sources import sinks
 from retensa.streaming.events import daily_rfm_inputs, run_to_parquet
 from retensa.streaming.scoring import score_new_files
 
-SF_SMALL = "/root/testdata/sf0.001"
+from .conftest import SF_SMALL
 
 FEATS = ["tenure_days", "days_since_last_order", "order_count", "total_revenue"]
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import (corr_from_sums, finite_or_null, kurt_bias_corrected, q,
-                                 skew_bias_corrected, to_double)
+                                 round_half_up, skew_bias_corrected, to_double)
 from ..functions.quantiles import quantiles_many
 from .schema import is_numeric_type
 
@@ -91,8 +91,11 @@ def profile_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
                   F.count_if(v.isNull()).alias(f"miss{i}"), F.min(v).alias(f"min{i}"),
                   F.max(v).alias(f"max{i}"), n.alias(f"cnt{i}"),
                   F.count_distinct(v).alias(f"nd{i}"),
-                  skew_bias_corrected(n.cast("double"), F.skewness(v)).alias(f"sk{i}"),
-                  kurt_bias_corrected(n.cast("double"), F.kurtosis(v)).alias(f"ku{i}")]
+                  # rounded to 10 places: a symmetric column is 0, not +-1e-16
+                  round_half_up(skew_bias_corrected(n.cast("double"), F.skewness(v)), 10)
+                  .alias(f"sk{i}"),
+                  round_half_up(kurt_bias_corrected(n.cast("double"), F.kurtosis(v)), 10)
+                  .alias(f"ku{i}")]
     wide = df.agg(*exprs)
     qs = quantiles_many(df, {c: numeric_view(df, c) for c in cols}, [0.25, 0.5, 0.75])
     wide = wide.select("*", *[F.lit(qs[c][k]).cast("double").alias(f"{p}{i}")

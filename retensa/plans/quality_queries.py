@@ -10,6 +10,7 @@ from ..operators import features, quality, schema, target
 from .mart import DIRTY_COLUMNS, MART_COLUMNS, MART_DIRTY_SQL, MART_SQL, build_mart, build_mart_dirty
 from .registry import register
 from .sqlgen import d
+from ..functions.numeric import sql_round_half_up as rhu
 
 MART_NUMERIC = ["customer_id", "account_balance", "tenure_days", "days_since_last_order",
                 "order_count", "total_revenue", "avg_order_value", "monthly_charges",
@@ -57,7 +58,8 @@ def _profile_numeric_sql():
             f"quantile_cont({x}, 0.5) AS median, STDDEV_SAMP({x}) AS std, "
             f"COUNT(*) - COUNT({x}) AS missing, MIN({x}) AS min, MAX({x}) AS max, "
             f"quantile_cont({x}, 0.25) AS p25, quantile_cont({x}, 0.75) AS p75, "
-            f"SKEWNESS({x}) AS skew, KURTOSIS({x}) AS kurtosis, COUNT({x}) AS count, "
+            f"{rhu(f'SKEWNESS({x})', 10)} AS skew, {rhu(f'KURTOSIS({x})', 10)} AS kurtosis, "
+            f"COUNT({x}) AS count, "
             f"COUNT(DISTINCT {x}) AS n_distinct FROM mart")
     return f"WITH {MART_SQL}\n" + "\nUNION ALL ".join(parts)
 

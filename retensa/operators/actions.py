@@ -274,7 +274,8 @@ def action_values(sc: DataFrame, scored: DataFrame, key: str,
              * fexec[F.col("base_feature")])
     c_ = cost[F.col("base_feature")]
     return x.select(
-        key, "base_feature", "driver_rank", "scenario_order", "scenario_name", "new_value_num",
+        key, "base_feature", "driver_rank", "scenario_order", "scenario_name", "current_num",
+        "current_text", "new_value_num",
         "new_value_text", round_half_up(F.col("_new"), 6).alias("predicted_churn_prob"),
         round_half_up(F.col("_orig"), 6).alias("original_churn_prob"),
         round_half_up(F.col("_red"), 6).alias("prob_reduction"),
@@ -324,3 +325,18 @@ def value_tier(df: DataFrame, prob: Column) -> DataFrame:
         .otherwise("Automated touchpoint")
     return df.select("*", score.alias("value_score"), tier.alias("value_tier"),
                      urgency.alias("urgency"), invest.alias("investment"))
+
+
+def action_text(top: DataFrame) -> DataFrame:
+    """Rule text of an action and its impact line (AC8)."""
+    num = F.col("new_value_num").isNotNull()
+    desc = F.when(num, F.format_string("Change %s from %.2f to %.2f", F.col("base_feature"),
+                                       round_half_up(F.col("current_num"), 2),
+                                       round_half_up(F.col("new_value_num"), 2))) \
+        .otherwise(F.format_string("Change %s from '%s' to '%s'", F.col("base_feature"),
+                                   F.col("current_text"), F.col("new_value_text")))
+    impact = F.format_string("Reduces churn risk from %.1f%% to %.1f%%",
+                             round_half_up(F.col("original_churn_prob") * 100, 1),
+                             round_half_up(F.col("predicted_churn_prob") * 100, 1))
+    return top.select(top.columns[0], "action_rank", desc.alias("description"),
+                      impact.alias("impact"))

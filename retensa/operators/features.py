@@ -94,6 +94,11 @@ def apply_imputer(df: DataFrame, fit: dict) -> DataFrame:
     return df.select(*out)
 
 
+def standardize_text(c):
+    """Category text: trim, whitespace runs -> '_' (PRJ9)."""
+    return F.regexp_replace(F.trim(c), r"\s+", "_")
+
+
 def fit_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
     """Sorted distinct levels per column; the level count is checked."""
     longf = df.select(F.explode(F.array(*[

@@ -229,7 +229,8 @@ def _values_sql():
                 {fscore} AS feasibility_score, {fexec} AS ex_, {cost} AS cost_
          FROM scen JOIN scored USING ({KEY}), sc_stats),
 av1 AS (SELECT *, GREATEST({d(0.0)}, op_ - np_) AS red_ FROM av0),
-av AS (SELECT {KEY}, base_feature, driver_rank, scenario_order, scenario_name, new_value_num, new_value_text,
+av AS (SELECT {KEY}, base_feature, driver_rank, scenario_order, scenario_name, current_num, current_text,
+         new_value_num, new_value_text,
          {rhu('np_', 6)} AS predicted_churn_prob, {rhu('op_', 6)} AS original_churn_prob,
          {rhu('red_', 6)} AS prob_reduction, feasibility_score, {rhu('cost_', 2)} AS implementation_cost,
          {rhu('clv_', 2)} AS customer_clv, {rhu(f'red_ * clv_ * {d(A.MARGIN_RATE)} * ex_', 2)} AS value_saved,
@@ -244,7 +245,8 @@ top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY
 
 
 PIPE = f"{WS}, {BG_SQL}, {LOW_SQL}, {_prof_sql()}, {LEVELS_SQL}, {_drivers_sql()}"
-VALUE_COLS = ("customer_id, base_feature, driver_rank, scenario_order, scenario_name, new_value_num, "
+VALUE_COLS = ("customer_id, base_feature, driver_rank, scenario_order, scenario_name, current_num, "
+              "current_text, new_value_num, "
               "new_value_text, predicted_churn_prob, original_churn_prob, prob_reduction, "
               "feasibility_score, implementation_cost, customer_clv, value_saved, roi_ratio, net_benefit")
 
@@ -399,3 +401,18 @@ def q_value_tier(spark, sf_dir):
     s = build_scored(spark, sf_dir)
     return A.value_tier(s, F.col("score")).select(KEY, "value_score", "value_tier", "urgency",
                                                   "investment")
+
+
+ACTION_TEXT_SQL = (
+    f"{ACTIONS_SQL}\nSELECT {KEY}, CAST(action_rank AS INTEGER) AS action_rank, "
+    "CASE WHEN new_value_num IS NOT NULL THEN printf('Change %s from %.2f to %.2f', base_feature, "
+    f"{rhu('current_num', 2)}, {rhu('new_value_num', 2)}) "
+    "ELSE printf('Change %s from ''%s'' to ''%s''', base_feature, current_text, new_value_text) "
+    "END AS description, printf('Reduces churn risk from %.1f%% to %.1f%%', "
+    f"{rhu('original_churn_prob * 100', 1)}, {rhu('predicted_churn_prob * 100', 1)}) AS impact "
+    "FROM top")
+
+
+@register("action_text", ACTION_TEXT_SQL)
+def q_action_text(spark, sf_dir):
+    return A.action_text(A.top_actions(A.dedupe_actions(value_table(spark, sf_dir), KEY), KEY))

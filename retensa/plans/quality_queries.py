@@ -242,10 +242,16 @@ MART_SPLIT_SQL = f"""sp AS (SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY
                     COUNT(*) OVER (PARTITION BY churn) AS n_c FROM mart) t)"""
 
 
+def _std(c):
+    return f"regexp_replace(trim({c}), '\\s+', '_', 'g')"
+
+
 def _onehot_sql():
-    cols = [f"CAST(COALESCE(segment = '{v}', FALSE) AS INTEGER) AS \"segment_{v}\"" for v in SEG_LEVELS[1:]]
-    cols += [f"CAST(COALESCE(main_priority = '{v}', FALSE) AS INTEGER) AS \"main_priority_{v}\""
-             for v in PRI_LEVELS[1:]]
+    std = [v.replace(" ", "_") for v in PRI_LEVELS]
+    cols = [f"CAST(COALESCE({_std('segment')} = '{v}', FALSE) AS INTEGER) AS \"segment_{v}\""
+            for v in SEG_LEVELS[1:]]
+    cols += [f"CAST(COALESCE({_std('main_priority')} = '{v}', FALSE) AS INTEGER) AS \"main_priority_{v}\""
+             for v in std[1:]]
     return f"WITH {MART_SQL}, {MART_SPLIT_SQL}\nSELECT customer_id, split, {', '.join(cols)} FROM sp"
 
 
@@ -256,6 +262,7 @@ def mart_split(spark, sf_dir):
 @register("one_hot_align", _onehot_sql())
 def q_one_hot_align(spark, sf_dir):
     sp = mart_split(spark, sf_dir)
+    sp = sp.withColumns({c: features.standardize_text(F.col(c)) for c in ("segment", "main_priority")})
     lv = features.fit_levels(sp.where(F.col("split") == "train"), ["segment", "main_priority"])
     return features.one_hot(sp, lv, keep=["customer_id", "split"])
 
@@ -500,3 +507,57 @@ def q_multicollinear_drop(spark, sf_dir):
     prof = candidate_profile(train, num)
     cols = [c for c in num if prof[c]["unique_gt2"]]
     return multicollinear_report(train, cols)
+
+
+# ---------------------------------------------------------------- more cleaning / target
+@register("near_zero_variance", f"""{W}, {MODEL_FRAME_SQL}
+""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, VAR_SAMP(CAST({c} AS DOUBLE)) AS variance, "
+    f"COALESCE(VAR_SAMP(CAST({c} AS DOUBLE)) <= {d(1e-8)}, FALSE) AS low_variance FROM mf"
+    for c in LEAK_NUM_COLS))
+def q_near_zero_variance(spark, sf_dir):
+    """Sample variance of every numeric feature; <= 1e-8 is dropped (DQ4)."""
+    mf = model_frame(spark, sf_dir)
+    r = mf.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in LEAK_NUM_COLS]).first()
+    low = set(quality.near_zero_variance(mf, LEAK_NUM_COLS))
+    return spark.createDataFrame([(c, r[c], c in low) for c in LEAK_NUM_COLS],
+                                 "column_name string, variance double, low_variance boolean")
+
+
+def _conv_sql():
+    from ..functions.numeric import NUMERIC_TEXT
+    text = ["segment", "nation", "main_priority", "priority_customer", "balance_text"]
+    return f"{W}\n" + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COALESCE(BOOL_AND(COALESCE(regexp_matches({c}, '{NUMERIC_TEXT}'), "
+        f"{c} IS NULL)), TRUE) AS converted FROM mart_dirty" for c in text)
+
+
+@register("convert_numeric_text", _conv_sql())
+def q_convert_numeric_text(spark, sf_dir):
+    """Text columns become numbers only when every value is numeric text (DQ8)."""
+    md = build_mart_dirty(spark, sf_dir)
+    out = quality.convert_numeric_text(md)
+    return spark.createDataFrame(
+        [(f.name, out.schema[f.name].dataType.simpleString() == "double")
+         for f in md.schema.fields if f.dataType.simpleString() == "string"],
+        "column_name string, converted boolean")
+
+
+@register("clean_dataset", f"""{W}, {MODEL_FRAME_SQL}
+SELECT * EXCLUDE (leak_copy, leak_inverse) FROM mf""")
+def q_clean_dataset(spark, sf_dir):
+    """The model frame without the columns the leak engine flags (DQ17)."""
+    mf = model_frame(spark, sf_dir)
+    leaked = [r["column_name"] for r in leak_numeric_frame(mf).where("is_leak").collect()]
+    return mf.drop(*leaked)
+
+
+@register("validation_target", f"""WITH {MART_SQL}
+SELECT customer_id, CASE WHEN lower(trim(raw_label)) IN ({', '.join(repr(x) for x in target.VALIDATION_POSITIVE)}) THEN 1
+                         WHEN lower(trim(raw_label)) IN ({', '.join(repr(x) for x in target.VALIDATION_NEGATIVE)}) THEN 0 END AS y
+FROM (SELECT customer_id, CASE WHEN churn = 1 THEN ' Churned' ELSE 'stayed ' END AS raw_label FROM mart) t""")
+def q_validation_target(spark, sf_dir):
+    """Validation-engine target coercion: numbers, else token lists, nulls to
+    the mode, more than two values split at the median (DQ22)."""
+    lab = _labelled(spark, sf_dir, " Churned", "stayed ")
+    return target.validation_target(lab, "raw_label").select("customer_id", F.col("_y").alias("y"))

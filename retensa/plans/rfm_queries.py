@@ -140,3 +140,12 @@ def q_rfm_events(spark, sf_dir):
   ('frequency', 'order_count'), ('recency', 'days_since_last_order')) t(dimension, column_name)""")
 def q_rfm_column_choice(spark, sf_dir):
     return rfm.column_choice_frame(build_mart(spark, sf_dir), target="churn")
+
+
+@register("rfm_summary", """SELECT * FROM (VALUES ('monetary', 'total_revenue', TRUE, FALSE, 1.0::DOUBLE),
+  ('frequency', 'order_count', TRUE, FALSE, 1.0::DOUBLE),
+  ('recency', 'days_since_last_order', TRUE, TRUE, 1.0::DOUBLE))
+  t(dimension, source_column, detected, reverse, coverage)""")
+def q_rfm_summary(spark, sf_dir):
+    """Sources, detected dimensions, direction and coverage = found / 3 (RF5)."""
+    return rfm.rfm_summary(spark, rfm.fit_rfm(build_mart(spark, sf_dir), target="churn"))

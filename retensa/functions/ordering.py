@@ -13,8 +13,9 @@ helpers here get exact global running sums / row numbers the distributed way:
 4. one total per range (P rows, P = number of ranges), turned into offsets
    and broadcast back — its size is P, fixed by us, not by the data.
 
-For inputs whose size is bounded by construction (for example one row per
-distinct 1-5 score combination) ``small=True`` uses a plain window instead.
+Below ``SINGLE_TASK_ROWS`` rows (counted first, a cheap aggregate) a plain
+ordered window is used: one task sorting at most that many rows is cheaper
+than range sampling plus a checkpoint.  Above it the distributed path runs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 
+SINGLE_TASK_ROWS = 1_000_000
+
 
 def _order_exprs(order: list[str], descending: list[bool] | bool) -> list[Column]:
     if isinstance(descending, bool):
@@ -36,14 +39,17 @@ def _order_exprs(order: list[str], descending: list[bool] | bool) -> list[Column
 
 
 def ordered_cumsum(df: DataFrame, order: list[str], sums: dict[str, str],
-                   descending: list[bool] | bool = False, small: bool = False,
+                   descending: list[bool] | bool = False, small: bool | None = None,
                    partitions: int | None = None) -> DataFrame:
     """Inclusive running sums in a total order.
 
     ``sums`` maps output column -> input column.  The order must be total
-    (unique) for the running sums to be deterministic.
+    (unique) for the running sums to be deterministic.  ``small=None`` decides
+    by a row count against ``SINGLE_TASK_ROWS``.
     """
     oexprs = _order_exprs(order, descending)
+    if small is None:
+        small = df.count() <= SINGLE_TASK_ROWS
     if small:
         w = Window.orderBy(*oexprs).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: F.sum(F.col(f"`{i}`")).over(w) for o, i in sums.items()})
@@ -70,7 +76,8 @@ def ordered_cumsum(df: DataFrame, order: list[str], sums: dict[str, str],
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str = "row_num",
-                      descending: list[bool] | bool = False, small: bool = False) -> DataFrame:
+                      descending: list[bool] | bool = False,
+                      small: bool | None = None) -> DataFrame:
     """1-based row number in a total order (include a unique key in ``order``)."""
     one = "_one_for_rownum"
     out = ordered_cumsum(df.withColumn(one, F.lit(1).cast("long")), order, {name: one},

@@ -49,7 +49,7 @@ def test_bias_corrected_moments_match_pandas(spark):
 def test_ordered_cumsum_distributed_equals_window(spark):
     df = spark.range(0, 5000).select((F.col("id") % 97).alias("g"), F.col("id").alias("k"),
                                      (F.col("id") % 7).alias("v"))
-    got = ordered_cumsum(df, ["g", "k"], {"c": "v"}, partitions=6).select("k", "c")
+    got = ordered_cumsum(df, ["g", "k"], {"c": "v"}, partitions=6, small=False).select("k", "c")
     w = Window.orderBy("g", "k").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.select("k", F.sum("v").over(w).alias("c"))
     assert sorted(got.collect()) == sorted(exp.collect())
@@ -58,7 +58,8 @@ def test_ordered_cumsum_distributed_equals_window(spark):
 def test_global_row_number_descending(spark):
     df = spark.createDataFrame([(i, float(i % 3)) for i in range(50)], "k long, s double")
     got = {r["k"]: r["rn"] for r in
-           global_row_number(df, ["s", "k"], "rn", descending=[True, False]).collect()}
+           global_row_number(df, ["s", "k"], "rn", descending=[True, False],
+                             small=False).collect()}
     exp = sorted(range(50), key=lambda i: (-(i % 3), i))
     assert [got[k] for k in exp] == list(range(1, 51))
 
@@ -69,6 +70,13 @@ def test_exact_quantiles_sorted_path_equals_numpy(spark):
     probs = [0.0, 0.2, 0.25, 0.5, 0.8, 1.0]
     fast = exact_quantiles(df, "v", probs)
     slow = exact_quantiles(df, "v", probs, distinct_limit=0)   # forces the sorted path
+    from retensa.functions import ordering
+    old, ordering.SINGLE_TASK_ROWS = ordering.SINGLE_TASK_ROWS, 0   # and the range path
+    try:
+        slow2 = exact_quantiles(df, "v", probs, distinct_limit=0)
+    finally:
+        ordering.SINGLE_TASK_ROWS = old
+    assert slow2 == pytest.approx(list(np.quantile(vals, probs)))
     exp = np.quantile(vals, probs)
     assert fast == pytest.approx(list(exp))
     assert slow == pytest.approx(list(exp))

@@ -13,9 +13,11 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -161,6 +163,9 @@ def kmeans_labels(df: DataFrame, key: str, cols: list[str], k: int = N_CLUSTERS,
 
 
 # ---------------------------------------------------------------- isolation forest
+# the tree builder and scorer run in Python workers: ship this module's code
+# with them (by value) so workers need no copy of the package on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def _c(n: float) -> float:
     if n <= 1:
         return 0.0

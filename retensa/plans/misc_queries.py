@@ -7,7 +7,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import q
-from ..functions.ordering import global_row_number
 from ..functions.quantiles import quantiles_many
 from ..operators import actions as A
 from ..operators import explain as X

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import sql_round_half_up as rhu
 from ..operators import simulate as SIM
-from .action_queries import ATTR_SQL, BG_SQL, KEY, _background, _terms
+from .action_queries import ATTR_SQL, BG_SQL, KEY, _terms
 from .mart import cached
 from .registry import register
 from .scored import CATEGORY_COLUMNS, DUMMY_WEIGHTS, NUMERIC_WEIGHTS, SCORED_SQL, dummy_name, logit_sql

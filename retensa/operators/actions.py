@@ -125,10 +125,18 @@ def ordered_levels(df: DataFrame, col: str) -> list[str]:
 
 def fit_low_risk_profile(scored: DataFrame, key: str, numeric: list[str],
                          categorical: list[str], score: str = "score") -> LowRiskProfile:
-    low, low_n = low_risk_set(scored, key, score)
+    """One ranked frame, then three fused passes: quantiles of every numeric
+    column over all rows and over the low-risk rows (conditional columns in
+    one aggregate), the scalar statistics, and the level counts of every
+    categorical column for both populations (one grouped pass)."""
+    n = scored.count()
+    low_n = min(n, max(LOW_RISK_MIN, int(n * LOW_RISK_SHARE)))
+    ranked = global_row_number(scored, [score, key], "_risk_rank")
+    is_low = F.col("_risk_rank") <= F.lit(low_n)
     prof = LowRiskProfile(low_n=low_n)
-    allq = quantiles_many(scored, {c: q(c).cast("double") for c in numeric}, [0.35, 0.5, 0.65])
-    lowq = quantiles_many(low, {c: q(c).cast("double") for c in numeric}, [0.5])
+    exprs = {c: q(c).cast("double") for c in numeric}
+    exprs.update({f"__low__{c}": F.when(is_low, q(c).cast("double")) for c in numeric})
+    qs = quantiles_many(ranked, exprs, [0.35, 0.5, 0.65])
     st = scored.agg(*[F.stddev_samp(c).alias(f"sd_{c}") for c in numeric],
                     *[F.min(c).alias(f"lo_{c}") for c in numeric],
                     *[F.max(c).alias(f"hi_{c}") for c in numeric],
@@ -137,22 +145,44 @@ def fit_low_risk_profile(scored: DataFrame, key: str, numeric: list[str],
                     *[F.bool_and(q(c).isNull() | q(c).isin(0, 1)).alias(f"bin_{c}")
                       for c in numeric]).first()
     for c in numeric:
-        med_low = lowq[c][0] if lowq[c][0] is not None else allq[c][1]
+        low_med = qs[f"__low__{c}"][1]
         sd = st[f"sd_{c}"]
         prof.numeric[c] = {
-            "low_median": med_low, "std": sd,
+            "low_median": low_med if low_med is not None else qs[c][1], "std": sd,
             "scale": sd if sd is not None and sd > 1e-9 else 1.0,
             "min": float(st[f"lo_{c}"]), "max": float(st[f"hi_{c}"]),
             "valid": int(st[f"n_{c}"]), "share": float(st[f"sh_{c}"]),
-            "binary": bool(st[f"bin_{c}"]), "q35": allq[c][0], "q50": allq[c][1],
-            "q65": allq[c][2]}
-    for c in categorical:
-        lo, al = ordered_levels(low, c), ordered_levels(scored, c)
-        prof.categorical[c] = {"low_order": lo, "global_order": al,
-                               "low_mode": lo[0] if lo else None}
+            "binary": bool(st[f"bin_{c}"]), "q35": qs[c][0], "q50": qs[c][1],
+            "q65": qs[c][2]}
+    if categorical:
+        counts = level_counts(ranked, categorical, is_low)
+        for c in categorical:
+            rows = counts.get(c, [])
+            al = [v for v, _, _ in sorted(rows, key=lambda t: (-t[1], t[0]))]
+            lo = [v for v, _, lw in sorted(rows, key=lambda t: (-t[2], t[0])) if lw > 0]
+            prof.categorical[c] = {"low_order": lo, "global_order": al,
+                                   "low_mode": lo[0] if lo else None}
     return prof
 
 
+def level_counts(df: DataFrame, cols: list[str], flag: Column) -> dict[str, list]:
+    """(level, rows, flagged rows) per column in one grouped pass; the number
+    of levels is checked before anything reaches the driver."""
+    longf = df.select(flag.alias("_f"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"),
+                 F.coalesce(q(c).cast("string"), F.lit("None")).alias("level"))
+        for c in cols])).alias("kv")).select("kv.*", "_f")
+    g = longf.groupBy("column_name", "level").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.count_if("_f").alias("n_flag"))
+    rows = g.limit(MAX_LEVELS * len(cols) + 1).collect()
+    if len(rows) > MAX_LEVELS * len(cols):
+        raise ValueError("too many category levels")
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(r["column_name"], []).append((r["level"], r["n"], r["n_flag"]))
+    return out
+
+
 def profile_frame(spark, prof: LowRiskProfile) -> DataFrame:
     rows = [(c, "numeric", p["low_median"], None, p["std"], p["min"], p["max"], p["valid"])
             for c, p in prof.numeric.items()]

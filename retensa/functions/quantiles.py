@@ -22,7 +22,9 @@ DISTINCT_LIMIT = 200_000
 
 
 def exact_quantiles(df: DataFrame, col: Column | str, probs: list[float],
-                    distinct_limit: int = DISTINCT_LIMIT) -> list[float | None]:
+                    distinct_limit: int | None = None) -> list[float | None]:
+    if distinct_limit is None:
+        distinct_limit = DISTINCT_LIMIT
     c = F.col(f"`{col}`") if isinstance(col, str) else col
     v = df.select(c.cast("double").alias("v")).where(F.col("v").isNotNull())
     st = v.agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).first()
@@ -61,12 +63,14 @@ def exact_median(df: DataFrame, col: Column | str) -> float | None:
 
 
 def quantiles_many(df: DataFrame, cols: dict[str, Column], probs: list[float],
-                   distinct_limit: int = DISTINCT_LIMIT) -> dict[str, list[float | None]]:
+                   distinct_limit: int | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles for many columns: one HyperLogLog pass decides the
     method per column, then one ``percentile`` aggregate serves every
     low-cardinality column; high-cardinality columns take the sorted path."""
     if not cols:
         return {}
+    if distinct_limit is None:
+        distinct_limit = DISTINCT_LIMIT
     names = list(cols)
     st = df.agg(*[F.approx_count_distinct(cols[c]).alias(f"d{i}")
                   for i, c in enumerate(names)]).first()

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_classifier, quality_rules, token_files
+from . import (byte_bpe, decontaminate, line_dedup, partenum, pii, quality_classifier,
+               quality_rules, sharding, sql, token_files, warc)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,21 +18,41 @@ ORACLE: dict[str, str] = {}
 END_ID = 2
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def add(fn):
         QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
+        if oracle:
+            ORACLE[fn.__name__] = oracle
         return fn
     return add
 
 
+@query(sql.WARC)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+@query(sql.DECONTAMINATION)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"),
+                                             read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        "contaminated")
+
+
 @query()
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"),
                                read_table(spark, sf_dir, "labels"))
 
 
+@query()
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 @query()
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(read_table(spark, sf_dir, "documents"),
@@ -50,3 +72,24 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(read_table(spark, sf_dir, "documents"),
                                               read_table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(read_table(spark, sf_dir, "documents"))
+
+
+@query(sql.LINE_DEDUP)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

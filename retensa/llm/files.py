@@ -37,7 +37,7 @@ class Folder:
 
     def create(self, name: str):
         self.fs.create_dir(self.path, recursive=True)
-        return self.fs.open_output_stream(f"{self.path}/{name}")
+        return self.fs.open_output_stream(f"{self.path}/{name}", compression=None)
 
     def read(self, name: str, offset: int, length: int) -> bytes:
         file = self.open.pop(name, None) or self.fs.open_input_file(f"{self.path}/{name}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import least_hashed, map_batches, stored
 from .docstats import FIELDS, rates, stats_frame, stats_matrix
 
 
@@ -105,8 +105,8 @@ def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = 20000, trees: in
     """
     known = stats.join(labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "doc_id")
     known = known.where(~is_held_out(F.col("doc_id")))
-    rows = known.orderBy(F.xxhash64("doc_id", *FIELDS), "doc_id", "quality").limit(
-        sample_rows).select("quality", *FIELDS).collect()
+    rows = least_hashed(known, sample_rows, "doc_id", "quality", *FIELDS).select(
+        "quality", *FIELDS).collect()
     table = np.array([list(r) for r in rows], np.int64).reshape(len(rows), len(FIELDS) + 1)
     y = table[:, 0].astype(float)
     if len(np.unique(y)) < 2:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, stored
+from .common import least_hashed, map_batches, stored
 from .docstats import FIELDS, document_stats, rates, stats_frame, stats_matrix
 from .words import utf8_values
 
@@ -131,8 +131,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = 8192, trees: int
     """
     passing = stats.where((F.col("n_words") >= MIN_WORDS) & (
         100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")))
-    draw = passing.orderBy(F.xxhash64("doc_id", *FIELDS), "doc_id").limit(sample_rows)
-    rows = draw.select(*FIELDS).collect()
+    rows = least_hashed(passing, sample_rows, "doc_id", *FIELDS).select(*FIELDS).collect()
     x = rule_values(np.array([list(r) for r in rows], np.int64).reshape(len(rows), len(FIELDS)))
     forest = grow_forest(x, trees, tree_rows, seed)
     if forest is None:

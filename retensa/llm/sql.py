@@ -35,8 +35,8 @@ runs AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS b
         FROM words, sizes WHERE len(w) >= n)),
 hits AS (SELECT doc_id, b, r.n, item_id FROM runs r JOIN windows USING (n, words)),
-covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit
-            FROM (SELECT DISTINCT doc_id, unnest(range(b, b + n)) AS at FROM hits) GROUP BY doc_id),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+            FROM (SELECT DISTINCT doc_id, unnest(range(b, b + n)) AS place FROM hits) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
           FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
@@ -52,7 +52,7 @@ WITH lines AS (
 units AS (
   SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
-         sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS at
+         sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS place
   FROM lines),
 ranked AS (
   SELECT *, len(w) >= 8 AND row_number() OVER (
@@ -60,7 +60,7 @@ ranked AS (
   FROM units),
 made AS (
   SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-         string_agg(at::BIGINT || ':' || (at + length(line))::BIGINT, ',' ORDER BY i)
+         string_agg(place::BIGINT || ':' || (place + length(line))::BIGINT, ',' ORDER BY i)
              FILTER (gone) AS removed,
          string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept
   FROM ranked GROUP BY doc_id)

@@ -38,18 +38,13 @@ def finite_or_null(c: Column) -> Column:
                   F.lit(None).cast("double")).otherwise(c)
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
-def corr_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column,
-                   sxy: Column) -> Column:
-    """Pearson r from raw sums, null when either side is constant (trap T5:
-    ``F.corr`` raises divide-by-zero under ANSI on a constant column)."""
-    cov = sxy - sx * sy / n
-    vx = sxx - sx * sx / n
-    vy = syy - sy * sy / n
-    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson r over the rows where both are present, from merged centred moments
+    (raw sums of squares cancel on large values with a small spread); null when
+    either side is constant (trap T5: ``F.corr`` raises under ANSI)."""
+    both = x.isNotNull() & y.isNotNull()
+    sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))
 
 
 def skew_bias_corrected(n: Column, g1: Column) -> Column:

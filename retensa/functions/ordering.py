@@ -1,85 +1,138 @@
 """Global order without a single-partition window.
 
 ``Window.orderBy`` with no ``partitionBy`` moves every row into one task.  The
-helpers here get exact global running sums / row numbers the distributed way:
-
-1. range-partition on the order key (``repartitionByRange`` samples the key
-   and splits it into contiguous, balanced ranges; a unique tie-breaker in the
-   key lets it split a hot value across tasks),
-2. tag each row with its range id and freeze that assignment with a reliable
-   checkpoint (range bounds come from sampling, so they must not be
-   recomputed after an executor loss),
+helpers here get exact global running sums / row numbers the distributed way, at
+every size:
+
+1. bounds of contiguous ranges are chosen once, from a bounded draw of the order
+   keys (the rows of least key hash, so the draw is the same on every run),
+2. each row finds its range by a binary search over the bounds, written as one
+   expression of literals.  The assignment depends on the row alone, so it may be
+   recomputed after an executor loss and needs no checkpoint; a unique tie-breaker in
+   the order lets a hot value spread over many ranges,
 3. running sums inside each range (a window partitioned by range id),
-4. one total per range (P rows, P = number of ranges), turned into offsets
-   and broadcast back — its size is P, fixed by us, not by the data.
-
-Below ``SINGLE_TASK_ROWS`` rows (counted first, a cheap aggregate) a plain
-ordered window is used: one task sorting at most that many rows is cheaper
-than range sampling plus a checkpoint.  Above it the distributed path runs.
+4. one total per range (their number is a parameter), turned into offsets and
+   broadcast back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DRAW_PER_RANGE = 64
+MAX_RANGES = 512
+
 
-from ..session import reliable_checkpoint
+def _flags(order: list[str], descending: list[bool] | bool) -> list[bool]:
+    return [descending] * len(order) if isinstance(descending, bool) else list(descending)
 
-SINGLE_TASK_ROWS = 1_000_000
 
+def _order_exprs(order: list[str], flags: list[bool]) -> list[Column]:
+    return [F.col(f"`{c}`").desc_nulls_last() if d else F.col(f"`{c}`").asc_nulls_first()
+            for c, d in zip(order, flags)]
 
-def _order_exprs(order: list[str], descending: list[bool] | bool) -> list[Column]:
-    if isinstance(descending, bool):
-        descending = [descending] * len(order)
-    out = []
-    for c, d in zip(order, descending):
-        col = F.col(f"`{c}`")
-        out.append(col.desc_nulls_last() if d else col.asc_nulls_first())
+
+def _behind(bound: dict[str, Column], order: list[str], flags: list[bool]) -> Column:
+    """Whether a row sorts behind ``bound`` (a literal per order column)."""
+    out = F.lit(False)
+    for c, desc in reversed(list(zip(order, flags))):
+        v, b = F.col(f"`{c}`"), bound[c]
+        if desc:                       # nulls last
+            past = F.when(b.isNull(), F.lit(False)).otherwise(F.coalesce(v < b, F.lit(True)))
+        else:                          # nulls first
+            past = F.when(b.isNull(), v.isNotNull()).otherwise(F.coalesce(v > b, F.lit(False)))
+        out = past | (v.eqNullSafe(b) & out)
     return out
 
 
+def range_bounds(df: DataFrame, order: list[str], descending: list[bool] | bool = False,
+                 ranges: int | None = None) -> list[tuple]:
+    """At most ``ranges - 1`` keys that cut the order into near-equal ranges.
+
+    About ``DRAW_PER_RANGE`` keys a range reach the driver, whatever the row count.
+    """
+    spark = df.sparkSession
+    flags = _flags(order, descending)
+    if ranges is None:
+        ranges = min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = df.select(*[F.col(f"`{c}`") for c in order])
+    n = keys.count()
+    if n == 0 or ranges < 2:
+        return []
+    share = min(1.0, ranges * DRAW_PER_RANGE / n)
+    cut = min((1 << 63) - 1, -(1 << 63) + int(share * ((1 << 64) - 1)))
+    drawn = keys.where(F.xxhash64(*[F.col(f"`{c}`") for c in order]) <= F.lit(cut)) \
+        .orderBy(*_order_exprs(order, flags)).collect()
+    step = len(drawn) / ranges
+    out: list[tuple] = []
+    for i in range(1, ranges):
+        at = int(i * step)
+        if 0 < at < len(drawn) and (not out or tuple(drawn[at]) != out[-1]):
+            out.append(tuple(drawn[at]))
+    return out
+
+
+def range_id(df: DataFrame, bounds: list[tuple], order: list[str],
+             descending: list[bool] | bool = False) -> Column:
+    """Number of the range a row falls in: how many bounds it sorts behind."""
+    flags = _flags(order, descending)
+    kinds = {c: df.schema[c].dataType for c in order}
+
+    def literal(value, kind: T.DataType) -> Column:
+        return F.lit(value).cast(kind)
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        bound = {c: literal(v, kinds[c]) for c, v in zip(order, bounds[middle])}
+        return F.when(_behind(bound, order, flags), search(middle + 1, hi)).otherwise(
+            search(lo, middle))
+
+    return search(0, len(bounds))
+
+
 def ordered_cumsum(df: DataFrame, order: list[str], sums: dict[str, str],
-                   descending: list[bool] | bool = False, small: bool | None = None,
-                   partitions: int | None = None) -> DataFrame:
+                   descending: list[bool] | bool = False,
+                   ranges: int | None = None) -> DataFrame:
     """Inclusive running sums in a total order.
 
     ``sums`` maps output column -> input column.  The order must be total
-    (unique) for the running sums to be deterministic.  ``small=None`` decides
-    by a row count against ``SINGLE_TASK_ROWS``.
+    (unique) for the running sums to be deterministic.
     """
-    oexprs = _order_exprs(order, descending)
-    if small is None:
-        small = df.count() <= SINGLE_TASK_ROWS
-    if small:
-        w = Window.orderBy(*oexprs).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({o: F.sum(F.col(f"`{i}`")).over(w) for o, i in sums.items()})
-
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *oexprs).withColumn(
-        "_range_id", F.spark_partition_id())
-    ranged = reliable_checkpoint(ranged)
-
-    w = Window.partitionBy("_range_id").orderBy(*oexprs).rowsBetween(
-        Window.unboundedPreceding, 0)
+    bounds = range_bounds(df, order, descending, ranges)
+    ranged = df.withColumn("_range_id", range_id(df, bounds, order, descending))
+    w = Window.partitionBy("_range_id").orderBy(
+        *_order_exprs(order, _flags(order, descending))).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"_loc_{o}": F.sum(F.col(f"`{i}`")).over(w)
                                 for o, i in sums.items()})
     totals = ranged.groupBy("_range_id").agg(
         *[F.sum(F.col(f"`{i}`")).alias(f"_tot_{o}") for o, i in sums.items()])
-    # P rows: a single-partition window over the range totals is fine.
-    wp = Window.orderBy("_range_id").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range: a single-partition window over them is fine
+    before = Window.orderBy("_range_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_range_id", *[
-        F.coalesce(F.sum(f"_tot_{o}").over(wp), F.lit(0)).alias(f"_off_{o}") for o in sums])
+        F.coalesce(F.sum(f"_tot_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums])
     out = local.join(F.broadcast(offsets), "_range_id")
     out = out.withColumns({o: F.col(f"_loc_{o}") + F.col(f"_off_{o}") for o in sums})
     return out.drop("_range_id", *[f"_loc_{o}" for o in sums], *[f"_off_{o}" for o in sums])
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str = "row_num",
-                      descending: list[bool] | bool = False,
-                      small: bool | None = None) -> DataFrame:
+                      descending: list[bool] | bool = False) -> DataFrame:
     """1-based row number in a total order (include a unique key in ``order``)."""
     one = "_one_for_rownum"
-    out = ordered_cumsum(df.withColumn(one, F.lit(1).cast("long")), order, {name: one},
-                         descending, small)
+    out = ordered_cumsum(df.withColumn(one, F.lit(1).cast("long")), order, {name: one}, descending)
     return out.drop(one)
+
+
+def key_number(df: DataFrame, key: str) -> Column:
+    """A whole number for a key of any type: itself, or 52 bits of the MD5 of its text.
+
+    The digest is the same in any engine, so hashes built on it are too.
+    """
+    c = F.col(f"`{key}`")
+    if isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("long")
+    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 13), 16, 10).cast("long")

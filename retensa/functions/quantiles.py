@@ -1,12 +1,10 @@
 """Exact linear-interpolation quantiles (pandas / numpy default, DuckDB
 ``quantile_cont``, Spark ``percentile``) that stay bounded in memory.
 
-Spark's exact ``percentile`` keeps a value->count map per group and merges
-all of it into one task, which is fine for a column with few distinct values
-but not for a high-cardinality column at scale.  So: measure the distinct
-count first (HyperLogLog, one cheap pass); under ``distinct_limit`` use
-``percentile``; above it select the order statistics from a range-partitioned
-running count of the distinct values (no value map in any single task).
+Spark's exact ``percentile`` keeps a value->count map per group and merges all of it
+into one task.  Here the values of all columns become one long (column, value, count)
+table, combined map-side; one distributed running sum over it gives every order
+statistic of every column, at any size and number of distinct values.
 """
 
 from __future__ import annotations
@@ -16,74 +14,66 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .ordering import ordered_cumsum
 
-DISTINCT_LIMIT = 200_000
 
+def value_counts(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """(i, v, cnt): how often value v stands in column number i; nulls are left out."""
+    each = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), c.cast("double").alias("v"))
+        for i, c in enumerate(cols.values())])).alias("kv")).select("kv.*")
+    return each.where(F.col("v").isNotNull()).groupBy("i", "v").agg(
+        F.count(F.lit(1)).alias("cnt"))
 
-def exact_quantiles(df: DataFrame, col: Column | str, probs: list[float],
-                    distinct_limit: int | None = None) -> list[float | None]:
-    if distinct_limit is None:
-        distinct_limit = DISTINCT_LIMIT
-    c = F.col(f"`{col}`") if isinstance(col, str) else col
-    v = df.select(c.cast("double").alias("v")).where(F.col("v").isNotNull())
-    st = v.agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).first()
-    n, d = int(st["n"]), int(st["d"] or 0)
-    if n == 0:
-        return [None] * len(probs)
-    if d <= distinct_limit:
-        res = v.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))
-                    .alias("q")).first()["q"]
-        return [float(x) for x in res]
 
-    counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = ordered_cumsum(counts, ["v"], {"c_hi": "cnt"})
-    wanted = sorted({int(math.floor((n - 1) * p)) for p in probs}
-                    | {int(math.ceil((n - 1) * p)) for p in probs})
-    cond = F.lit(False)
-    for pos in wanted:
-        cond = cond | ((F.col("c_hi") - F.col("cnt") <= pos) & (F.lit(pos) < F.col("c_hi")))
-    rows = cum.filter(cond).select("v", "c_hi", "cnt").collect()
-    by_pos = {}
-    for r in rows:
-        lo, hi = int(r["c_hi"] - r["cnt"]), int(r["c_hi"])
-        for pos in wanted:
-            if lo <= pos < hi:
-                by_pos[pos] = float(r["v"])
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        out.append(by_pos[lo] + (h - lo) * (by_pos[hi] - by_pos[lo]))
+def order_statistics(counts: DataFrame, names: list[str],
+                     probs: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles of every column of ``value_counts``; None for a column without values."""
+    totals = {r["i"]: int(r["n"]) for r in counts.groupBy("i").agg(F.sum("cnt").alias("n")).collect()}
+    if not totals:
+        return {c: [None] * len(probs) for c in names}
+    wanted, before = [], 0
+    for i in sorted(totals):
+        for p in probs:
+            h = (totals[i] - 1) * p
+            wanted += [(i, before + math.floor(h)), (i, before + math.ceil(h))]
+        before += totals[i]
+    cum = ordered_cumsum(counts, ["i", "v"], {"upto": "cnt"})
+    # two rows per column and probability
+    places = counts.sparkSession.createDataFrame(sorted(set(wanted)), "wi int, place long")
+    found = cum.join(F.broadcast(places), (F.col("i") == F.col("wi"))
+                     & (F.col("upto") - F.col("cnt") <= F.col("place"))
+                     & (F.col("place") < F.col("upto"))).select("place", "v").collect()
+    value = {r["place"]: float(r["v"]) for r in found}
+    out: dict[str, list[float | None]] = {}
+    before = 0
+    for i, name in enumerate(names):
+        n = totals.get(i, 0)
+        if n == 0:
+            out[name] = [None] * len(probs)
+            continue
+        out[name] = []
+        for p in probs:
+            h = (n - 1) * p
+            lo, hi = value[before + math.floor(h)], value[before + math.ceil(h)]
+            out[name].append(lo if lo == hi else lo + (h - math.floor(h)) * (hi - lo))
+        before += n
     return out
 
 
-def exact_median(df: DataFrame, col: Column | str) -> float | None:
-    return exact_quantiles(df, col, [0.5])[0]
-
-
-def quantiles_many(df: DataFrame, cols: dict[str, Column], probs: list[float],
-                   distinct_limit: int | None = None) -> dict[str, list[float | None]]:
-    """Exact quantiles for many columns: one HyperLogLog pass decides the
-    method per column, then one ``percentile`` aggregate serves every
-    low-cardinality column; high-cardinality columns take the sorted path."""
+def quantiles_many(df: DataFrame, cols: dict[str, Column],
+                   probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of many columns in one pass over the rows."""
     if not cols:
         return {}
-    if distinct_limit is None:
-        distinct_limit = DISTINCT_LIMIT
-    names = list(cols)
-    st = df.agg(*[F.approx_count_distinct(cols[c]).alias(f"d{i}")
-                  for i, c in enumerate(names)]).first()
-    small = [c for i, c in enumerate(names) if (st[f"d{i}"] or 0) <= distinct_limit]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        r = df.agg(*[F.percentile(cols[c].cast("double"), arr).alias(f"q{i}")
-                     for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            v = r[f"q{i}"]
-            out[c] = [float(x) for x in v] if v is not None else [None] * len(probs)
-    for c in names:
-        if c not in out:
-            out[c] = exact_quantiles(df, cols[c], probs, distinct_limit)
-    return out
+    return order_statistics(reliable_checkpoint(value_counts(df, cols)), list(cols), probs)
+
+
+def exact_quantiles(df: DataFrame, col: Column | str, probs: list[float]) -> list[float | None]:
+    c = F.col(f"`{col}`") if isinstance(col, str) else col
+    return quantiles_many(df, {"v": c}, probs)["v"]
+
+
+def exact_median(df: DataFrame, col: Column | str) -> float | None:
+    return exact_quantiles(df, col, [0.5])[0]

@@ -63,7 +63,7 @@ VALUE_VOLUME_KEYWORDS = ["ordercount", "order_count", "frequency", "purchase", "
 VALUE_LOYALTY_KEYWORDS = ["tenure", "age", "duration", "member", "subscription", "account"]
 # ------------------------------------------------------------------------------
 
-MAX_LEVELS = 10_000
+LEVELS_KEPT = 8        # first levels per column and population: three options are filled from them
 
 
 def feasibility(base: str) -> tuple[int, str]:
@@ -105,24 +105,6 @@ class LowRiskProfile:
     low_n: int = 0
 
 
-def low_risk_set(scored: DataFrame, key: str, score: str = "score") -> tuple[DataFrame, int]:
-    """Lowest-scored 30 % (at least 30 rows) by a distributed global rank (TK4)."""
-    n = scored.count()
-    low_n = min(n, max(LOW_RISK_MIN, int(n * LOW_RISK_SHARE)))
-    ranked = global_row_number(scored, [score, key], "_risk_rank")
-    return ranked.where(F.col("_risk_rank") <= low_n).drop("_risk_rank"), low_n
-
-
-def ordered_levels(df: DataFrame, col: str) -> list[str]:
-    """Levels by count desc, ties by value (bounded, checked)."""
-    rows = (df.select(q(col).cast("string").alias("v")).groupBy("v").count()
-            .limit(MAX_LEVELS + 1).collect())
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"too many levels in {col}")
-    rows.sort(key=lambda r: (-r["count"], "" if r["v"] is None else r["v"]))
-    return ["None" if r["v"] is None else r["v"] for r in rows]
-
-
 def fit_low_risk_profile(scored: DataFrame, key: str, numeric: list[str],
                          categorical: list[str], score: str = "score") -> LowRiskProfile:
     """One ranked frame, then three fused passes: quantiles of every numeric
@@ -145,6 +127,8 @@ def fit_low_risk_profile(scored: DataFrame, key: str, numeric: list[str],
                     *[F.bool_and(q(c).isNull() | q(c).isin(0, 1)).alias(f"bin_{c}")
                       for c in numeric]).first()
     for c in numeric:
+        if not st[f"n_{c}"]:
+            continue                   # no valid value: nothing to compare with
         low_med = qs[f"__low__{c}"][1]
         sd = st[f"sd_{c}"]
         prof.numeric[c] = {
@@ -166,19 +150,23 @@ def fit_low_risk_profile(scored: DataFrame, key: str, numeric: list[str],
 
 
 def level_counts(df: DataFrame, cols: list[str], flag: Column) -> dict[str, list]:
-    """(level, rows, flagged rows) per column in one grouped pass; the number
-    of levels is checked before anything reaches the driver."""
+    """(level, rows, flagged rows) per column in one grouped pass: the first
+    ``LEVELS_KEPT`` levels by rows and by flagged rows, however many there are."""
     longf = df.select(flag.alias("_f"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
                  F.coalesce(q(c).cast("string"), F.lit("None")).alias("level"))
         for c in cols])).alias("kv")).select("kv.*", "_f")
     g = longf.groupBy("column_name", "level").agg(F.count(F.lit(1)).alias("n"),
                                                   F.count_if("_f").alias("n_flag"))
-    rows = g.limit(MAX_LEVELS * len(cols) + 1).collect()
-    if len(rows) > MAX_LEVELS * len(cols):
-        raise ValueError("too many category levels")
+    # a first cut inside 64 parts of each column keeps the window's groups small
+    part = F.pmod(F.xxhash64("level"), F.lit(64))
+    by_n, by_flag = (F.col(c).desc() for c in ("n", "n_flag"))
+    for keys in ([F.col("column_name"), part], [F.col("column_name")]):
+        g = g.withColumn("_a", F.row_number().over(Window.partitionBy(*keys).orderBy(by_n, "level"))) \
+            .withColumn("_b", F.row_number().over(Window.partitionBy(*keys).orderBy(by_flag, "level"))) \
+            .where((F.col("_a") <= LEVELS_KEPT) | (F.col("_b") <= LEVELS_KEPT)).drop("_a", "_b")
     out: dict[str, list] = {}
-    for r in rows:
+    for r in g.collect():
         out.setdefault(r["column_name"], []).append((r["level"], r["n"], r["n_flag"]))
     return out
 
@@ -211,7 +199,7 @@ def drivers(scored: DataFrame, key: str, contributions: dict[str, Column],
                                   x.alias("current_num"),
                                   F.lit(None).cast("string").alias("current_text"),
                                   dev.alias("deviation")))
-        else:
+        elif b in prof.categorical:
             p = prof.categorical[b]
             t = F.coalesce(q(b).cast("string"), F.lit("None"))
             dev = F.when(t != F.lit(p["low_mode"]), 1.0).otherwise(0.0)

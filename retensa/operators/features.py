@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite_or_null, q
-from ..functions.ordering import ordered_cumsum
+from ..functions.ordering import key_number, ordered_cumsum
 from .quality import medians, mode_values, numeric_view
 
 # ---- fixed values (must equal the reference's) -------------------------------
@@ -27,7 +27,24 @@ UNKNOWN = "Unknown"
 
 HASH_MOD = 2147483647     # Lehmer / MINSTD generator: fits 64-bit math everywhere
 HASH_MULT = 48271
-MAX_LEVELS = 10_000
+
+def drop_rfm(df: DataFrame) -> DataFrame:
+    """The frame without RFM features (DQ20)."""
+    return df.drop(*[c for c in df.columns if c.lower().startswith("rfm_")])
+
+
+def check_no_rfm(names: list[str]) -> None:
+    """Refuse assembled training inputs that hold an RFM feature (DQ20)."""
+    found = [n for n in names if n.lower().startswith("rfm_")]
+    if found:
+        raise ValueError(f"RFM features among the training inputs: {found}")
+
+
+def hash_sample(df: DataFrame, hashed: str, share: float) -> DataFrame:
+    """Rows whose key hash lies in the first ``share`` of its range."""
+    if not 0 <= share <= 1:
+        raise ValueError("share must lie between 0 and 1")
+    return df.where(F.col(hashed) < F.lit(int(share * HASH_MOD)))
 
 
 def split_hash(key: Column, seed: int = SPLIT_SEED) -> Column:
@@ -41,20 +58,20 @@ def sql_split_hash(key: str, seed: int = SPLIT_SEED) -> str:
 def stratified_split(df: DataFrame, key: str, label: str, test_pct: int = TEST_PCT,
                      seed: int = SPLIT_SEED, out: str = "split") -> DataFrame:
     """Per class: the first n - ceil(n * test_pct / 100) rows by (hash, key) are
-    'train', the rest 'test'."""
-    counts = {r[label]: int(r["count"]) for r in df.groupBy(label).count().collect()}
-    classes = sorted(counts)
-    offset, acc = {}, 0
-    for c in classes:
-        offset[c], acc = acc, acc + counts[c]
-    n_train = {c: counts[c] - (counts[c] * test_pct + 99) // 100 for c in classes}
-    h = df.withColumn("_h", split_hash(q(key), seed)).withColumn("_one", F.lit(1).cast("long"))
+    'train', the rest 'test'.  Keys may be numbers or text.
+
+    Only (label, hash, key) are ranked; the classes' counts and offsets stay a table, so
+    any number of classes will do."""
+    h = df.select(q(label), split_hash(key_number(df, key), seed).alias("_h"), q(key),
+                  F.lit(1).cast("long").alias("_one"))
     ranked = ordered_cumsum(h, [label, "_h", key], {"_r": "_one"})
-    off = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(offset[c]))])
-    lim = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(n_train[c]))])
-    rank = F.col("_r") - off[q(label)]
-    return ranked.withColumn(out, F.when(rank <= lim[q(label)], "train").otherwise("test")) \
-        .drop("_h", "_one", "_r")
+    classes = h.groupBy(q(label).alias("_label")).agg(F.sum("_one").alias("_n"))
+    upto = ordered_cumsum(classes, ["_label"], {"_upto": "_n"})
+    n_train = F.col("_n") - F.floor((F.col("_n") * test_pct + 99) / 100)
+    is_train = F.col("_r") - (F.col("_upto") - F.col("_n")) <= n_train
+    part = ranked.join(upto, q(label).eqNullSafe(F.col("_label"))).select(
+        q(key).alias("_key"), F.when(is_train, "train").otherwise("test").alias(out))
+    return df.join(part.dropDuplicates(["_key"]), q(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def adaptive_folds(n_pos: int, n: int) -> int:
@@ -99,39 +116,78 @@ def standardize_text(c):
     return F.regexp_replace(F.trim(c), r"\s+", "_")
 
 
-def fit_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct levels per column; the level count is checked."""
-    longf = df.select(F.explode(F.array(*[
+def level_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, level, code): sorted levels of every column, numbered from 0.
+
+    A table at any number of levels; its order is found by a distributed running count.
+    """
+    each = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), q(c).cast("string").alias("level"))
-        for c in cols])).alias("kv")).select("kv.*").where(F.col("level").isNotNull())
-    rows = longf.distinct().limit(MAX_LEVELS * max(1, len(cols)) + 1).collect()
-    if len(rows) > MAX_LEVELS * max(1, len(cols)):
-        raise ValueError("too many category levels to encode")
-    out = {c: [] for c in cols}
-    for r in rows:
+        for c in cols])).alias("kv")).select("kv.*").where(F.col("level").isNotNull()).distinct()
+    numbered = ordered_cumsum(each.withColumn("one", F.lit(1).cast("long")),
+                              ["column_name", "level"], {"upto": "one"})
+    first = numbered.groupBy("column_name").agg(F.min("upto").alias("first"))
+    return numbered.join(F.broadcast(first), "column_name").select(
+        "column_name", "level", (F.col("upto") - F.col("first")).cast("int").alias("code"))
+
+
+def fit_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct levels per column, for encoders that make a column of each level
+    (so the model's width is what they bound; ``level_table`` serves any number)."""
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in level_table(df, cols).orderBy("column_name", "code").collect():
         out[r["column_name"]].append(r["level"])
-    return {c: sorted(v) for c, v in out.items()}
+    return out
+
+
+def dummy_names(levels: dict[str, list[str]], drop_first: bool = True) -> dict[str, tuple[str, str]]:
+    """Dummy column -> (source column, level)."""
+    return {f"{c}_{v}": (c, v) for c, lv in levels.items() for v in (lv[1:] if drop_first else lv)}
 
 
 def one_hot(df: DataFrame, levels: dict[str, list[str]], drop_first: bool = True,
             keep: list[str] = ()) -> DataFrame:
     """Dummies from fitted levels (first sorted level dropped); unseen or
     missing values give all zeros, so test rows align with train columns."""
-    cols = [q(c) for c in keep]
-    for c, lv in levels.items():
-        use = lv[1:] if drop_first else lv
-        cols += [F.coalesce((q(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
-                 .alias(f"{c}_{v}") for v in use]
-    return df.select(*cols)
-
-
-def ordinal_encode(df: DataFrame, levels: dict[str, list[str]], keep: list[str] = ()) -> DataFrame:
-    """Code = position of the value in the sorted level list (PRJ12)."""
-    cols = [q(c) for c in keep]
-    for c, lv in levels.items():
-        m = F.create_map(*[x for i, v in enumerate(lv) for x in (F.lit(v), F.lit(i))])
-        cols.append(m[q(c).cast("string")].alias(f"{c}_code"))
-    return df.select(*cols)
+    return df.select(*[q(c) for c in keep], *[
+        F.coalesce((q(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(name)
+        for name, (c, v) in dummy_names(levels, drop_first).items()])
+
+
+def ordinal_encode(df: DataFrame, levels: DataFrame, cols: list[str],
+                   keep: list[str] = ()) -> DataFrame:
+    """Code = position of the value in its column's sorted levels (PRJ12), by joins with
+    ``level_table``."""
+    out = df.select(*[q(c) for c in keep], *[q(c).cast("string").alias(f"_v_{c}") for c in cols])
+    for c in cols:
+        codes = levels.where(F.col("column_name") == c).select(
+            F.col("level").alias(f"_v_{c}"), F.col("code").alias(f"{c}_code"))
+        out = out.join(codes, f"_v_{c}", "left").drop(f"_v_{c}")
+    return out
+
+
+def align_columns(df: DataFrame, schema: dict[str, str],
+                  levels: dict[str, list[str]] | None = None) -> DataFrame:
+    """Shape a new table like the one a model was fitted on (PRJ13, PRJ14).
+
+    ``schema``: fitted column -> type, in order.  Missing columns are added (0 for numbers,
+    "Unknown" for text), further ones dropped, the order restored; numbers are coerced with
+    0 for what is none, and text that is not among a column's fitted ``levels`` becomes
+    "Unknown".
+    """
+    out = []
+    for c, kind in schema.items():
+        text = kind == "string"
+        if c not in df.columns:
+            value = F.lit(UNKNOWN if text else 0).cast(kind)
+        elif text:
+            value = F.coalesce(q(c).cast("string"), F.lit(UNKNOWN))
+            if levels and c in levels:
+                value = F.when(value.isin(*levels[c]), value).otherwise(UNKNOWN)
+        else:
+            value = F.coalesce(finite_or_null(numeric_view(df, c)), F.lit(0.0)).cast(kind)
+        out.append(value.alias(c))
+    return df.select(*out)
 
 
 def binary_remap(df: DataFrame, cols: list[str], mapping: dict[str, int] = BINARY_MAP) -> DataFrame:

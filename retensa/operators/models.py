@@ -21,8 +21,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import key_number
 from . import metrics as M
-from .features import split_hash
+from .features import check_no_rfm, split_hash
 
 # ---- fixed values (must equal the reference's) -------------------------------
 IMPORTANCE_SHARE = 0.98
@@ -32,11 +33,11 @@ AGREEMENT_TOP = 5
 # ------------------------------------------------------------------------------
 
 SEED = 123
-ROWS_PER_PARTITION = 200_000
 
 
 def add_folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
-    return df.withColumn(name, (split_hash(F.col(key), 7) % F.lit(k)).cast("int"))
+    """Fold number from the key's hash; the key may be a number or text."""
+    return df.withColumn(name, (split_hash(key_number(df, key), 7) % F.lit(k)).cast("int"))
 
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -89,12 +90,9 @@ def prepare(train: DataFrame, others: list[DataFrame], numeric: list[str],
     stages, _ = feature_stages(numeric, categorical)
     prep = Pipeline(stages=stages).fit(train)
     vec = prep.transform(train)
-    # iterative learners run one small job per iteration: size the cached
-    # training set's partitions to its rows (about ROWS_PER_PARTITION each)
-    n = vec.count()
-    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism * 4,
-                       n // ROWS_PER_PARTITION + 1))
-    return prep, vec.repartition(parts).cache(), [prep.transform(o) for o in others]
+    check_no_rfm([a["name"] for group in vec.schema["features"].metadata.get("ml_attr", {}).get(
+        "attrs", {}).values() for a in group])
+    return prep, vec.cache(), [prep.transform(o) for o in others]
 
 
 def compare(train: DataFrame, label: str, folds: int, parallelism: int = 8) -> list[dict]:

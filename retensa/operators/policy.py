@@ -61,7 +61,7 @@ def tier_cost(clv: Column, p33: float, p66: float) -> Column:
 
 
 def ev1_table(at_risk: DataFrame, best: DataFrame, segments: DataFrame, key: str,
-              clv_global: float) -> DataFrame:
+              clv_global: float, features: list[str]) -> DataFrame:
     """One row per at-risk customer: policy A (generic) and B (best action)."""
     b = best.select(key, F.col("base_feature").alias("top_feature"),
                     F.col("predicted_churn_prob").alias("pred_after"),
@@ -69,8 +69,7 @@ def ev1_table(at_risk: DataFrame, best: DataFrame, segments: DataFrame, key: str
                     F.col("customer_clv").alias("clv_b"), F.col("value_saved").alias("saved_b_raw"))
     x = (at_risk.select(key, "score").join(b, key, "left")
          .join(segments, key, "left"))
-    immutable_feats = [r[0] for r in best.select("base_feature").distinct().collect()
-                       if is_immutable(r[0])]
+    immutable_feats = [f for f in features if is_immutable(f)]
     pr_raw = F.col("score") - F.col("pred_after")
     pr = F.greatest(F.lit(0.0), F.coalesce(round_half_up(pr_raw, 4), F.lit(0.0)))
     cost = F.coalesce(F.col("cost_b_raw"), F.lit(0.0))
@@ -136,8 +135,16 @@ def ev1_headline(t: DataFrame, key: str) -> DataFrame:
                     round_half_up(F.col("avg_prob_reduction"), 4).alias("avg_prob_reduction"))
 
 
+def pool_members(scored: DataFrame, key: str, pool_size: int = POOL_SIZE) -> DataFrame:
+    """The rows of the candidate pool: the ``pool_size`` highest scores (TK2).  As their
+    number is a parameter, they are broadcast."""
+    keys = scored.select(key, "score").orderBy(F.col("score").desc(), F.col(key)).limit(
+        int(max(1, pool_size))).select(key)
+    return scored.join(F.broadcast(keys), key, "left_semi")
+
+
 def ev2_pool(scored: DataFrame, best: DataFrame, signal: DataFrame, key: str,
-             clv: Column, pool_size: int = POOL_SIZE) -> DataFrame:
+             clv: Column, features: list[str], pool_size: int = POOL_SIZE) -> DataFrame:
     """Candidate pool: top-N by score (TK2), with every arm's columns."""
     n = scored.count()
     pool_size = int(max(1, min(pool_size, n)))
@@ -146,7 +153,7 @@ def ev2_pool(scored: DataFrame, best: DataFrame, signal: DataFrame, key: str,
     pool = (full.orderBy(F.col("score").desc(), F.col(key)).limit(pool_size)
             .withColumn("pool_pos", F.row_number().over(
                 Window.orderBy(F.col("score").desc(), F.col(key)))))   # <= pool_size rows
-    immut = [r[0] for r in best.select("base_feature").distinct().collect() if is_immutable(r[0])]
+    immut = [f for f in features if is_immutable(f)]
     b = best.select(key, F.col("base_feature").alias("int_feature"),
                     F.col("implementation_cost").alias("int_cost"),
                     F.col("prob_reduction").alias("int_pr"),

@@ -2,9 +2,8 @@
 
 All statistics are wide one-pass aggregates (``df.agg`` over every column at
 once, partial aggregation on the map side), reshaped to a long report with
-``stack``.  Correlations are built from raw sums so a constant column gives
-null instead of an ANSI divide-by-zero (trap T5), and mean-filled
-correlations are derived algebraically in the same pass.
+``stack``.  Correlations come from centred moments, with null for a constant column
+(trap T5); mean-filled correlations follow from them in the same pass.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import (corr_from_sums, finite_or_null, kurt_bias_corrected, q,
-                                 round_half_up, skew_bias_corrected, to_double)
+from ..functions.numeric import (finite_or_null, kurt_bias_corrected, pearson, q, round_half_up,
+                                 skew_bias_corrected, to_double)
 from ..functions.quantiles import quantiles_many
 from .schema import is_numeric_type
 
@@ -243,49 +242,94 @@ def binary_remap_columns(df: DataFrame, cols: list[str], mapping: dict[str, int]
     return [c for i, c in enumerate(cols) if r[f"b{i}"]]
 
 
-def target_corr_sums(df: DataFrame, y: Column, cols: list[str]) -> dict[str, dict]:
-    """One pass: pairwise-complete r, zero-filled r and mean-filled r of each
-    column with ``y``, plus non-null count and std."""
-    exprs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
+def target_correlations(df: DataFrame, y: Column, cols: list[str],
+                        positions: dict[str, int] | None = None) -> DataFrame:
+    """Per column in one pass: r with ``y`` over complete pairs, with missing values as 0
+    and as the column's mean, plus non-null count, standard deviation and whether it varies."""
+    n, spread = F.count(F.lit(1)).cast("double"), F.stddev_pop(y)
+    exprs = []
     for i, c in enumerate(cols):
         x = numeric_view(df, c)
-        nn = x.isNotNull()
-        exprs += [F.count(x).alias(f"nn{i}"), F.sum(x).alias(f"sx{i}"),
-                  F.sum(x * x).alias(f"sxx{i}"), F.sum(x * y).alias(f"sxy{i}"),
-                  F.sum(F.when(nn, y)).alias(f"syn{i}"), F.sum(F.when(nn, y * y)).alias(f"syyn{i}"),
-                  F.stddev_samp(x).alias(f"sd{i}"), F.min(x).alias(f"lo{i}"),
-                  F.max(x).alias(f"hi{i}")]
-    return df.agg(*exprs)
-
-
-def corr_exprs(stats: DataFrame, cols: list[str],
-               positions: dict[str, int] | None = None) -> DataFrame:
-    """From ``target_corr_sums``: long frame with r_pairwise, r_zero, r_mean."""
-    n, sy, syy = F.col("n").cast("double"), F.col("sy"), F.col("syy")
-    sel = []
-    for i, _ in enumerate(cols):
-        nn = F.col(f"nn{i}").cast("double")
-        sx, sxx, sxy = F.col(f"sx{i}"), F.col(f"sxx{i}"), F.col(f"sxy{i}")
-        syn, syyn = F.col(f"syn{i}"), F.col(f"syyn{i}")
-        r_pair = corr_from_sums(nn, sx, syn, sxx, syyn, sxy)
-        # zero-filled: missing x contribute 0 to every x-sum, rows count n
-        r_zero = corr_from_sums(n, F.coalesce(sx, F.lit(0.0)), sy, F.coalesce(sxx, F.lit(0.0)),
-                                syy, F.coalesce(sxy, F.lit(0.0)))
-        mean = sx / nn
-        nm = n - nn
-        sxf = sx + nm * mean
-        sxxf = sxx + nm * mean * mean
-        sxyf = sxy + mean * (sy - syn)
-        r_mean = corr_from_sums(n, sxf, sy, sxxf, syy, sxyf)
-        sel += [r_pair.alias(f"rp{i}"), r_zero.alias(f"rz{i}"), r_mean.alias(f"rm{i}"),
-                F.col(f"nn{i}").alias(f"c{i}"), F.col(f"sd{i}").alias(f"d{i}"),
-                (F.col(f"lo{i}") < F.col(f"hi{i}")).alias(f"v{i}")]
-    wide = stats.select(F.col("n"), *sel)
-    return _stack(wide, cols, ["rp", "rz", "rm", "c", "d", "v"],
+        sx = F.stddev_pop(x)
+        # a value at the mean adds nothing to the centred sums
+        filled = F.when((sx > 0) & (spread > 0),
+                        F.covar_pop(x, y) / (sx * spread) * F.sqrt(F.count(x) / n))
+        exprs += [pearson(x, y).alias(f"rp{i}"),
+                  pearson(F.coalesce(x, F.lit(0.0)), y).alias(f"rz{i}"), filled.alias(f"rm{i}"),
+                  F.count(x).alias(f"c{i}"), F.stddev_samp(x).alias(f"d{i}"),
+                  (F.min(x) < F.max(x)).alias(f"v{i}")]
+    return _stack(df.agg(*exprs), cols, ["rp", "rz", "rm", "c", "d", "v"],
                   ["r_pairwise", "r_zero_filled", "r_mean_filled", "non_null", "std",
                    "varies"], positions)
 
 
+PAIRS_PER_PASS = 300
+
+
+def multicollinear_report(train: DataFrame, cols: list[str]) -> DataFrame:
+    """Upper-triangle |r| on train; a column is dropped when its largest |r| with an
+    earlier column passes the threshold (DQ18).  Pairs go in passes of a fixed number,
+    so a plan does not grow with the square of the columns."""
+    pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
+    best: dict[int, float] = {}
+    for at in range(0, len(pairs), PAIRS_PER_PASS):
+        some = pairs[at:at + PAIRS_PER_PASS]
+        row = train.agg(*[F.abs(pearson(numeric_view(train, cols[i]), numeric_view(train, cols[j])))
+                          .alias(f"r_{i}_{j}") for i, j in some]).first()
+        for i, j in some:
+            r = row[f"r_{i}_{j}"]
+            if r is not None:
+                best[j] = max(r, best.get(j, r))
+    limit = COLLINEAR_SMALL if len(cols) <= COLLINEAR_SMALL_COLS else COLLINEAR_LARGE
+    return train.sparkSession.createDataFrame(
+        [(c, train.columns.index(c), best.get(j), best.get(j, 0.0) > limit)
+         for j, c in enumerate(cols)],
+        "column_name string, position int, max_abs_corr_prior double, dropped boolean")
+
+
+def leak_threshold(n_rows: int) -> float:
+    return LEAK_CORR_SMALL if n_rows < LEAK_SMALL_ROWS else LEAK_CORR_LARGE
+
+
+def numeric_leaks(frame: DataFrame, y: str, cols: list[str], n_rows: int) -> DataFrame:
+    """Columns that follow the target: |r| with missing values at the mean (DQ15)."""
+    r = target_correlations(frame, F.col(y).cast("double"), cols,
+                            {c: frame.columns.index(c) for c in cols})
+    r = r.where(F.col("varies") & (F.col("non_null") > LEAK_MIN_NONNULL) & (F.col("std") > 0))
+    corr = F.abs("r_mean_filled")
+    return r.select("column_name", "position", corr.alias("abs_corr"),
+                    F.coalesce(corr > leak_threshold(n_rows), F.lit(False)).alias("is_leak"))
+
+
+def categorical_leaks(frame: DataFrame, y: str, cols: list[str], n_rows: int) -> DataFrame:
+    """Columns whose categories set the target apart (DQ16).
+
+    An approximate distinct count with a margin rules out columns of many values first,
+    so only possible categories are exploded and counted.
+    """
+    limit = min(LEAK_MAX_CATEGORIES, n_rows * 0.5)
+    if not cols:
+        return frame.sparkSession.createDataFrame(
+            [], "column_name string, position int, n_categories long, separation double, "
+                "n_means long, is_leak boolean")
+    seen = frame.agg(*[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)],
+                     *[(F.min(q(c).cast("string")) < F.max(q(c).cast("string"))).alias(f"v{i}")
+                       for i, c in enumerate(cols)]).first()
+    few = [c for i, c in enumerate(cols) if seen[f"v{i}"] and seen[f"d{i}"] <= 1.5 * limit + 10]
+    if not few:
+        return categorical_leaks(frame, y, [], n_rows)
+    big = F.when(F.col("count") >= LEAK_MIN_GROUP, F.col("target_mean"))
+    position = F.create_map(*[F.lit(x) for c in few for x in (c, frame.columns.index(c))])
+    report = category_target_means(frame, F.col(y), few).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n_categories"), (F.max(big) - F.min(big)).alias("separation"),
+        F.count_distinct(big).alias("n_means")).where(F.col("n_categories") <= limit)
+    return report.select(
+        "column_name", position[F.col("column_name")].alias("position"), "n_categories",
+        "separation", "n_means",
+        F.coalesce((F.col("separation") > LEAK_SEPARATION)
+                   & (F.col("n_means") <= LEAK_MAX_DISTINCT_MEANS), F.lit(False)).alias("is_leak"))
+
+
 def category_target_means(df: DataFrame, y: Column, cols: list[str]) -> DataFrame:
     """(column, category) -> mean target and count, missing as its own
     category; one long shuffle with partial aggregation (AG5)."""

@@ -1,16 +1,19 @@
 """Rank statistics as aggregates (SS1-SS5, WN3).
 
 Average-tie ranks come from per-value counts and a distributed running count
-(no global sort of all rows into one task); the tests then reduce to sums.
-Normal-approximation z statistics are returned; tail probabilities are left
-to the caller (Spark SQL has no erf).
+(no global sort of all rows into one task).  The tests join those counts, not the rows,
+to the ranks, so a value that most rows share stays one row; p-values use a rational
+approximation of the normal tail.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_half_up
 from ..functions.ordering import ordered_cumsum
 
 # ---- fixed values (must equal the reference's) -------------------------------
@@ -22,59 +25,117 @@ JB_CRITICAL_95 = 5.991464547107979   # chi-square(2) 95 % quantile
 # ------------------------------------------------------------------------------
 
 
-def average_rank(df: DataFrame, value: str, out: str, descending: bool = False,
-                 small: bool = False) -> DataFrame:
-    """Average-tie rank of ``value`` (1 = smallest, or largest if descending)."""
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    cum = ordered_cumsum(counts, ["_v"], {"_cum": "_c"}, descending=descending, small=small)
-    ranks = cum.select("_v", (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))
+SIGNIFICANT = 0.05
+# rational approximation of the normal tail (error below 1e-7), fixed values
+TAIL_SCALE = 0.2316419
+TAIL_TERMS = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def two_sided_p(z: Column) -> Column:
+    """Two-sided tail probability of a standard normal value."""
+    x = F.abs(z)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(TAIL_SCALE) * x)
+    poly = F.lit(0.0)
+    for c in reversed(TAIL_TERMS):
+        poly = (poly + F.lit(c)) * t
+    return F.lit(2.0) * F.exp(-x * x / 2.0) / F.lit(math.sqrt(2 * math.pi)) * poly
+
+
+def sql_two_sided_p(z: str) -> str:
+    t = f"(1e0 / (1e0 + {TAIL_SCALE!r}e0 * abs({z})))"
+    poly = "0e0"
+    for c in reversed(TAIL_TERMS):
+        poly = f"(({poly} + {c!r}e0) * {t})"
+    return f"(2e0 * exp(-({z}) * ({z}) / 2e0) / {math.sqrt(2 * math.pi)!r}e0 * {poly})"
+
+
+def value_ranks(counts: DataFrame, value: str, n: str, descending: bool = False) -> DataFrame:
+    """(value, _rank, _ties) of a table of values and how often they occur: average-tie rank
+    (1 = smallest, or largest if descending) and the number of equal rows."""
+    per = counts.groupBy(F.col(value)).agg(F.sum(n).alias("_ties"))
+    cum = ordered_cumsum(per, [value], {"_cum": "_ties"}, descending=descending)
+    return cum.select(value, "_ties", (F.col("_cum") - (F.col("_ties") - 1) / 2.0).alias("_rank"))
+
+
+def average_rank(df: DataFrame, value: str, out: str, descending: bool = False) -> DataFrame:
+    """Average-tie rank of ``value`` for every row."""
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = value_ranks(counts, "_v", "_n", descending).select("_v", F.col("_rank").alias(out))
     return df.join(ranks, df[value].eqNullSafe(ranks["_v"]), "left").drop("_v")
 
 
+def _weighted_corr(x: str, y: str, w: str) -> Column:
+    """Correlation of rows that stand for ``w`` equal ones, from centred sums."""
+    mx, my, n = f"_m{x}", f"_m{y}", F.sum(w)
+    dx, dy = F.col(x) - F.col(mx), F.col(y) - F.col(my)
+    sx, sy = F.sum(dx * dx * F.col(w)), F.sum(dy * dy * F.col(w))
+    return F.when((sx > 0) & (sy > 0) & (n > 0), F.sum(dx * dy * F.col(w)) / F.sqrt(sx * sy))
+
+
 def spearman(df: DataFrame, a: str, b: str, descending: bool = True) -> DataFrame:
-    """Pearson correlation of the average-tie ranks (SS1)."""
-    r = average_rank(average_rank(df, a, "_ra", descending), b, "_rb", descending)
-    return r.agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    """Pearson correlation of the average-tie ranks (SS1).
+
+    Rows are first counted by their pair of values, so a value that many rows share is one
+    row in the joins with the ranks.
+    """
+    pairs = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    for c in ("a", "b"):
+        ranks = value_ranks(pairs, c, "w", descending).select(
+            F.col(c).alias("_v"), F.col("_rank").alias(f"r{c}"))
+        pairs = pairs.join(ranks, F.col(c).eqNullSafe(F.col("_v")), "left").drop("_v")
+    # ranks have a known mean: (n + 1) / 2
+    n = pairs.agg(F.sum("w")).first()[0] or 0
+    half = F.lit((n + 1) / 2.0)
+    ranked = pairs.withColumns({"_mra": half, "_mrb": half})
+    return ranked.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
+                      _weighted_corr("ra", "rb", "w").alias("rho"))
 
 
 def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
     """Signed-rank statistic on non-zero differences, normal approximation
-    with the tie term (SS2).  statistic = min(W+, W-)."""
-    nz = df.where(F.col(diff) != 0).select(F.col(diff).alias("d"),
-                                           F.abs(F.col(diff)).alias("ad"))
-    r = average_rank(nz, "ad", "rk")
-    ties = nz.groupBy("ad").agg(F.count(F.lit(1)).alias("t"))
-    tie_term = ties.agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tt")).first()["tt"] or 0
-    s = r.agg(F.count(F.lit(1)).alias("n"),
-              F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(0.0)).alias("w_plus"),
-              F.sum(F.when(F.col("d") < 0, F.col("rk")).otherwise(0.0)).alias("w_minus"))
+    with the tie term (SS2).  statistic = min(W+, W-); ``tested`` from
+    ``WILCOXON_MIN_PAIRS`` pairs."""
+    by_value = df.where(F.col(diff) != 0).groupBy(
+        F.abs(F.col(diff)).alias("size"), (F.col(diff) > 0).alias("up")).agg(
+        F.count(F.lit(1)).alias("w"))
+    ranks = value_ranks(by_value, "size", "w")
+    ties = ranks.agg(F.sum(F.pow(F.col("_ties"), 3) - F.col("_ties"))).first()[0] or 0
+    mass = F.col("_rank") * F.col("w")
+    s = by_value.join(ranks, "size").agg(
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
+        F.sum(F.when(F.col("up"), mass).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(F.col("up"), 0.0).otherwise(mass)).alias("w_minus"))
     n = F.col("n").cast("double")
-    mu = n * (n + 1) / 4.0
-    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.lit(float(tie_term)) / 48.0)
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.lit(float(ties)) / 48.0)
     stat = F.least("w_plus", "w_minus")
-    return s.select("n", "w_plus", "w_minus", stat.alias("statistic"),
-                    F.when(sd > 0, (stat - mu) / sd).alias("z"))
+    z = F.when(sd > 0, (stat - n * (n + 1) / 4.0) / sd)
+    tested = F.col("n") >= WILCOXON_MIN_PAIRS
+    return s.select("n", "w_plus", "w_minus", stat.alias("statistic"), z.alias("z"),
+                    round_half_up(two_sided_p(z), 6).alias("p_value"), tested.alias("tested"),
+                    F.coalesce(tested & (two_sided_p(z) < SIGNIFICANT), F.lit(False))
+                    .alias("significant"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """Each group against all other rows: U of the group, tie-corrected
     normal z with continuity correction (SS4)."""
-    r = average_rank(df, value, "rk")
-    n_all = df.count()
-    ties = df.groupBy(value).agg(F.count(F.lit(1)).alias("t"))
-    tt = ties.agg(F.sum(F.pow(F.col("t"), 3) - F.col("t"))).first()[0] or 0
-    g = r.groupBy(group).agg(F.count(F.lit(1)).alias("n_segment"), F.sum("rk").alias("r1"))
+    counts = df.groupBy(F.col(group), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    ranks = value_ranks(counts, "v", "w").withColumnRenamed("v", "_v")
+    tie, n_all = ranks.agg(F.sum(F.pow(F.col("_ties"), 3) - F.col("_ties")), F.sum("_ties")).first()
+    tie, n_all = float(tie or 0), float(n_all or 0)
+    g = counts.join(ranks, F.col("v").eqNullSafe(F.col("_v"))).groupBy(group).agg(
+        F.sum("w").alias("n_segment"), F.sum(F.col("_rank") * F.col("w")).alias("r1"))
     n1 = F.col("n_segment").cast("double")
-    n2 = F.lit(float(n_all)) - n1
-    n = F.lit(float(n_all))
+    n2 = F.lit(n_all) - n1
     u = F.col("r1") - n1 * (n1 + 1) / 2.0
-    mu = n1 * n2 / 2.0
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.lit(float(tt)) / (n * (n - 1))))
-    z = F.when(sigma > 0, (F.abs(u - mu) - 0.5) / sigma)
+    sigma = F.sqrt(n1 * n2 / 12.0 * (F.lit(n_all + 1) - F.lit(tie) / F.lit(max(1.0, n_all * (n_all - 1)))))
+    z = F.when(sigma > 0, (F.abs(u - n1 * n2 / 2.0) - 0.5) / sigma)
+    tested = (n1 >= MANNWHITNEY_MIN) & (n2 >= MANNWHITNEY_MIN)
     return g.select(group, "n_segment", n2.cast("long").alias("n_rest"), u.alias("u_statistic"),
-                    z.alias("z"),
-                    ((F.col("n_segment") >= MANNWHITNEY_MIN) & (n2 >= MANNWHITNEY_MIN))
-                    .alias("tested"))
+                    z.alias("z"), round_half_up(two_sided_p(z), 6).alias("p_value"),
+                    tested.alias("tested"),
+                    F.coalesce(tested & (two_sided_p(z) < SIGNIFICANT), F.lit(False))
+                    .alias("significant"))
 
 
 def cohen_label(d: Column) -> Column:

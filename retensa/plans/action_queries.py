@@ -75,6 +75,14 @@ def scenario_table(spark, sf_dir):
     return s, A.scenarios(drv, KEY, prof)
 
 
+def priced(spark, sf_dir, people):
+    """Priced scenarios of ``people`` against the low-risk profile of everyone."""
+    _, prof = _profile(spark, sf_dir)
+    drv = A.drivers(people, KEY, base_contributions(_terms(spark, sf_dir)[3]), prof, ACTIONABLE)
+    return A.action_values(A.scenarios(drv, KEY, prof), people, KEY, scorecard(spark, sf_dir).prob,
+                           INPUTS, NUMERIC)
+
+
 def value_table(spark, sf_dir):
     """Priced scenarios for every customer; persisted once per application
     because the policy evaluations all start from it."""
@@ -294,11 +302,13 @@ def q_actionable_signal(spark, sf_dir):
     return signal_table(spark, sf_dir).drop("top_value")
 
 
-def signal_table(spark, sf_dir):
-    def build():
-        roll = X.rollup(linear_attribution(spark, sf_dir), KEY, LINEAGE)
-        return X.actionable_signal(roll, KEY, ACTIONABLE)
-    return cached(spark, ("signal", sf_dir), build)
+def signal_table(spark, sf_dir, people=None):
+    """Actionable signal of ``people`` (rows of the scored mart), or of everyone."""
+    def build(attribution):
+        return X.actionable_signal(X.rollup(attribution, KEY, LINEAGE), KEY, ACTIONABLE)
+    if people is not None:
+        return build(X.long_attribution(people, KEY, _terms(spark, sf_dir)[3]))
+    return cached(spark, ("signal", sf_dir), lambda: build(linear_attribution(spark, sf_dir)))
 
 
 @register("attribution_permutation")

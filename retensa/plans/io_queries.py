@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..sources import sinks
 from ..sources.tables import content_fingerprint, file_fingerprint, read_csv
+from .policy_queries import EV1_COLS, EV1_SQL, ev1
 from .registry import register
 
 
-@register("csv_roundtrip")
+@register("csv_roundtrip", f"{EV1_SQL}\nSELECT {EV1_COLS} FROM ev1t")
 def q_csv_roundtrip(spark, sf_dir):
     """Policy A/B table exported as CSV to the shared folder, read back with
     the header scan and its encoding fallback (SNK1, SRC1, SRC2)."""
-    from .policy_queries import ev1
     path = sinks.write_csv(ev1(spark, sf_dir), sinks.shared_path(spark, "policy_ab_csv"))
     return read_csv(spark, path, infer_schema=True)
 
@@ -64,4 +64,5 @@ def q_dataset_fingerprint(spark, sf_dir):
     content = content_fingerprint(spark.read.parquet(path))
     files = meta.first()
     return content.withColumn("n_files", F.lit(files["n_files"])) \
+        .withColumn("total_size", F.lit(files["total_size"])) \
         .withColumn("modified", F.lit(files["modified"]))

@@ -236,7 +236,8 @@ DIRTY_COLUMNS = ["customer_id", "segment", "nation", "account_balance", "tenure_
                  "days_since_last_order", "order_count", "total_revenue", "avg_order_value",
                  "monthly_charges", "usage_quantity", "complaint_ratio", "avg_discount",
                  "urgent_share", "main_priority", "churn", "sparse_score", "constant_flag",
-                 "leak_copy", "leak_inverse", "priority_customer", "balance_text"]
+                 "leak_copy", "leak_inverse", "priority_customer", "balance_text", "leak_stamp",
+                 "leak_group"]
 
 
 def build_mart_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,6 +272,9 @@ def mart_dirty_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 17 == 0, "n/a").when(k % 19 == 0, "12d")
         .otherwise(F.col("account_balance").cast("decimal(12,2)").cast("string"))
         .alias("balance_text"),
+        # large values, small spread; and a text column that names the class
+        (F.lit(1700000000.0) + F.col("churn") * 8 + k % 3).alias("leak_stamp"),
+        F.when(F.col("churn") == 1, "lost").otherwise("kept").alias("leak_group"),
     ]
     d = m.select(*cols)
     return d.unionByName(d.filter(k % 13 == 0))
@@ -289,6 +293,8 @@ mart_dirty0 AS (
          1 AS constant_flag, churn AS leak_copy, 1 - churn AS leak_inverse,
          CASE WHEN urgent_share > CAST(0.2 AS DOUBLE) THEN 'Yes' ELSE 'No' END AS priority_customer,
          CASE WHEN customer_id % 17 = 0 THEN 'n/a' WHEN customer_id % 19 = 0 THEN '12d'
-              ELSE CAST(CAST(account_balance AS DECIMAL(12,2)) AS VARCHAR) END AS balance_text
+              ELSE CAST(CAST(account_balance AS DECIMAL(12,2)) AS VARCHAR) END AS balance_text,
+         CAST(1700000000 AS DOUBLE) + churn * 8 + customer_id % 3 AS leak_stamp,
+         CASE WHEN churn = 1 THEN 'lost' ELSE 'kept' END AS leak_group
   FROM mart),
 mart_dirty AS (SELECT * FROM mart_dirty0 UNION ALL SELECT * FROM mart_dirty0 WHERE customer_id % 13 = 0)"""

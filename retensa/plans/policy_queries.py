@@ -12,7 +12,7 @@ from ..operators import policy as P
 from ..operators import stats as S
 from ..operators.explain import is_immutable
 from .action_queries import (ACTIONABLE, ACTIONS_SQL, ATTR_SQL, INPUTS, KEY, LINEAGE,
-                             signal_table, value_table)
+                             priced, signal_table, value_table)
 from .registry import register
 from .rfm_queries import MART_RFM_SQL, mart_rfm_segments
 from .mart import cached
@@ -30,9 +30,13 @@ def best_actions(spark, sf_dir):
         .where(F.col("action_rank") == 1)
 
 
-def clv_global(s):
-    qs = quantiles_many(s, {"r": F.col("total_revenue").cast("double"),
-                            "t": F.col("tenure_days").cast("double")}, [0.5])
+def clv_global(s, revenue=("revenue", "charge", "amount"), length=("tenure", "duration")):
+    """Median revenue times median length of stay, of the first columns named so."""
+    names = [f.name for f in s.schema.fields if f.dataType.typeName() in (
+        "double", "float", "integer", "long")]
+    money, time = (next(c for c in names if any(w in c.lower() for w in words))
+                   for words in (revenue, length))
+    qs = quantiles_many(s, {"r": F.col(money).cast("double"), "t": F.col(time).cast("double")}, [0.5])
     return max(100.0, min(100000.0, qs["r"][0] * qs["t"][0]))
 
 
@@ -46,7 +50,7 @@ def _ev1(spark, sf_dir):
     thr = THR if n_risk >= M.MIN_AT_RISK else M.FALLBACK_THRESHOLD
     at_risk = s.where(F.col("score") > thr)
     segs = mart_rfm_segments(spark, sf_dir, keep=()).select(KEY, "rfm_segment")
-    return P.ev1_table(at_risk, best_actions(spark, sf_dir), segs, KEY, clv_global(s))
+    return P.ev1_table(at_risk, best_actions(spark, sf_dir), segs, KEY, clv_global(s), INPUTS)
 
 
 def ev2_pool(spark, sf_dir):
@@ -58,7 +62,11 @@ def _ev2_pool(spark, sf_dir):
     med = quantiles_many(s, {"m": F.col("monthly_charges")}, [0.5])["m"][0]
     clv = F.least(F.greatest(F.coalesce(F.col("monthly_charges"), F.lit(med)) * F.lit(24.0),
                              F.lit(100.0)), F.lit(100000.0))
-    return P.ev2_pool(s, best_actions(spark, sf_dir), signal_table(spark, sf_dir), KEY, clv)
+    # actions are built and priced for the members of the pool alone
+    members = P.pool_members(s, KEY).cache()
+    best = A.top_actions(A.dedupe_actions(priced(spark, sf_dir, members), KEY), KEY).where(
+        F.col("action_rank") == 1)
+    return P.ev2_pool(s, best, signal_table(spark, sf_dir, members), KEY, clv, INPUTS)
 
 
 # ------------------------------------------------------------------ SQL side
@@ -299,10 +307,12 @@ nz AS (SELECT net_b - net_a AS d, ABS(net_b - net_a) AS ad FROM ev1t WHERE net_b
 rk AS (SELECT d, RANK() OVER (ORDER BY ad) + (COUNT(*) OVER (PARTITION BY ad) - 1) / {d(2.0)} AS r FROM nz),
 tt AS (SELECT SUM(CAST(t AS DOUBLE) * t * t - t) AS tt FROM (SELECT COUNT(*) AS t FROM nz GROUP BY ad) g),
 w AS (SELECT COUNT(*) AS n, SUM(CASE WHEN d > 0 THEN r ELSE {d(0.0)} END) AS w_plus,
-             SUM(CASE WHEN d < 0 THEN r ELSE {d(0.0)} END) AS w_minus FROM rk)
-SELECT n, w_plus, w_minus, LEAST(w_plus, w_minus) AS statistic,
+             SUM(CASE WHEN d < 0 THEN r ELSE {d(0.0)} END) AS w_minus FROM rk),
+z AS (SELECT n, w_plus, w_minus, LEAST(w_plus, w_minus) AS statistic,
   (LEAST(w_plus, w_minus) - CAST(n AS DOUBLE) * (n + 1) / {d(4.0)})
-   / SQRT(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / {d(24.0)} - tt / {d(48.0)}) AS z FROM w, tt""")
+   / SQRT(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / {d(24.0)} - tt / {d(48.0)}) AS z FROM w, tt)
+SELECT *, {rhu(S.sql_two_sided_p('z'), 6)} AS p_value, n >= 10 AS tested,
+  n >= 10 AND {S.sql_two_sided_p('z')} < {d(0.05)} AS significant FROM z""")
 def q_stat_wilcoxon(spark, sf_dir):
     t = ev1(spark, sf_dir).withColumn("diff", F.col("net_b") - F.col("net_a"))
     return S.wilcoxon(t, "diff")
@@ -312,13 +322,15 @@ def q_stat_wilcoxon(spark, sf_dir):
 rk AS (SELECT rfm_segment, RANK() OVER (ORDER BY roi_b) + (COUNT(*) OVER (PARTITION BY roi_b) - 1) / {d(2.0)} AS r FROM ev1t),
 tt AS (SELECT SUM(CAST(t AS DOUBLE) * t * t - t) AS tt FROM (SELECT COUNT(*) AS t FROM ev1t GROUP BY roi_b) g),
 na AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM ev1t),
-g AS (SELECT rfm_segment, COUNT(*) AS n_segment, SUM(r) AS r1 FROM rk GROUP BY rfm_segment)
-SELECT rfm_segment, n_segment, CAST(n - n_segment AS BIGINT) AS n_rest,
+g AS (SELECT rfm_segment, COUNT(*) AS n_segment, SUM(r) AS r1 FROM rk GROUP BY rfm_segment),
+z AS (SELECT rfm_segment, n_segment, CAST(n - n_segment AS BIGINT) AS n_rest,
   r1 - n_segment * (n_segment + 1) / {d(2.0)} AS u_statistic,
   (ABS(r1 - n_segment * (n_segment + 1) / {d(2.0)} - n_segment * (n - n_segment) / {d(2.0)}) - {d(0.5)})
    / SQRT(n_segment * (n - n_segment) / {d(12.0)} * ((n + 1) - tt / (n * (n - 1)))) AS z,
   n_segment >= 3 AND n - n_segment >= 3 AS tested
-FROM g, na, tt""")
+FROM g, na, tt)
+SELECT *, {rhu(S.sql_two_sided_p('z'), 6)} AS p_value,
+  tested AND {S.sql_two_sided_p('z')} < {d(0.05)} AS significant FROM z""")
 def q_stat_mannwhitney(spark, sf_dir):
     return S.mann_whitney(ev1(spark, sf_dir), "roi_b", "rfm_segment")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite_or_null, q
 from ..operators import features, quality, schema, target
+from ..session import reliable_checkpoint
 from .mart import DIRTY_COLUMNS, MART_COLUMNS, MART_DIRTY_SQL, MART_SQL, build_mart, build_mart_dirty
 from .registry import register
 from .sqlgen import d
@@ -18,10 +19,10 @@ MART_NUMERIC = ["customer_id", "account_balance", "tenure_days", "days_since_las
 MART_TEXT = ["segment", "nation", "main_priority"]
 DIRTY_NUMERIC_TYPED = [c for c in DIRTY_COLUMNS
                        if c not in ("segment", "nation", "main_priority", "priority_customer",
-                                    "balance_text")]
+                                    "balance_text", "leak_group")]
 DIRTY_DOUBLE = ["account_balance", "total_revenue", "avg_order_value", "monthly_charges",
                 "usage_quantity", "complaint_ratio", "avg_discount", "urgent_share",
-                "sparse_score"]
+                "sparse_score", "leak_stamp"]
 FEATURES = ["account_balance", "tenure_days", "days_since_last_order", "order_count",
             "total_revenue", "avg_order_value", "monthly_charges", "usage_quantity",
             "complaint_ratio", "avg_discount", "urgent_share"]
@@ -275,8 +276,8 @@ SELECT customer_id,
 FROM mart""")
 def q_ordinal_encode(spark, sf_dir):
     m = build_mart(spark, sf_dir)
-    lv = features.fit_levels(m, ["segment", "nation", "main_priority"])
-    return features.ordinal_encode(m, lv, keep=["customer_id"])
+    cols = ["segment", "nation", "main_priority"]
+    return features.ordinal_encode(m, features.level_table(m, cols), cols, keep=["customer_id"])
 
 
 # ---------------------------------------------------------------- target
@@ -309,8 +310,8 @@ def q_target_encode_minority(spark, sf_dir):
 
 # ---------------------------------------------------------------- correlation / leakage
 def _corr_stats(df, cols, y="churn"):
-    st = quality.target_corr_sums(df, F.col(y).cast("double"), cols)
-    return quality.corr_exprs(st, cols, {c: df.columns.index(c) for c in cols})
+    return quality.target_correlations(df, F.col(y).cast("double"), cols,
+                                       {c: df.columns.index(c) for c in cols})
 
 
 def _corr_ranking_sql():
@@ -342,11 +343,16 @@ def model_frame(spark, sf_dir):
     return md.select(*[finite_or_null(q(c)).alias(c) if c in dbl else q(c) for c in md.columns])
 
 
+def frozen_model_frame(spark, sf_dir):
+    """The model frame, written once for the screens that pass over it several times."""
+    return reliable_checkpoint(model_frame(spark, sf_dir))
+
+
 MODEL_FRAME_SQL = "mf AS (SELECT DISTINCT " + ", ".join(
     _fin(c) + f" AS {c}" if c in DIRTY_DOUBLE else c for c in DIRTY_COLUMNS) + " FROM mart_dirty)"
 LEAK_FAST_COLS = [c for c in DIRTY_COLUMNS if c not in ("customer_id", "churn", "segment", "nation",
                                                          "main_priority", "priority_customer",
-                                                         "sparse_score")]  # 30 % numeric
+                                                         "sparse_score", "leak_group")]
 
 
 def _num_sql(c):
@@ -393,15 +399,24 @@ def _leak_numeric_sql():
             f"THEN {d(0.87)} ELSE {d(0.85)} END, FALSE) AS is_leak FROM r WHERE varies AND nn > 10 AND sd > 0")
 
 
-def leak_numeric_frame(mf):
+def leak_numeric_frame(mf, n=None):
     ids = schema.detect_id_cols(mf.columns, target="churn")
     cols = [c for c in schema.numeric_columns(mf) if c != "churn" and c not in ids]
+    return quality.numeric_leaks(mf, "churn", cols, mf.count() if n is None else n)
+
+
+def leak_categorical_frame(mf, numeric_leaks, n):
+    ids = schema.detect_id_cols(mf.columns, target="churn")
+    cols = [c for c in mf.columns if c != "churn" and c not in ids and c not in numeric_leaks]
+    return quality.categorical_leaks(mf, "churn", cols, n)
+
+
+def leaking_columns(mf):
+    """Names that either screen flags."""
     n = mf.count()
-    thr = quality.LEAK_CORR_SMALL if n < quality.LEAK_SMALL_ROWS else quality.LEAK_CORR_LARGE
-    r = _corr_stats(mf, cols).where(F.col("varies") & (F.col("non_null") > quality.LEAK_MIN_NONNULL)
-                                    & (F.col("std") > 0))
-    return r.select("column_name", "position", F.abs("r_mean_filled").alias("abs_corr"),
-                    F.coalesce(F.abs("r_mean_filled") > thr, F.lit(False)).alias("is_leak"))
+    numeric = [r["column_name"] for r in leak_numeric_frame(mf, n).where("is_leak").collect()]
+    return numeric + [r["column_name"] for r in
+                      leak_categorical_frame(mf, numeric, n).where("is_leak").collect()]
 
 
 @register("leak_numeric", _leak_numeric_sql())
@@ -410,7 +425,7 @@ def q_leak_numeric(spark, sf_dir):
 
 
 CAT_LEAK_COLS = [c for c in DIRTY_COLUMNS if c not in ("customer_id", "churn", "leak_copy",
-                                                        "leak_inverse")]
+                                                        "leak_inverse", "leak_stamp")]
 
 
 def _leak_cat_sql():
@@ -431,28 +446,10 @@ def _leak_cat_sql():
 
 @register("leak_categorical", _leak_cat_sql())
 def q_leak_categorical(spark, sf_dir):
-    mf = model_frame(spark, sf_dir)
-    leaked = {r["column_name"] for r in leak_numeric_frame(mf).where("is_leak").collect()}
-    ids = schema.detect_id_cols(mf.columns, target="churn")
-    cols = [c for c in mf.columns if c != "churn" and c not in ids and c not in leaked]
+    mf = frozen_model_frame(spark, sf_dir)
     n = mf.count()
-    limit = min(quality.LEAK_MAX_CATEGORIES, n * 0.5)
-    nd = mf.agg(*[F.count_distinct(q(c)).alias(c) for c in cols]).first()
-    cols = [c for c in cols if nd[c] > 1]
-    g = quality.category_target_means(mf, F.col("churn"), cols)
-    big = F.col("count") >= quality.LEAK_MIN_GROUP
-    pos = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(mf.columns.index(c)))])
-    rep = g.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_categories"),
-        (F.max(F.when(big, F.col("target_mean"))) - F.min(F.when(big, F.col("target_mean"))))
-        .alias("separation"),
-        F.count_distinct(F.when(big, F.col("target_mean"))).alias("n_means"))
-    return rep.where(F.col("n_categories") <= limit).select(
-        "column_name", pos[F.col("column_name")].alias("position"), "n_categories",
-        "separation", "n_means",
-        F.coalesce((F.col("separation") > quality.LEAK_SEPARATION)
-                   & (F.col("n_means") <= quality.LEAK_MAX_DISTINCT_MEANS), F.lit(False))
-        .alias("is_leak"))
+    leaked = [r["column_name"] for r in leak_numeric_frame(mf, n).where("is_leak").collect()]
+    return leak_categorical_frame(mf, leaked, n)
 
 
 def _multicol_sql():
@@ -472,32 +469,6 @@ def _multicol_sql():
             f"SELECT *, COALESCE(max_abs_corr_prior > {d(thr)}, FALSE) AS dropped FROM r")
 
 
-def multicollinear_report(train, cols):
-    """Upper-triangle |r| on train; a column is dropped when its largest |r|
-    with an earlier column passes the threshold (DQ18).  All pairwise sums in
-    one aggregate; the d x d result is small."""
-    from ..functions.numeric import corr_from_sums
-    exprs = []
-    for j, b in enumerate(cols):
-        for i, a in enumerate(cols[:j]):
-            x, y = quality.numeric_view(train, a), quality.numeric_view(train, b)
-            both = x.isNotNull() & y.isNotNull()
-            xx, yy = F.when(both, x), F.when(both, y)
-            exprs.append(F.abs(corr_from_sums(F.count(xx).cast("double"), F.sum(xx), F.sum(yy),
-                                              F.sum(xx * xx), F.sum(yy * yy), F.sum(xx * yy)))
-                         .alias(f"r_{i}_{j}"))
-    r = train.agg(*exprs).first() if exprs else {}
-    thr = quality.COLLINEAR_SMALL if len(cols) <= quality.COLLINEAR_SMALL_COLS \
-        else quality.COLLINEAR_LARGE
-    rows = []
-    for j, b in enumerate(cols):
-        vals = [r[f"r_{i}_{j}"] for i in range(j) if r[f"r_{i}_{j}"] is not None]
-        mx = max(vals) if vals else None
-        rows.append((b, train.columns.index(b), mx, bool(mx is not None and mx > thr)))
-    return train.sparkSession.createDataFrame(
-        rows, "column_name string, position int, max_abs_corr_prior double, dropped boolean")
-
-
 @register("multicollinear_drop", _multicol_sql())
 def q_multicollinear_drop(spark, sf_dir):
     sp = mart_split(spark, sf_dir)
@@ -506,7 +477,7 @@ def q_multicollinear_drop(spark, sf_dir):
     from ..operators.rfm import candidate_profile
     prof = candidate_profile(train, num)
     cols = [c for c in num if prof[c]["unique_gt2"]]
-    return multicollinear_report(train, cols)
+    return quality.multicollinear_report(train, cols)
 
 
 # ---------------------------------------------------------------- more cleaning / target
@@ -526,7 +497,7 @@ def q_near_zero_variance(spark, sf_dir):
 
 def _conv_sql():
     from ..functions.numeric import NUMERIC_TEXT
-    text = ["segment", "nation", "main_priority", "priority_customer", "balance_text"]
+    text = ["segment", "nation", "main_priority", "priority_customer", "balance_text", "leak_group"]
     return f"{W}\n" + "\nUNION ALL ".join(
         f"SELECT '{c}' AS column_name, COALESCE(BOOL_AND(COALESCE(regexp_matches({c}, '{NUMERIC_TEXT}'), "
         f"{c} IS NULL)), TRUE) AS converted FROM mart_dirty" for c in text)
@@ -544,12 +515,11 @@ def q_convert_numeric_text(spark, sf_dir):
 
 
 @register("clean_dataset", f"""{W}, {MODEL_FRAME_SQL}
-SELECT * EXCLUDE (leak_copy, leak_inverse) FROM mf""")
+SELECT * EXCLUDE (leak_copy, leak_inverse, leak_stamp, leak_group) FROM mf""")
 def q_clean_dataset(spark, sf_dir):
     """The model frame without the columns the leak engine flags (DQ17)."""
-    mf = model_frame(spark, sf_dir)
-    leaked = [r["column_name"] for r in leak_numeric_frame(mf).where("is_leak").collect()]
-    return mf.drop(*leaked)
+    mf = frozen_model_frame(spark, sf_dir)
+    return mf.drop(*leaking_columns(mf))
 
 
 @register("validation_target", f"""WITH {MART_SQL}

@@ -42,7 +42,7 @@ _TYPE = "CASE lower(trim(a.feature)) " + " ".join(
 _FEAS = "CASE lower(trim(a.feature)) " + " ".join(
     f"WHEN '{k}' THEN '{v[1]}'" for k, v in SIM.TYPES.items()) + f" ELSE '{SIM.DEFAULT_TYPE[1]}' END"
 _COST = "CASE a.feature " + " ".join(
-    f"WHEN '{f}' THEN {d(SIM.intervention_cost(f))}" for f in _FEATS) + " END"
+    f"WHEN '{f}' THEN {d(SIM.offer(f).cost)}" for f in _FEATS) + " END"
 _VALS = {c: f"scored.{c}" for c in list(NUMERIC_WEIGHTS) + CATEGORY_COLUMNS}
 
 SIM_SQL = f"""WITH {SCORED_SQL}, {BG_SQL}, {ATTR_SQL},

@@ -40,14 +40,11 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """Cheap fingerprint from file metadata: name, total size, newest mtime."""
-    df = spark.read.parquet(path) if not path.lower().endswith(".csv") else \
-        spark.read.option("header", "true").csv(path)
-    return (df.select("_metadata.file_name", "_metadata.file_size",
-                      "_metadata.file_modification_time")
-            .groupBy().agg(F.count_distinct("file_name").alias("n_files"),
-                           F.max("file_modification_time").alias("modified"),
-                           F.first("file_name").alias("file_name")))
+    """Fingerprint from the files' metadata: number, total size, newest change.  No content
+    is read."""
+    return spark.read.format("binaryFile").load(path).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("total_size"),
+        F.max("modificationTime").alias("modified"))
 
 
 def content_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

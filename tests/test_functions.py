@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from retensa.functions.numeric import (corr_from_sums, kurt_bias_corrected, skew_bias_corrected,
+from retensa.functions.numeric import (pearson, kurt_bias_corrected, skew_bias_corrected,
                                        to_double)
 from retensa.functions.ordering import global_row_number, ordered_cumsum
 from retensa.functions.quantiles import exact_quantiles
@@ -29,9 +29,7 @@ def test_numeric_text_coercion_matches_pandas(spark):
 
 def test_corr_constant_column_is_null_not_error(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 1.0), (1.0, 1.0)], "x double, y double")
-    r = df.agg(corr_from_sums(F.count("x").cast("double"), F.sum("x"), F.sum("y"),
-                              F.sum(F.col("x") * F.col("x")), F.sum(F.col("y") * F.col("y")),
-                              F.sum(F.col("x") * F.col("y")))).first()[0]
+    r = df.agg(pearson(F.col("x"), F.col("y"))).first()[0]
     assert r is None
 
 
@@ -49,7 +47,7 @@ def test_bias_corrected_moments_match_pandas(spark):
 def test_ordered_cumsum_distributed_equals_window(spark):
     df = spark.range(0, 5000).select((F.col("id") % 97).alias("g"), F.col("id").alias("k"),
                                      (F.col("id") % 7).alias("v"))
-    got = ordered_cumsum(df, ["g", "k"], {"c": "v"}, partitions=6, small=False).select("k", "c")
+    got = ordered_cumsum(df, ["g", "k"], {"c": "v"}, ranges=6).select("k", "c")
     w = Window.orderBy("g", "k").rowsBetween(Window.unboundedPreceding, 0)
     exp = df.select("k", F.sum("v").over(w).alias("c"))
     assert sorted(got.collect()) == sorted(exp.collect())
@@ -58,8 +56,7 @@ def test_ordered_cumsum_distributed_equals_window(spark):
 def test_global_row_number_descending(spark):
     df = spark.createDataFrame([(i, float(i % 3)) for i in range(50)], "k long, s double")
     got = {r["k"]: r["rn"] for r in
-           global_row_number(df, ["s", "k"], "rn", descending=[True, False],
-                             small=False).collect()}
+           global_row_number(df, ["s", "k"], "rn", descending=[True, False]).collect()}
     exp = sorted(range(50), key=lambda i: (-(i % 3), i))
     assert [got[k] for k in exp] == list(range(1, 51))
 
@@ -68,18 +65,7 @@ def test_exact_quantiles_sorted_path_equals_numpy(spark):
     vals = [float((i * 37) % 101) / 3.0 for i in range(777)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     probs = [0.0, 0.2, 0.25, 0.5, 0.8, 1.0]
-    fast = exact_quantiles(df, "v", probs)
-    slow = exact_quantiles(df, "v", probs, distinct_limit=0)   # forces the sorted path
-    from retensa.functions import ordering
-    old, ordering.SINGLE_TASK_ROWS = ordering.SINGLE_TASK_ROWS, 0   # and the range path
-    try:
-        slow2 = exact_quantiles(df, "v", probs, distinct_limit=0)
-    finally:
-        ordering.SINGLE_TASK_ROWS = old
-    assert slow2 == pytest.approx(list(np.quantile(vals, probs)))
-    exp = np.quantile(vals, probs)
-    assert fast == pytest.approx(list(exp))
-    assert slow == pytest.approx(list(exp))
+    assert exact_quantiles(df, "v", probs) == pytest.approx(list(np.quantile(vals, probs)))
 
 
 def test_quintile_duplicate_edges_fall_back_to_equal_width(spark):

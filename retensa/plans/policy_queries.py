@@ -101,6 +101,21 @@ EV1_COLS = ("customer_id, churn_prob, b_actionable, top_feature, prob_reduction,
             "saved_b, net_b, roi_b, rfm_segment, clv_a, cost_a, saved_a, net_a")
 
 
+_DRAW = P.sql_mix32(f"(seed * 1000003 + {KEY})")
+
+
+@register("policy_ab_bootstrap", f"""{EV1_SQL},
+g AS (SELECT seed, SUM(({' + '.join(f'CAST(u >= {d(x)} AS BIGINT)' for x in P.POISSON_STEPS)}) * cents) / {d(100.0)} AS gain
+      FROM (SELECT seed, cents, {_DRAW} / {d(4294967296.0)} AS u
+            FROM (SELECT {KEY}, CAST(ROUND((net_b - net_a) * 100) AS BIGINT) AS cents FROM ev1t) x,
+                 (SELECT range AS seed FROM range({P.AB_BOOTSTRAP})) s) y GROUP BY seed)
+SELECT COUNT(*) AS resamples, {rhu('AVG(gain)', 2)} AS mean_gain,
+  {rhu('quantile_cont(gain, 0.025)', 2)} AS ci_low_gain, {rhu('quantile_cont(gain, 0.975)', 2)} AS ci_high_gain,
+  {rhu(f'AVG(CASE WHEN gain > 0 THEN {d(1.0)} ELSE {d(0.0)} END)', 4)} AS share_positive FROM g""")
+def q_policy_ab_bootstrap(spark, sf_dir):
+    return P.ab_bootstrap(ev1(spark, sf_dir), KEY)
+
+
 def _arm_sql(src, extra):
     parts = []
     for arm, (score, net, val, roi, pr, act) in P.ARM_COLS.items():

@@ -157,8 +157,9 @@ def kmeans_labels(df: DataFrame, key: str, cols: list[str], k: int = N_CLUSTERS,
         StandardScaler(inputCol="_vec", outputCol="_z", withMean=True, withStd=True),
         KMeans(featuresCol="_z", predictionCol="cluster", k=k, seed=seed)])
     pred = pipe.fit(base).transform(base)
-    med = pred.groupBy("cluster").agg(F.percentile_approx(filled[0], 0.5, 10000).alias("m"))
-    risky = med.agg(F.min_by("cluster", F.struct("m", "cluster"))).first()[0]
+    medians = quantiles_many(pred, {i: F.when(F.col("cluster") == i, F.col(filled[0]))
+                                    for i in range(k)}, [0.5])
+    risky = min((m[0], i) for i, m in medians.items() if m[0] is not None)[1]
     return pred.select(key, "cluster", (F.col("cluster") == F.lit(risky)).cast("int").alias("label"))
 
 
@@ -203,6 +204,47 @@ def _grow(X: np.ndarray, rng: np.random.RandomState, max_depth: int) -> list[tup
     return nodes
 
 
+def draw_plan(n: int, n_trees: int, psi: int) -> tuple[int, float]:
+    """(draws per row, share of draws taken) that give every tree about ``2 * psi`` rows."""
+    wanted = min(1.0, 2.0 * psi / max(n, 1)) * n_trees
+    draws = max(1, math.ceil(wanted))
+    return draws, wanted / draws
+
+
+def tree_members(rows: DataFrame, n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
+    """Rows with the trees t they belong to and the hash u that ranks them there.
+
+    A row draws as many trees as it joins on average, one where the rows are many, so no
+    row is written once per tree; draws and ranks are full 64-bit hashes.
+    """
+    draws, share = draw_plan(n, n_trees, psi)
+    cut = min((1 << 63) - 1, -(1 << 63) + int(share * ((1 << 64) - 1)))
+    each = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return each.where(F.xxhash64("k", "d", F.lit(seed)) <= F.lit(cut)).withColumn(
+        "t", F.pmod(F.xxhash64("d", "k", F.lit(seed + 1)), F.lit(n_trees)).cast("int")).withColumn(
+        "u", F.xxhash64("k", "t", F.lit(seed + 2))).drop("d").dropDuplicates(["t", "k"])
+
+
+def auto_labels(df: DataFrame, key: str, cols: list[str],
+                method: str | None = None) -> tuple[DataFrame, str, float]:
+    """Labels by the chosen method, the method that made them, and their reliability.
+
+    Labels of one kind only say nothing: the isolation forest then makes them, and their
+    reliability is capped.
+    """
+    rl = roles(df)
+    method = method or choose_method(df, rl)
+    build = {"heuristic": lambda: heuristic_risk(df, key, rl),
+             "clustering": lambda: kmeans_labels(df, key, cols),
+             "anomaly": lambda: isolation_forest_labels(df, key, cols)}
+    trust = reliability(df.count(), len(numeric_columns(df)), rl)
+    made = build[method]().select(key, "label")
+    if method != "anomaly" and made.agg(F.min("label") == F.max("label")).first()[0] is not False:
+        made, method = build["anomaly"]().select(key, "label"), "anomaly"
+        trust = min(trust, FALLBACK_RELIABILITY_CAP)
+    return made, method, trust
+
+
 def isolation_forest_labels(df: DataFrame, key: str, cols: list[str],
                             contamination: float = CONTAMINATION, n_trees: int = N_TREES,
                             sample: int = TREE_SAMPLE, seed: int = 42) -> DataFrame:
@@ -216,17 +258,12 @@ def isolation_forest_labels(df: DataFrame, key: str, cols: list[str],
           / F.lit(st[f"s{i}"] if st[f"s{i}"] else 1.0)).alias(f"x{i}") for i, c in enumerate(cols)]
     X = df.select(q(key).alias("k"), *z)
     psi = min(sample, n)
-    # each row joins the trees whose hash draw falls under an oversampling cut
-    keep = min(1.0, 2.0 * psi / max(n, 1))
-    h = F.xxhash64(F.col("k"), F.col("t"), F.lit(seed))
-    u = (F.abs(h % F.lit(1_000_000)) / F.lit(1_000_000.0))
-    members = X.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))) \
-        .withColumn("u", u).where(F.col("u") < F.lit(keep))
+    members = tree_members(X, n, n_trees, psi, seed)
     depth = int(math.ceil(math.log2(max(psi, 2))))
     xcols = [f"x{i}" for i in range(len(cols))]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "k"]).head(psi)
+        pdf = pdf.sort_values("u").head(psi)
         t = int(pdf["t"].iloc[0])
         rng = np.random.RandomState(seed * 1000 + t)
         nodes = _grow(pdf[xcols].to_numpy(dtype=float), rng, depth)

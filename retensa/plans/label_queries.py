@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import labels as L
 from ..operators.schema import detect_id_cols, numeric_columns
 from .mart import MART_SQL, build_mart, cached
@@ -95,6 +97,17 @@ def _model_cols(u):
     return [c for c in numeric_columns(u) if c not in ids]   # IDs excluded (deviation T20)
 
 
+@register("label_auto", f"""{HEUR_SQL}, n AS (SELECT COUNT(*) AS n FROM mart)
+SELECT {KEY}, label, 'heuristic' AS method,
+  LEAST((40 + CASE WHEN n >= 1000 THEN 20 WHEN n >= 500 THEN 15 WHEN n >= 100 THEN 10 ELSE 5 END
+         + 20 + 15) / {d(100.0)}, {d(1.0)}) AS reliability FROM lab, n""")
+def q_label_auto(spark, sf_dir):
+    """Labels by the method the table calls for, run end to end (UL4, UL7)."""
+    u = unlabelled(spark, sf_dir)
+    made, method, trust = L.auto_labels(u, KEY, _model_cols(u))
+    return made.select(KEY, "label", F.lit(method).alias("method"), F.lit(trust).alias("reliability"))
+
+
 @register("label_kmeans")
 def q_label_kmeans(spark, sf_dir):
     u = unlabelled(spark, sf_dir)

@@ -8,12 +8,13 @@ whole partitions, and each signature is the hash of a set's features in one of t
 * below 64 shingles every feature is a partition of its own, so sets that are similar
   share at least ``n - n // 3`` signatures: exact;
 * above, a band of sizes ``2**q`` has ``2**q`` partitions, of which the first ``parts``
-  are enumerated.  At a similarity of exactly 3/4 an agreeing pair misses all of them
-  with a probability below 1e-11.
+  are enumerated.  A pair at a similarity of exactly 3/4 shares ``LEAST_SHARED`` or more
+  of them but for a probability below 1e-7, a more similar one far more surely.
 
-Sets that share a signature belong to one family (components over *signature leader,
-member* pairs).  A signature of more than ``hot`` sets, such as a license line's, is left
-out for sets that provably must share a rarer one with any partner.  Inside a family
+A set that shares fewer signatures with others than any partner must share drops out.  A
+signature of more than ``hot`` sets, such as a license line's, is left out for sets that
+must share a rarer one with any partner.  The least set of a signature leads it; sets with
+a common leader form a cluster, so two similar sets always meet in one.  Inside a cluster
 all pairs are compared exactly by one matrix product per pair of blocks; a block holds a
 bounded number of sets and features, so no task holds an unbounded group, and only
 spanning links leave a task.
@@ -39,10 +40,12 @@ from .words import BLANK_FOLDED, blocks, mix, utf8_values
 SHINGLE = 5
 EXACT_BELOW_BITS = 6
 PARTS = 48
+LEAST_SHARED = 5
 HOT = 64
 BLOCK_SETS = 1024
-BLOCK_FEATURES = 1 << 21
-COLUMNS = 1 << 11
+BLOCK_FEATURES = 1 << 19
+COLUMNS = 1 << 10
+DENSE_FROM = 24
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -54,10 +57,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         for i in range(hi - lo):
             words = int(block.first[i + 1] - block.first[i])
             if 0 < words < SHINGLE:
-                one = np.uint64(words)
+                one = np.array([words], np.uint64)
                 for w in block.hashes[block.first[i]:block.first[i + 1]]:
-                    one = mix(np.array([one * np.uint64(31) + w]))[0]
-                out.append(np.array([one]))
+                    one = mix(one * np.uint64(31) + w)
+                out.append(one)
                 continue
             own = np.sort(h[cut[i]:cut[i + 1]])
             out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own)
@@ -122,8 +125,8 @@ def describe(docs: DataFrame, parts: int = PARTS) -> DataFrame:
         "next array<long>")
 
 
-def candidate_pairs(sets: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b): the least set of a signature and each other set that shares it."""
+def clusters(sets: DataFrame, hot: int = HOT) -> DataFrame:
+    """(leader, node): every set under the leaders of its signatures."""
     signed = sets.select("node", "n_shingles", F.explode(F.array(
         F.struct(F.lit(0).alias("band"), F.col("own").alias("sigs")),
         F.struct(F.lit(1).alias("band"), F.col("next").alias("sigs")))).alias("s")).select(
@@ -131,24 +134,39 @@ def candidate_pairs(sets: DataFrame, hot: int = HOT) -> DataFrame:
         F.explode("s.sigs").alias("sig"))
     groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")) \
         .where("size > 1")
-    members = stored(signed.join(groups, "sig").select(
-        "node", "band", "n_shingles", "n_sigs", "sig", "size", "leader"), "signature-members")
-    frequent = members.where(F.col("size") > hot)
     # signatures that any similar partner must share, at least
     exact = F.col("n_shingles") < F.lit(1 << EXACT_BELOW_BITS) / (F.col("band") + 1)
     sure = F.when(exact, F.col("n_sigs") - F.floor(F.col("n_shingles") / 3)).otherwise(
-        F.when(F.col("n_sigs") >= PARTS // 2, 4).otherwise(1))
-    bound_to = frequent.groupBy("node", "band", "n_shingles", "n_sigs").agg(
-        F.count(F.lit(1)).alias("n_hot")).where(F.col("n_hot") >= sure).select("node", "band")
-    kept = members.where(F.col("size") <= hot).select("leader", "node").union(
-        frequent.join(bound_to, ["node", "band"]).select("leader", "node"))
-    return kept.where("leader <> node").select(
-        F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        F.when(F.col("n_sigs") >= PARTS // 2, LEAST_SHARED).otherwise(1))
+    members = stored(signed.join(groups, "sig").select(
+        "node", "band", sure.alias("sure"), (F.col("size") > hot).alias("hot"), "leader"),
+        "signature-members")
+    tally = members.groupBy("node", "band", "sure").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("hot").alias("n_hot")).where(
+        F.col("n") >= F.col("sure")).select(
+        "node", "band", (F.col("n_hot") >= F.col("sure")).alias("bound"))
+    return members.join(tally, ["node", "band"]).where(~F.col("hot") | F.col("bound")).select(
+        "leader", "node").distinct()
+
+
+def _rare_pairs(owner: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+    """How many of the given features (each of fewer than ``DENSE_FROM`` sets) two sets share."""
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros(n * n, np.int32)
+    for step in range(1, DENSE_FROM):
+        pair = np.flatnonzero(column[step:] == column[:-step])
+        if not len(pair):
+            break
+        total += np.bincount(owner[pair] * n + owner[pair + step], minlength=n * n).astype(np.int32)
+    total = total.reshape(n, n)
+    return total + total.T
 
 
 def _links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None,
            percent: int) -> list[tuple[int, int]]:
-    """Spanning links of the pairs within ``left``, or between ``left`` and ``right``."""
+    """Every set that similar pairs lead to, linked with the first of them: of the pairs
+    within ``left``, or between ``left`` and ``right``."""
     rows = left + (right or [])
     names = [a for a, _ in rows]
     sizes = np.array([len(s) for _, s in rows], np.int64)
@@ -158,44 +176,49 @@ def _links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray
     column = np.cumsum(n > 1) - 1
     shared = n[place] > 1
     owner, column = owner[shared], column[place[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    often = n[place[shared]]
     cut = len(left) if right is not None else len(rows)
     first, second = slice(0, cut), slice(cut if right is not None else 0, len(rows))
-    common = np.zeros((first.stop, second.stop - second.start), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
-        table = np.zeros((len(rows), min(COLUMNS, int(column[-1]) + 1 - lo)), np.float32)
-        table[owner[a:b], column[a:b] - lo] = 1
+    common = _rare_pairs(owner[often < DENSE_FROM], column[often < DENSE_FROM], len(rows))
+    common = common[first, second].astype(np.float32)
+    dense, column = np.unique(column[often >= DENSE_FROM], return_inverse=True)
+    owner = owner[often >= DENSE_FROM]
+    for lo in range(0, len(dense), COLUMNS):
+        table = np.zeros((len(rows), min(COLUMNS, len(dense) - lo)), np.float32)
+        here = (column >= lo) & (column < lo + COLUMNS)
+        table[owner[here], column[here] - lo] = 1
         common += table[first] @ table[second].T
-    common = common.astype(np.int64)
-    union = sizes[first][:, None] + sizes[second][None, :] - common
-    linked = np.argwhere(100 * common >= percent * union)
-    parent = list(range(len(rows)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    near = np.zeros((len(rows), len(rows)), bool)
+    for lo in range(first.start, first.stop, 256):
+        both = common[lo:lo + 256].astype(np.int64)
+        union = sizes[lo:min(lo + 256, first.stop), None] + sizes[second][None, :] - both
+        near[lo:lo + len(both), second] = 100 * both >= percent * union
+    near |= near.T
     out = []
-    for x, y in linked.tolist():
-        y += second.start
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[ry] = rx
-            out.append((names[x], names[y]))
+    seen = np.zeros(len(rows), bool)
+    for start in range(len(rows)):
+        if seen[start]:
+            continue
+        seen[start] = True
+        edge = np.array([start])
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(axis=0) & ~seen)
+            seen[edge] = True
+            out += [(names[start], names[x]) for x in edge.tolist()]
     return out
 
 
-def verified_links(docs: DataFrame, sets: DataFrame, families: DataFrame, percent: int = 75,
+def verified_links(docs: DataFrame, sets: DataFrame, grouped: DataFrame, percent: int = 75,
                    filter_bits: int = 1 << 23) -> DataFrame:
-    """Spanning links (a, b) of the pairs inside each family that are similar."""
+    """Spanning links (a, b) of the pairs inside each cluster that are similar."""
     ship_package(docs.sparkSession)
-    members = stored(families.join(sets.select("node", "n_shingles", "digest"), "node"),
-                     "family-members")
-    wanted = membership(members, "digest", filter_bits)
+    size = grouped.join(sets.select("node", "n_shingles"), "node").groupBy("leader").agg(
+        F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("features")).where("sets > 1")
+    size = size.select("leader", F.greatest(
+        F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("features") / BLOCK_FEATURES)).alias("n"))
+    members = stored(grouped.join(size, "leader").join(sets.select("node", "digest"), "node"),
+                     "cluster-members")
+    wanted = membership(members.select("digest").distinct(), "digest", filter_bits)
 
     def features(batch):
         digests = batch.column(0).to_numpy().view(np.uint64)
@@ -209,17 +232,13 @@ def verified_links(docs: DataFrame, sets: DataFrame, families: DataFrame, percen
 
     content = map_batches(docs.where(F.col("text").isNotNull()).select(
         F.xxhash64("text").alias("digest"), "text"), features, "node long, features binary")
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("sets"),
-                                            F.sum("n_shingles").alias("features"))
-    size = size.select("component", F.greatest(
-        F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("features") / BLOCK_FEATURES)).alias("n"))
     block = F.pmod(F.xxhash64("node"), F.col("n"))
-    dealt = members.join(size, "component").select("component", "node", "n", block.alias("block"))
-    dealt = dealt.join(content.dropDuplicates(["node"]), "node").withColumn(
+    dealt = members.select("leader", "node", "n", block.alias("block")).join(
+        content.dropDuplicates(["node"]), "node").withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
-        "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        "leader", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         "block", "node", "features")
-    dealt = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    dealt = dealt.repartition("leader", "x", "y").sortWithinPartitions("leader", "x", "y")
 
     def compare(batches):
         key, left, right = None, [], []
@@ -259,8 +278,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, parts: int = PARTS,
         F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"),
         F.first("n_shingles").alias("n_shingles"), F.first("own").alias("own"),
         F.first("next").alias("next")), "shingle-sets")
-    families = components(candidate_pairs(sets, hot))
-    found = components(verified_links(docs, sets, families, percent))
+    grouped = stored(clusters(sets, hot), "clusters")
+    found = components(verified_links(docs, sets, grouped, percent))
     label = sets.select("node", "low", "doc_id").join(found, "node", "left").withColumn(
         "label", F.coalesce("component", "node"))
     named = label.join(label.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label") \

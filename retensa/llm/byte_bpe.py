@@ -106,17 +106,22 @@ class Recent(dict):
         self[key] = value
         return value
 
+    def rest(self) -> None:
+        """Keep the younger generation only, as a worker does between tasks."""
+        self.older = {}
+
 
 class Codec:
     """Ranks, splitting pattern and bounded caches of encoded pieces and words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = 160_000,
+                 pieces: int = 60_000):
         self.ranks = ranks
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(
             r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
         self.token = {i: t for t, i in ranks.items()}
         self.digits = {i: str(i) for i in self.token}
-        self.pieces, self.words = Recent(cached), Recent(cached)
+        self.pieces, self.words = Recent(pieces), Recent(words)
 
     def piece(self, text: str) -> tuple[int, ...]:
         ids = self.pieces.older.get(text)
@@ -162,6 +167,10 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.parts(text)))
 
+    def rest(self) -> None:
+        self.pieces.rest()
+        self.words.rest()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -194,7 +203,7 @@ def encode_documents(docs: DataFrame, ranks_file: str) -> DataFrame:
 
     return map_batches(docs, run, T.StructType([
         *others, T.StructField("ids", T.ArrayType(T.IntegerType())),
-        T.StructField("decoded", T.BinaryType())]))
+        T.StructField("decoded", T.BinaryType())]), lambda: codec(ranks_file).rest())
 
 
 def encode_digests(docs: DataFrame, ranks_file: str) -> DataFrame:
@@ -215,4 +224,5 @@ def encode_digests(docs: DataFrame, ranks_file: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(docs.select("doc_id", "text"), run,
-                       f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                       f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
+                       lambda: codec(ranks_file).rest())

@@ -34,8 +34,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver found it."""
+    """Let Python workers import this package, wherever the driver found it.
+
+    Arrow batches of whole texts are held by the JVM and by Python at once, so the session's
+    batches are kept to ``BATCH_ROWS`` rows.
+    """
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_retensa_shipped", False):
         return
@@ -52,8 +62,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-                schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` of a function of one batch; empty batches are left out."""
+                schema: str | T.StructType, at_end: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` of a function of one batch; empty batches are left out.
+
+    At the end of a task ``at_end`` is called, and Arrow's unused memory goes back to the
+    machine: the worker process stays for the next task, which may be of another stage.
+    """
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +75,10 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             out = fn(batch) if batch.num_rows else None
             if out is not None:
                 yield out
+        if at_end is not None:
+            at_end()
+        pa.default_memory_pool().release_unused()
+
     return df.mapInArrow(run, schema)
 
 

@@ -48,7 +48,7 @@ class WordEncoder:
     apart by the vocabulary's word-end mark, one for each run of letters or marks.
     """
 
-    def __init__(self, file: str, end_id: int, cached: int = 300_000):
+    def __init__(self, file: str, end_id: int, cached: int = 450_000):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(file)
@@ -103,10 +103,10 @@ class WordEncoder:
                     del known[key]
         known = self.words
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(known)
         if new:
             self._learn(new)
-        out = [b"".join([known[w] for w in words]) + self.end for words in split]
+        out = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
         for w in new:
             if len(w) > 64:
                 del known[w]

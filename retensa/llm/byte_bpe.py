@@ -106,22 +106,21 @@ class Recent(dict):
         self[key] = value
         return value
 
-    def rest(self) -> None:
-        """Keep the younger generation only, as a worker does between tasks."""
+    def forget(self) -> None:
+        self.clear()
         self.older = {}
 
 
 class Codec:
     """Ranks, splitting pattern and bounded caches of encoded pieces and words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, words: int = 160_000,
-                 pieces: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int):
         self.ranks = ranks
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(
             r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
         self.token = {i: t for t, i in ranks.items()}
         self.digits = {i: str(i) for i in self.token}
-        self.pieces, self.words = Recent(pieces), Recent(words)
+        self.pieces, self.words = Recent(cached), Recent(cached)
 
     def piece(self, text: str) -> tuple[int, ...]:
         ids = self.pieces.older.get(text)
@@ -167,16 +166,16 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.parts(text)))
 
-    def rest(self) -> None:
-        self.pieces.rest()
-        self.words.rest()
+    def forget(self) -> None:
+        self.pieces.forget()
+        self.words.forget()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
 @cache
-def codec(ranks_file: str) -> Codec:
+def codec(ranks_file: str, cached: int = 300_000) -> Codec:
     """One codec per worker process."""
     import public_tokenizers
 
@@ -185,16 +184,19 @@ def codec(ranks_file: str) -> Codec:
         for line in f:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    return Codec(ranks, public_tokenizers.PATTERN)
+    return Codec(ranks, public_tokenizers.PATTERN, cached)
 
 
-def encode_documents(docs: DataFrame, ranks_file: str) -> DataFrame:
-    """All columns of ``docs`` but the text, then ids (array) and decoded (binary)."""
+def encode_documents(docs: DataFrame, ranks_file: str, cached: int = 80_000) -> DataFrame:
+    """All columns of ``docs`` but the text, then ids (array) and decoded (binary).
+
+    As one stage among others it keeps few words, and none between tasks.
+    """
     place = docs.columns.index("text")
     others = [f for f in docs.schema.fields if f.name not in ("text", "ids", "decoded")]
 
     def run(batch):
-        c = codec(ranks_file)
+        c = codec(ranks_file, cached)
         ids = [c.encode(v.decode()) for v in utf8_values(batch.column(place))]
         return pa.RecordBatch.from_arrays(
             [batch.column(f.name) for f in others]
@@ -203,7 +205,7 @@ def encode_documents(docs: DataFrame, ranks_file: str) -> DataFrame:
 
     return map_batches(docs, run, T.StructType([
         *others, T.StructField("ids", T.ArrayType(T.IntegerType())),
-        T.StructField("decoded", T.BinaryType())]), lambda: codec(ranks_file).rest())
+        T.StructField("decoded", T.BinaryType())]), lambda: codec(ranks_file, cached).forget())
 
 
 def encode_digests(docs: DataFrame, ranks_file: str) -> DataFrame:
@@ -224,5 +226,4 @@ def encode_digests(docs: DataFrame, ranks_file: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(docs.select("doc_id", "text"), run,
-                       f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
-                       lambda: codec(ranks_file).rest())
+                       f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -35,10 +35,10 @@ BASE = {
 #: candidate kinds: pattern of the whole, and of the part in front that is not the span
 CANDIDATES = {
     "secret": (r"(?i)(?<![A-Z0-9_])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|"
-               r"private[_-]?key|auth)[ ]?[=:][ ]?[\"']?[A-Z0-9+/_.=-]{6,256}",
+               r"private[_-]?key|auth)[ ]?[=:][ ]?[\"']?[A-Z0-9+/_.=-]{6,}+",
                r"(?i)^[a-z_-]+[ ]?[=:][ ]?[\"']?"),
-    "api_id": (r"[A-Za-z0-9_-](?<![A-Za-z0-9_-]{2})(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{15,256}"
-               r"(?![A-Za-z0-9_-])", None),
+    "api_id": (r"[A-Za-z0-9_-](?<![A-Za-z0-9_-]{2})(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{15,}+",
+               None),
     "national_id": (r"[0-9](?<![0-9][0-9])(?<!-[0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])", None),
     "iban": (r"[A-Z](?<![A-Z0-9][A-Z])[A-Z][0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?"
              r"(?![A-Z0-9])", None),
@@ -61,6 +61,8 @@ COUNTRIES = ["AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "
              "PL", "PT", "SE"]
 LABELERS = ["regex", "gazetteer", "context", "shape"]
 CONTEXT = 24
+#: characters that keys are written in
+ALPHABET = 64
 PENALTY = 1.0
 
 
@@ -121,6 +123,11 @@ def _base_holds() -> Column:
         kind == "phone", (n >= 8) & (n <= 15)).otherwise(False)
 
 
+def _variety(value: Column) -> Column:
+    """Distinct characters to length; long values are not blamed for a bounded alphabet."""
+    return F.size(F.array_distinct(F.split(value, ""))) / F.least(F.length(value), F.lit(ALPHABET))
+
+
 def _votes() -> dict[str, Column]:
     """-1, 0 (no opinion) or 1 of every labeler on a candidate."""
     kind, value, before = F.col("kind"), F.col("value"), F.lower(F.col("before"))
@@ -141,7 +148,7 @@ def _votes() -> dict[str, Column]:
         cue = cue | ((kind == k) & before.rlike(r"\b(?:" + "|".join(words) + r")\b\W*$|^(?:"
                                                 + "|".join(words) + r")\W+$"))
     context = F.when(kind == "secret", 1).when(cue, 1).when(kind == "api_id", -1).otherwise(0)
-    variety = F.size(F.array_distinct(F.split(value, ""))) / F.length(value)
+    variety = _variety(value)
     shape = F.when(variety < 0.15, -1).when((variety > 0.3) & digits, 1).otherwise(0)
     return dict(zip(LABELERS, (strict, gazetteer, context, shape)))
 
@@ -180,7 +187,7 @@ def _features() -> dict[str, Column]:
         "size": F.least(F.floor(F.log2(size.cast("double"))), F.lit(8)).cast("string"),
         "digits": F.floor(4 * F.length(_digits(value)) / size).cast("string"),
         "letters": F.concat(value.rlike("[a-z]").cast("string"), value.rlike("[A-Z]").cast("string")),
-        "variety": F.floor(5 * F.size(F.array_distinct(F.split(value, ""))) / size).cast("string"),
+        "variety": F.floor(5 * _variety(value)).cast("string"),
         "votes": F.concat_ws(",", *[F.col(f"v_{n}").cast("string") for n in LABELERS]),
     }
 

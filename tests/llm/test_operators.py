@@ -353,6 +353,50 @@ def test_pii_adds_secrets_and_redacts(spark):
     assert all(t.startswith('words before token = "<SECRET>" é password=<SECRET> and <EMAIL> after') for t in texts)
 
 
+@pytest.mark.parametrize("length", [300, 5000])
+def test_pii_long_keys_are_found_whole(spark, length):
+    import random
+    import string
+    rng = random.Random(length)
+    rows, places = [], {}
+    for i in range(40):
+        value = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(length))
+        front, kind = ("é words token=", "secret") if i % 2 else ("é words bearer ", "api_id")
+        text = front + value
+        places[i] = f"{kind}:{len(front)}:{len(text)}"
+        rows.append((i, text + " and then plain words", "n"))
+    docs = frame(spark, rows, "doc_id long, text string, lang string", extra=False)
+    assert {r["doc_id"]: r["spans"] for r in pii.span_digests(docs).collect()} == places
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i in places:
+        assert texts[i] == ("é words token=<SECRET>" if i % 2 else "é words bearer <API_ID>") \
+            + " and then plain words"
+
+
+def test_pii_one_long_key_among_short_ones_and_junk(spark):
+    import random
+    import string
+    rng = random.Random(3)
+
+    def key(n):
+        return "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+
+    texts = [f"set token={key(40)} now" for _ in range(40)]
+    texts += [f"line {'-' * 30}{i} and {'ab' * 20}{i}" for i in range(60)]
+    long = key(5000)
+    texts += [f"set token={long} now", f"bearer {long} now"]
+    docs = frame(spark, [(i, t, "n") for i, t in enumerate(texts)],
+                 "doc_id long, text string, lang string", extra=False)
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert all(out[i] == "set token=<SECRET> now" for i in range(40))
+    assert all(out[i] == texts[i] for i in range(40, 100))
+    assert out[100] == "set token=<SECRET> now" and out[101] == "bearer <API_ID> now"
+    votes = spark.createDataFrame([("secret", v, "token=") for v in (long[:40], long)],
+                                  "kind string, value string, before string").select(
+        pii._votes()["shape"].alias("shape")).collect()
+    assert [v["shape"] for v in votes] == [1, 1]      # length alone is no vote against a key
+
+
 def test_vote_estimation_trusts_the_consistent_labelers():
     patterns = [((1, 0, 1, 1), 100), ((-1, 0, -1, -1), 100), ((1, 0, 1, -1), 10), ((-1, 0, -1, 1), 10)]
     _, belief = pii.estimate(patterns)

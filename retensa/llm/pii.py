@@ -10,8 +10,8 @@ Patterns are written so that Java's matcher neither recurses nor scans a run twi
 possessive parts, and a start only where a run begins or the last match ended.
 
 Defined cases: a null text is empty and has no spans; repeated rows have the same spans;
-null ids are carried; candidates over a base span are dropped; without candidates nothing
-is added.
+null ids are carried; candidates over a base span are dropped; of accepted candidates that
+overlap the earlier kind stays; without candidates nothing is added.
 """
 
 from __future__ import annotations
@@ -225,6 +225,30 @@ def _accepted(candidates: DataFrame) -> DataFrame:
     return soft.where(score > 0)
 
 
+def _overlapped(mine: Column, others: Column) -> Column:
+    """Whether a row of ``mine`` overlaps one of ``others`` in the same text.
+
+    Others come by their starts and ours by their ends, before an equal start: so the greatest
+    end up to a row of ours tells.
+    """
+    upto = Window.partitionBy("row").orderBy(
+        F.when(mine, F.col("end")).otherwise(F.col("start")), F.when(mine, 0).otherwise(1)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(others, F.col("end"))).over(upto)
+    return mine & F.coalesce(reach > F.col("start"), F.lit(False))
+
+
+def _settled(accepted: DataFrame) -> DataFrame:
+    """Accepted candidates, kind by kind, without those that overlap a kept one of an earlier kind."""
+    kinds = list(CANDIDATES)
+    out = accepted.withColumn("gone", F.lit(False))
+    for i, kind in enumerate(kinds[1:], 1):
+        mine = F.col("kind") == kind
+        out = out.withColumn("gone", F.col("gone") | _overlapped(
+            mine, F.col("kind").isin(kinds[:i]) & ~F.col("gone")))
+    return out.where(~F.col("gone")).drop("gone")
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, digest and spans (array of kind, start, end, base; in the order of kinds, then
     start) for every row of ``docs``."""
@@ -240,15 +264,13 @@ def find_spans(docs: DataFrame) -> DataFrame:
         "row", "kind", (F.col("start") + F.length("lead")).alias("start"), "end",
         F.expr("substring(hit, length(lead) + 1)").alias("value"),
         F.concat("before", "lead").alias("before"))
-    # a base span wins over a candidate, and an earlier kind over a later one
+    # a base span wins over a candidate, and an earlier kind over a later one once both are accepted
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(ORDER) for x in (k, i)])
-    rivals = base.select("row", F.lit(-1).alias("rank"), "start", "end").union(
-        loose.select("row", rank[F.col("kind")].alias("rank"), "start", "end"))
-    taken = rivals.groupBy("row").agg(F.collect_list(F.struct("rank", "start", "end")).alias("taken"))
-    free = loose.join(taken, "row").where(~F.exists("taken", lambda t: (
-        t["rank"] < rank[F.col("kind")]) & (t["start"] < F.col("end")) & (t["end"] > F.col("start")))) \
-        .drop("taken")
-    added = _accepted(free).select("row", "kind", "start", "end")
+    both = loose.withColumn("loose", F.lit(True)).unionByName(
+        base.withColumn("loose", F.lit(False)), allowMissingColumns=True)
+    free = both.withColumn("over", _overlapped(F.col("loose"), ~F.col("loose"))).where(
+        F.col("loose") & ~F.col("over")).drop("loose", "over")
+    added = _settled(_accepted(free).select("row", "kind", "start", "end"))
     spans = base.withColumn("base", F.lit(True)).union(added.withColumn("base", F.lit(False)))
     span = F.struct(rank[F.col("kind")].alias("rank"), "start", "end", "kind", "base")
     whole = spans.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))

@@ -397,6 +397,39 @@ def test_pii_one_long_key_among_short_ones_and_junk(spark):
     assert [v["shape"] for v in votes] == [1, 1]      # length alone is no vote against a key
 
 
+def test_pii_rejected_candidates_remove_nothing(spark, monkeypatch):
+    import random
+    rng = random.Random(2)
+    parts = ["auth: ", "token=", "tel_", "078-05-1120", "555-123-4567", "GB82WEST12345698765432", "_", "-",
+             " ", "a1b2c3d4e5f6g7h8", "(555) 010-9999", "x@y.ex", "1.2.3.4"]
+    texts = ["tel_555-123-4567", "auth: 078-05-1120"]
+    texts += ["".join(rng.choice(parts) for _ in range(12)) for _ in range(200)]
+    docs = frame(spark, [(i, t, "n") for i, t in enumerate(texts)],
+                 "doc_id long, text string, lang string", extra=False)
+    judged = []
+
+    def some(candidates):
+        rows = candidates.select("row", "kind", "start", "end", "value").collect()
+        judged.extend((*r[:4], r["kind"] not in ("secret", "api_id") or r["end"] % 3 == 0) for r in rows)
+        return candidates.where("kind not in ('secret', 'api_id') or end % 3 = 0")
+
+    monkeypatch.setattr(pii, "_accepted", some)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_spans(docs).collect()}
+    assert [s["kind"] for s in got[0]] == ["local_phone"]
+    assert [s["kind"] for s in got[1]] == ["national_id"]
+    kept = []
+    for row, kind, start, end, fine in sorted(judged, key=lambda c: (c[0], pii.ORDER.index(c[1]), c[2])):
+        if fine and all(r != row or e <= start or s >= end for r, _, s, e in kept):
+            kept.append((row, kind, start, end))
+    assert len(kept) < sum(c[4] for c in judged) < len(judged)
+    added = [(s["kind"], s["start"], s["end"]) for spans in got.values() for s in spans if not s["base"]]
+    assert sorted(added) == sorted(k[1:] for k in kept)
+    for spans in got.values():
+        base = [s for s in spans if s["base"]]
+        assert not any(a["start"] < b["end"] and b["start"] < a["end"]
+                       for a in spans if not a["base"] for b in base)
+
+
 def test_vote_estimation_trusts_the_consistent_labelers():
     patterns = [((1, 0, 1, 1), 100), ((-1, 0, -1, -1), 100), ((1, 0, 1, -1), 10), ((-1, 0, -1, 1), 10)]
     _, belief = pii.estimate(patterns)

@@ -8,8 +8,9 @@ whole partitions, and each signature is the hash of a set's features in one of t
 * below 64 shingles every feature is a partition of its own, so sets that are similar
   share at least ``n - n // 3`` signatures: exact;
 * above, a band of sizes ``2**q`` has ``2**q`` partitions, of which the first ``parts``
-  are enumerated.  A pair at a similarity of exactly 3/4 shares ``LEAST_SHARED`` or more
-  of them but for a probability below 1e-7, a more similar one far more surely.
+  are enumerated, single ones only.  A pair at a similarity of exactly 3/4 shares
+  ``LEAST_SHARED`` or more of them but for a probability below 5e-7 (most where the sizes
+  are 3/4 of ``2**q`` and ``2**q``), a more similar one far more surely.
 
 A set that shares fewer signatures with others than any partner must share drops out.  A
 signature of more than ``hot`` sets, such as a license line's, is left out for sets that

@@ -188,6 +188,23 @@ def test_signatures_are_shared_by_similar_sets():
                 assert one & two or np.array_equal(a, b)
 
 
+@pytest.mark.parametrize("q", [6, 7, 9, 12, 14])
+def test_similar_sets_share_as_many_signatures_as_are_asked_for(q):
+    rng = np.random.default_rng(q)
+    edge = 1 << q                       # sizes 3/4 of it against it, and it against itself
+    for common, left, right in ((3 * edge // 4, 0, edge // 4), (6 * edge // 7 + 1, edge // 7 - 1, edge // 7 - 1)):
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 64, common + left + right, dtype=np.uint64))
+            assert len(x) == common + left + right and 4 * common >= 3 * len(x)
+            x = rng.permutation(x)
+            one = np.sort(x[:common + left])
+            two = np.sort(np.concatenate((x[:common], x[common + left:])))
+            band = one.size.bit_length() - 1, two.size.bit_length() - 1
+            both = [np.intersect1d(partenum.signatures(one)[r - band[0]], partenum.signatures(two)[r - band[1]])
+                    for r in range(max(band), min(band) + 2)]
+            assert max(map(len, both)) >= partenum.LEAST_SHARED
+
+
 def test_components(spark):
     import random
     rng = random.Random(1)

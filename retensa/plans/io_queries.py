@@ -20,16 +20,16 @@ def q_csv_roundtrip(spark, sf_dir):
 
 @register("json_summary")
 def q_json_summary(spark, sf_dir):
-    """Arm metrics and bootstrap summary as one nested JSON document (SNK2)."""
-    from .policy_queries import q_policy_arms, q_policy_bootstrap
-    arms = sinks.summary_json(q_policy_arms(spark, sf_dir), "arm_metrics")
-    boot = sinks.summary_json(q_policy_bootstrap(spark, sf_dir), "bootstrap_summary")
-    # two one-row aggregates side by side (a union + max, no join needed)
-    doc = (arms.select("arm_metrics", F.lit(None).cast("string").alias("bootstrap_summary"))
-           .unionByName(boot.select(F.lit(None).cast("string").alias("arm_metrics"),
-                                    "bootstrap_summary"))
-           .agg(F.max("arm_metrics").alias("arm_metrics"),
-                F.max("bootstrap_summary").alias("bootstrap_summary")))
+    """Arm metrics, bootstrap summary and pairwise tests as one nested JSON document (SNK2)."""
+    from .policy_queries import q_policy_arms, q_policy_bootstrap, q_policy_pairwise
+    parts = {"arm_metrics": q_policy_arms, "bootstrap_summary": q_policy_bootstrap,
+             "pairwise_tests": q_policy_pairwise}
+    # one-row aggregates side by side (a union + max, no join needed)
+    doc = None
+    for name, table in parts.items():
+        one = sinks.summary_json(table(spark, sf_dir), name)
+        doc = one if doc is None else doc.unionByName(one, allowMissingColumns=True)
+    doc = doc.agg(*[F.max(name).alias(name) for name in parts])
     path = sinks.write_json(doc, sinks.shared_path(spark, "summary_json"))
     return spark.read.json(path)
 
@@ -39,7 +39,7 @@ def q_validation_report(spark, sf_dir):
     """Train/test verdict and leak findings as a (section, key, value,
     severity) report plus its text lines (SNK4)."""
     from .metric_queries import q_train_test_verdict
-    from .quality_queries import leak_numeric_frame, model_frame
+    from .quality_queries import frozen_model_frame, leak_categorical_frame, leak_numeric_frame
     v = q_train_test_verdict(spark, sf_dir)
     cols = [c for c in v.columns if c not in ("status",)]
     stack = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
@@ -47,11 +47,19 @@ def q_validation_report(spark, sf_dir):
         .select(F.lit("verdict").alias("section"), "key", "value",
                 F.when(F.col("status") == "HEALTHY", "INFO").otherwise(F.col("status"))
                 .alias("severity"))
-    leaks = leak_numeric_frame(model_frame(spark, sf_dir)).select(
-        F.lit("leakage").alias("section"), F.col("column_name").alias("key"),
-        F.format_number("abs_corr", 4).alias("value"),
-        F.when(F.col("is_leak"), "CRITICAL").otherwise("INFO").alias("severity"))
-    report = metrics.unionByName(leaks)
+    mf = frozen_model_frame(spark, sf_dir)
+    n = mf.count()
+    numeric = leak_numeric_frame(mf, n)
+    leaked = [r["column_name"] for r in numeric.where("is_leak").collect()]
+
+    def section(name, leaks, value):
+        return leaks.select(
+            F.lit(name).alias("section"), F.col("column_name").alias("key"),
+            F.format_number(value, 4).alias("value"),
+            F.when(F.col("is_leak"), "CRITICAL").otherwise("INFO").alias("severity"))
+
+    report = metrics.unionByName(section("leakage", numeric, "abs_corr")).unionByName(
+        section("categorical leakage", leak_categorical_frame(mf, leaked, n), "separation"))
     return report.withColumn("line", sinks.report_line())
 
 

@@ -58,3 +58,21 @@ def test_isolation_forest_flags_contamination_share(spark):
     lab = Q["label_isolation_forest"](spark, SF_SMALL)
     share = lab.agg(F.avg("label")).first()[0]
     assert 0.25 <= share <= 0.35
+
+
+def test_validation_report_has_both_leak_screens(spark):
+    rows = Q["validation_report"](spark, SF_SMALL).where("section like '%leakage'").collect()
+    expected = {(name, r["column_name"], r["is_leak"]) for name, query in (
+        ("leakage", "leak_numeric"), ("categorical leakage", "leak_categorical"))
+        for r in Q[query](spark, SF_SMALL).collect()}
+    assert {(r["section"], r["key"], r["severity"] == "CRITICAL") for r in rows} == expected
+    assert ("categorical leakage", "leak_group", True) in expected
+
+
+def test_json_summary_has_the_pairwise_tests(spark):
+    import json
+    doc = Q["json_summary"](spark, SF_SMALL).first()
+    pairs = json.loads(doc["pairwise_tests"])
+    assert [p["baseline"] for p in pairs] == [
+        r["baseline"] for r in Q["policy_pairwise"](spark, SF_SMALL).collect()]
+    assert doc["arm_metrics"] and doc["bootstrap_summary"]

@@ -66,7 +66,8 @@ def q_validation_report(spark, sf_dir):
 @register("dataset_fingerprint")
 def q_dataset_fingerprint(spark, sf_dir):
     """File metadata fingerprint and order-free content fingerprint of the
-    largest table (SRC3): a change in either resets fitted state."""
+    largest table (SRC3).  Nothing compares them: fitted state is kept by path, and
+    ``mart.clear_cache`` resets it."""
     path = f"{sf_dir}/lineitem.parquet"
     meta = file_fingerprint(spark, path)
     content = content_fingerprint(spark.read.parquet(path))

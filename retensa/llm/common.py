@@ -34,6 +34,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to all executors; ``shipped`` finds it there by this name."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    from pyspark import SparkFiles
+    return SparkFiles.get(name)
+
+
 BATCH_ROWS = 2000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

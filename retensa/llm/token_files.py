@@ -13,13 +13,9 @@ text is empty and has the end id alone.  Without documents there are no files.
 
 from __future__ import annotations
 
-import os
-import re
 import struct
 import zlib
 from dataclasses import dataclass
-from functools import cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,96 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shared_folder, ship_package, stored
+from .common import map_batches, shared_folder, ship_file, ship_package, shipped, stored
 from .files import Folder, attempt_name
 from .perfect_hash import PerfectHash
+from .word_ids import word_ids
 from .words import utf8_values
 
 MAGIC = b"RTIDS1\0\0"
 HEADER = "<8sII"
-BLOCK_BYTES = 1 << 20
-
-#: a run of plain letters, then marks: the tokenizer splits between them and nowhere else
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|<>()-]*)")
-
-
-class WordEncoder:
-    """Ids of texts through the tokenizers library, word by word with a bounded cache.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words in turn.  New words are encoded together in lines; their ids are told
-    apart by the vocabulary's word-end mark, one for each run of letters or marks.
-    """
-
-    def __init__(self, file: str, end_id: int, cached: int = 450_000):
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(file)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cached = cached
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _alone(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn_runs(self, runs: list[str]) -> None:
-        lines = [runs[i:i + 256] for i in range(0, len(runs), 256)]
-        found = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines],
-                                                 add_special_tokens=False)
-        for line, encoding in zip(lines, found):
-            ids = np.array(encoding.ids, self.kind)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(line):
-                self.runs.update((run, self._alone(run)) for run in line)
-                continue
-            data, size, begin = ids.tobytes(), self.kind.itemsize, 0
-            for run, end in zip(line, ends.tolist()):
-                self.runs[run] = data[begin * size:end * size]
-                begin = end
-
-    def _learn(self, words: set[bytes]) -> None:
-        parts, fresh = {}, set()
-        for word in words:
-            text = word.decode()
-            m = PLAIN.fullmatch(text) if len(word) <= 64 else None
-            if m is None:
-                self.words[word] = self._alone(text)
-            else:
-                parts[word] = [p for p in (m[1].lower(), m[2]) if p]
-                fresh.update(p for p in parts[word] if p not in self.runs)
-        if fresh:
-            self._learn_runs(sorted(fresh))
-        for word, own in parts.items():
-            self.words[word] = b"".join([self.runs[p] for p in own])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Raw ids of every text, the end id included."""
-        for known in (self.words, self.runs):
-            if len(known) > self.cached:       # the half that came first goes
-                for key in list(islice(known, len(known) // 2)):
-                    del known[key]
-        known = self.words
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(known)
-        if new:
-            self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
-        for w in new:
-            if len(w) > 64:
-                del known[w]
-        return out
-
-
-@cache
-def encoder(file: str, end_id: int) -> WordEncoder:
-    """One encoder per worker process."""
-    return WordEncoder(file, end_id)
 
 
 @dataclass
@@ -128,21 +42,11 @@ class TokenFiles:
     item_bytes: int
 
 
-def _text_blocks(texts: list[bytes]):
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > BLOCK_BYTES:
-            yield texts[begin:i]
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield texts[begin:]
-
-
 def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int,
                       folder: str | None = None) -> TokenFiles:
     spark = docs.sparkSession
     ship_package(spark)
+    vocabulary = ship_file(spark, tokenizer_file)
     folder = folder or shared_folder(spark, "token-ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranged = docs.select("doc_id", "text").repartitionByRange(
@@ -150,7 +54,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int,
 
     def write(batches):
         from pyspark import TaskContext
-        encode, out, name = encoder(tokenizer_file, end_id), None, ""
+        encode, out, name = word_ids(shipped(vocabulary)), None, ""
+        end = np.array([end_id], encode.kind).tobytes()
         place = ids_before = run = 0
         last: object = ()
         for batch in batches:
@@ -161,19 +66,17 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int,
                 out = Folder(folder).create(name)
                 out.write(struct.pack(HEADER, MAGIC, encode.kind.itemsize, end_id))
                 place = struct.calcsize(HEADER)
-            sizes = []
-            for texts in _text_blocks(utf8_values(batch.column(1))):
-                for data in encode.encode(texts):
-                    sizes.append(len(data))
-                    out.write(data)
+            ids, ends = encode.encode(utf8_values(batch.column(1)))
+            ends = ends.tolist()
+            out.write(b"".join([ids[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:])]))
+            ids = np.diff(ends) + 1
             repeats = []
             for key in batch.column(0).to_pylist():
                 run = run + 1 if key == last else 0
                 last = key
                 repeats.append(run)
-            n = np.array(sizes, np.int64)
+            n = ids * encode.kind.itemsize
             offset = place + np.concatenate(([0], np.cumsum(n)[:-1]))
-            ids = n // encode.kind.itemsize
             start = ids_before + np.concatenate(([0], np.cumsum(ids)[:-1]))
             place, ids_before = int(offset[-1] + n[-1]), int(start[-1] + ids[-1])
             yield pa.RecordBatch.from_arrays(
@@ -205,7 +108,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int,
         "doc_id", (F.col("repeat") + F.when(F.col("doc_id").eqNullSafe(F.col("first")),
                                             F.col("carried")).otherwise(0)).alias("repeat"),
         "file", "offset", "n_tokens", (F.col("start") + F.col("base")).alias("start"))
-    return TokenFiles(folder, documents, encoder(tokenizer_file, end_id).kind.itemsize)
+    return TokenFiles(folder, documents, word_ids(tokenizer_file).kind.itemsize)
 
 
 def _key_hashes(doc_id: Column, repeat: Column) -> list[Column]:

@@ -9,8 +9,9 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from retensa.llm import (byte_bpe, components, decontaminate, line_dedup, partenum, pii,
-                         quality_classifier, quality_rules, sharding, token_files, warc)
+                         quality_classifier, quality_rules, sharding, token_files, warc, word_ids)
 from retensa.llm.perfect_hash import PerfectHash
+from retensa.llm.word_ids import WordIds
 
 from ..conftest import SF_SMALL
 from . import brute
@@ -261,13 +262,31 @@ def test_token_files(spark, edge, edge_rows, none, small, small_rows):
 
 
 def test_word_encoder_is_the_tokenizer():
-    encoder = token_files.WordEncoder(WORD, 2, cached=50)
+    encoder = WordIds(WORD, cached=50)
+    assert encoder.by_runs
     texts = ["İstanbul ΣΑΣ don't it's 'S été ½ ②a!b ..x", "<|endoftext|>x <|startoftext|>", "é" * 200,
              "áb é! x-y z-- ", "A b\x1cc　d", "ÀÉ,, ÿß.", "", "\n"] * 20
     texts += [f"word{i} Été{i}, plain{chr(97 + i % 26) * 9}." for i in range(300)]
-    for text, data in zip(texts, encoder.encode([t.encode() for t in texts])):
-        expected = encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
-        assert np.frombuffer(data, encoder.kind).tolist() == expected
+    texts += ["x" * 3000 + " y " * 900, "<|", "a<|b |> 1<2", "12,345.6 a1b2 \x00 e\u0301", None or ""]
+    word_ids.BLOCK_BYTES, whole = 700, word_ids.BLOCK_BYTES
+    try:
+        for _ in range(2):                         # the cache shrinks on the way
+            ids, ends = encoder.encode([t.encode() for t in texts])
+            for text, a, b in zip(texts, ends[:-1], ends[1:]):
+                assert ids[a:b].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    finally:
+        word_ids.BLOCK_BYTES = whole
+
+
+def test_encoder_with_a_tokenizer_of_another_kind():
+    from tokenizers import Tokenizer
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = WordIds(file), Tokenizer.from_file(file)
+    assert not encoder.by_runs
+    texts = ["Two  words\n", "", "don't"]
+    ids, ends = encoder.encode([t.encode() for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [
+        plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_perfect_hash():

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, decontaminate, line_dedup, partenum, pii, quality_classifier,
-               quality_rules, sharding, sql, token_files, warc)
+from . import (byte_bpe, decontaminate, line_dedup, packing, partenum, pii,
+               quality_classifier, quality_rules, sharding, sql, token_files, warc, whitening)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeat_digests(read_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read_table(spark, sf_dir, "documents"),
+                          public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return packed.places.drop("part", "rank")
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a deviation beyond 64 bits (over about 2 million distinct vectors) is null here; the
+    # operator's own column is a decimal of 38 digits
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

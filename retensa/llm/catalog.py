@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, decontaminate, line_dedup, packing, partenum, pii,
+from . import (byte_bpe, collocations, decontaminate, line_dedup, packing, partenum, pii,
                quality_classifier, quality_rules, sharding, sql, token_files, warc, whitening)
 from .common import read_table
 
@@ -96,6 +96,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.places.drop("part", "rank")
 
 
+@query(sql.COLLOCATIONS)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a deviation beyond 64 bits (over about 2 million distinct vectors) is null here; the

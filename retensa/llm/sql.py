@@ -68,3 +68,43 @@ SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::
        coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN made USING (doc_id)
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+runs AS (
+  SELECT lang, size, w[at:at + size - 1] AS names
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS at
+        FROM words, (VALUES (1), (2), (3)) AS sizes(size) WHERE len(w) >= size)),
+counts AS (SELECT lang, size, names, count(*) AS f FROM runs GROUP BY ALL),
+candidates AS (SELECT lang, size, names, f AS a FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT c.*, k, c.names[1:k] AS lhs, c.names[k + 1:] AS rhs
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c),
+scored AS (
+  SELECT c.lang, c.size, c.names, a, k, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.names = c.lhs
+       JOIN counts y ON y.lang = c.lang AND y.names = c.rhs),
+lowest AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, names ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS a
+  FROM (SELECT lang, a, unnest([names[1:2], names[2:3]]) AS part FROM candidates WHERE size = 3)
+  GROUP BY lang, part),
+kept AS (
+  SELECT s.lang, array_to_string(s.names, ' ') AS phrase, s.a, s.l, s.r, s.score
+  FROM lowest s LEFT JOIN longer b ON b.lang = s.lang AND b.part = s.names
+  WHERE b.a IS NULL OR 100 * b.a < 50 * s.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n,
+       score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -77,8 +77,8 @@ WITH pieces AS (
 words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
 runs AS (
-  SELECT lang, size, w[at:at + size - 1] AS names
-  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS at
+  SELECT lang, size, w[b:b + size - 1] AS names
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS b
         FROM words, (VALUES (1), (2), (3)) AS sizes(size) WHERE len(w) >= size)),
 counts AS (SELECT lang, size, names, count(*) AS f FROM runs GROUP BY ALL),
 candidates AS (SELECT lang, size, names, f AS a FROM counts WHERE size > 1 AND f >= 10),

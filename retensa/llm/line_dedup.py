@@ -1,14 +1,18 @@
 r"""Substring dedup by line or paragraph hashing.
 
-Texts are cut into lines (at ``\n``) or paragraphs (at lines without words).  A unit is
-normalised (A-Z lower-cased, runs of white space as one blank, none at the ends) and
-hashed; units of fewer than ``min_words`` words are left alone.  Of equal units over all
-documents the one of least (doc_id, place) stays; the others go, and their original
-offsets (code points, end exclusive) are kept in the result.
+Texts are cut into lines (at ``\n``) or paragraphs (at lines without words).  Every unit of
+a word or more is normalised (A-Z lower-cased, runs of white space as one blank, none at the
+ends) and hashed.  Of equal units over all documents the one of least (doc_id, place) is
+the earliest; the others are repeats.  A **run** of repeats, with nothing between them but
+units without words, is taken out when its words are ``min_words`` or more: a repeated
+passage goes whether it is one long line or many short ones, and a short line that many
+documents happen to share stays.  The original offsets of what was taken out (code points,
+end exclusive) are kept in the result.
 
 Defined cases: a null text is empty and has no units; a null doc_id ranks last; rows that
 share a doc_id rank alike, so both keep what neither has from a lesser one; a unit that is
-repeated within a text stays once at most; very long texts are one row like any other.
+repeated within a text is a repeat from its second place on; ids may be of any type that
+has an order; very long texts are one row like any other.
 """
 
 from __future__ import annotations
@@ -16,14 +20,16 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, same, stored
 from .words import utf8_values
 
-MIN_WORDS = 8
+MIN_WORDS = 25
 LAST = (1 << 63) - 1
+HOT_SHARE = 4096
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -44,17 +50,29 @@ def units_of(text: bytes, unit: str) -> list[bytes]:
     return out + [b"\n".join(open_)] if open_ else out
 
 
-def unit_digest(unit: bytes, min_words: int) -> bytes | None:
+def normalised(unit: bytes) -> tuple[bytes | None, int]:
+    """(digest, words) of a unit; no digest without words."""
     words = unit.translate(_FOLD).split()
-    return hashlib.md5(b" ".join(words)).digest() if len(words) >= min_words else None
+    return (hashlib.md5(b" ".join(words)).digest() if words else None), len(words)
 
 
-def repeated_units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
-    """doc_id, digest (of the text) and gone: the unit digests that a lesser document has."""
+def rank_of(docs: DataFrame) -> Column:
+    """Ids in their order, null last; whole numbers as one long, which aggregates faster."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    return F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+
+
+def repeated_units(docs: DataFrame, unit: str) -> DataFrame:
+    """doc_id, digest (of the text) and gone: the unit digests that a lesser document has.
+
+    Units that are at least 1/4,096 of all (so at most 4,096 of them) are sent to all tasks
+    instead of being joined by a shuffle, in which each would be one large group.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batch):
-        found = [sorted({d for u in units_of(t, unit) if (d := unit_digest(u, min_words))})
+        found = [sorted({d for u in units_of(t, unit) if (d := normalised(u)[0])})
                  for t in utf8_values(batch.column(2))]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))],
@@ -62,21 +80,44 @@ def repeated_units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
 
     rows = stored(map_batches(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), cut,
                               f"doc_id {kind}, digest long, units array<binary>"), "units")
-    rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    each = rows.select("doc_id", "digest", rank.alias("rank"), F.explode("units").alias("unit"))
-    first = each.groupBy("unit").agg(F.min("rank").alias("first"), F.max("rank").alias("last")) \
-        .where("last > first").select("unit", "first")
-    return each.join(first, "unit").where("rank > first").groupBy("doc_id", "digest").agg(
+    each = rows.select("doc_id", "digest", rank_of(rows).alias("rank"), F.explode("units").alias("unit"))
+    first = stored(each.groupBy("unit").agg(
+        F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).where(
+        "last > first").select("unit", "first", "n"), "first-units")
+    total = rows.agg(F.sum(F.size("units"))).first()[0] or 0
+    hot = F.col("n") >= max(2, -(-total // HOT_SHARE))
+    common, rare = (first.where(c).select("unit", "first") for c in (hot, ~hot))
+    by_task = each.join(F.broadcast(common), "unit")
+    by_key = each.join(F.broadcast(common.select("unit")), "unit", "left_anti").join(rare, "unit")
+    return by_task.unionByName(by_key).where("rank > first").groupBy("doc_id", "digest").agg(
         F.collect_set("unit").alias("gone"))
 
 
+def taken_out(digests: list[bytes | None], words: list[int], lost: set[bytes],
+              min_words: int) -> set[int]:
+    """Numbers of the units in runs of repeats with ``min_words`` words or more."""
+    out, run, size, seen = set(), [], 0, set()
+    for i, digest in enumerate(digests):
+        if digest is None:
+            continue
+        if digest in lost or digest in seen:
+            run.append(i)
+            size += words[i]
+            continue
+        seen.add(digest)
+        if size >= min_words:
+            out.update(run)
+        run, size = [], 0
+    return out | set(run) if size >= min_words else out
+
+
 def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, kept_text, n_units, n_removed and removed (start, end of every unit taken out)
-    for every row of ``docs``."""
+    """doc_id, text (what is kept of it), n_units, n_removed and removed (start, end of every
+    unit taken out) for every row of ``docs``."""
     if unit not in ("line", "paragraph"):
         raise ValueError("unit must be line or paragraph")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    gone = repeated_units(docs, unit, min_words).select(
+    gone = repeated_units(docs, unit).select(
         F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "gone")
     base = docs.select("doc_id", "text")
     marked = base.join(gone, same(base["doc_id"], gone["_id"])
@@ -87,18 +128,16 @@ def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     def take_out(batch):
         texts, counts, removed = [], [], []
         for text, lost in zip(utf8_values(batch.column(1)), batch.column(2).to_pylist()):
-            seen = set(lost or ())
-            kept, spans, at = [], [], 0
             parts = units_of(text, unit) if text else []
-            for u in parts:
+            known = [normalised(u) for u in parts]
+            out = taken_out(*(list(x) for x in zip(*known)), set(lost or ()), min_words) if parts else ()
+            kept, spans, at = [], [], 0
+            for i, u in enumerate(parts):
                 size = len(u) if u.isascii() else len(u.decode())
-                d = unit_digest(u, min_words)
-                if d is not None and d in seen:
+                if i in out:
                     spans.append({"start": at, "end": at + size})
                 else:
                     kept.append(u)
-                    if d is not None:
-                        seen.add(d)
                 at += size + 1
             texts.append(b"\n".join(kept).decode())
             counts.append(len(parts))
@@ -106,16 +145,16 @@ def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()),
              pa.array([len(s) for s in removed], pa.int64()), pa.array(removed, pa.list_(span))],
-            names=["doc_id", "kept_text", "n_units", "n_removed", "removed"])
+            names=["doc_id", "text", "n_units", "n_removed", "removed"])
 
-    return map_batches(marked, take_out, f"doc_id {kind}, kept_text string, n_units long, "
+    return map_batches(marked, take_out, f"doc_id {kind}, text string, n_units long, "
                                          "n_removed long, removed array<struct<start: long, end: long>>")
 
 
 def repeat_digests(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, n_units, n_removed, removed (start:end, comma-joined) and kept_sha256."""
+    """doc_id, n_units, n_removed, removed (start:end, comma-joined) and the kept text."""
     spans = F.transform("removed", lambda s: F.concat_ws(":", s.start.cast("string"),
                                                          s.end.cast("string")))
     return remove_repeats(docs, **params).select(
         "doc_id", "n_units", "n_removed", F.array_join(spans, ",").alias("removed"),
-        F.sha2("kept_text", 256).alias("kept_sha256"))
+        "text")

@@ -54,10 +54,16 @@ units AS (
            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w,
          sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS place
   FROM lines),
+repeats AS (
+  SELECT *, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, i) > 1 AS again
+  FROM units WHERE len(w) > 0),
+runs AS (
+  SELECT *, sum((NOT again)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM repeats),
+taken AS (
+  SELECT doc_id, i, again AND sum(CASE WHEN again THEN len(w) ELSE 0 END)
+                              OVER (PARTITION BY doc_id, run) >= 25 AS gone FROM runs),
 ranked AS (
-  SELECT *, len(w) >= 8 AND row_number() OVER (
-             PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, i) > 1 AS gone
-  FROM units),
+  SELECT units.*, coalesce(gone, false) AS gone FROM units LEFT JOIN taken USING (doc_id, i)),
 made AS (
   SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
          string_agg(place::BIGINT || ':' || (place + length(line))::BIGINT, ',' ORDER BY i)
@@ -65,7 +71,7 @@ made AS (
          string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept
   FROM ranked GROUP BY doc_id)
 SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
+       coalesce(removed, '') AS removed, coalesce(kept, '') AS text
 FROM documents LEFT JOIN made USING (doc_id)
 """
 

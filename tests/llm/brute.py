@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -128,31 +129,38 @@ def spans(docs):
     return out
 
 
-def lines(docs, min_words=8):
+def lines(docs, min_words=25):
+    """Runs of lines (those without words left out) that stand in a lesser document or earlier in
+    the text, taken out from ``min_words`` words on."""
+    def known(line):
+        return re.findall("[^\x20\x09-\x0D]+", fold(line))
+
+    def rank(doc_id):
+        return (doc_id is None, doc_id or 0)
+
     least = {}
     for doc_id, text in docs:
         for line in (text or "").split("\n"):
-            w = re.findall("[^\x20\x09-\x0D]+", fold(line))
-            if len(w) >= min_words:
-                key = " ".join(w)
-                rank = float("inf") if doc_id is None else doc_id
-                least[key] = min(rank, least.get(key, rank))
+            key = " ".join(known(line))
+            least[key] = min(rank(doc_id), least.get(key, rank(doc_id)))
     out = []
     for doc_id, text in docs:
-        at, kept, gone, seen = 0, [], [], set()
         parts = text.split("\n") if text else []
-        for line in parts:
-            w = re.findall("[^\x20\x09-\x0D]+", fold(line))
-            key = " ".join(w)
-            rank = float("inf") if doc_id is None else doc_id
-            if len(w) >= min_words and (key in seen or least[key] < rank):
-                gone.append(f"{at}:{at + len(line)}")
-            else:
-                kept.append(line)
+        seen, flags = set(), []
+        for i, line in enumerate(parts):
+            key = " ".join(known(line))
+            if key:
+                flags.append((i, len(known(line)), key in seen or least[key] < rank(doc_id)))
                 seen.add(key)
-            at += len(line) + 1
-        out.append((doc_id, len(parts), len(gone), ",".join(gone),
-                    hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        gone = set()
+        for _, run in itertools.groupby(flags, key=lambda f: f[2]):
+            run = list(run)
+            if run[0][2] and sum(n for _, n, _ in run) >= min_words:
+                gone |= {i for i, _, _ in run}
+        ends = list(itertools.accumulate(len(p) + 1 for p in parts))
+        out.append((doc_id, len(parts), len(gone),
+                    ",".join(f"{ends[i] - len(parts[i]) - 1}:{ends[i] - 1}" for i in sorted(gone)),
+                    "\n".join(p for i, p in enumerate(parts) if i not in gone)))
     return out
 
 

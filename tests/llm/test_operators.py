@@ -476,7 +476,7 @@ def test_vote_estimation_trusts_the_consistent_labelers():
 
 def check_shards(rows, docs, shards):
     import zlib
-    got = sharding.assign_shards(docs, shards, bundles=64, chunks=8).collect()
+    got = sharding.assign_shards(docs, shards, chunks=8).collect()
     agree([(r["doc_id"], r["size"], r["text_crc32"]) for r in got],
           [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows])
     homes, slots, sizes = {}, {}, [0] * shards
@@ -504,24 +504,55 @@ def test_sharding(edge, edge_rows, none, small, small_rows, tmp_path, spark):
     assert back.count() == len(small_rows) and back.select("shard").distinct().count() == 4
 
 
+def plain_best_fit(sizes, capacity):
+    """Bin of every size, one after the other, by a plain search."""
+    free, out = [], []
+    for s in sizes:
+        fits = [(f, b) for b, f in enumerate(free) if f >= s]
+        if not fits:
+            free.append(capacity)
+        at = min(fits)[1] if fits else len(free) - 1
+        free[at] -= s
+        out.append(at)
+    return out
+
+
+def one_by_one(placed):
+    return [b for _, _, b in sorted((-size, rank + i, b) for size, rank, n, b in placed for i in range(n))]
+
+
 def test_best_fit_enters_the_tightest_bin():
     import random
+    from collections import Counter
     rng = random.Random(8)
-    for _ in range(40):
-        sizes = sorted((rng.randrange(1, 60) for _ in range(rng.randrange(1, 80))), reverse=True)
-        free, plain = [], []
-        for s in sizes:
-            fits = [(f, b) for b, f in enumerate(free) if f >= s]
-            if fits:
-                at = min(fits)[1]
-            else:
-                at = len(free)
-                free.append(70)
-            free[at] -= s
-            plain.append(at)
-        assert sharding.best_fit(sizes, 70, 10 ** 6) == plain
-    assert sharding.pack([100, 3, 3, 2, 2, 2], 3) and set(sharding.pack([100, 3, 3, 2, 2, 2], 3)[1:]) == {1, 2}
-    assert sharding.pack([], 4) == []
+    for _ in range(60):
+        sizes = sorted((rng.randrange(1, rng.choice([4, 60])) for _ in range(rng.randrange(1, 80))), reverse=True)
+        runs = [(s, 0, n) for s, n in sorted(Counter(sizes).items(), reverse=True)]
+        assert one_by_one(sharding.best_fit(runs, 70, 10 ** 6)) == plain_best_fit(sizes, 70)
+    alone = sharding.pack({100: 1, 3: 2, 2: 3}, 3)
+    assert alone[0] == (100, 0, 1, 0) and {p[-1] for p in alone[1:]} == {1, 2}
+    assert sharding.pack({9: 3}, 3) == [(9, 0, 1, 0), (9, 1, 1, 1), (9, 2, 1, 2)]
+    assert sharding.pack({}, 4) == [] and sharding.best_fit([(9, 0, 1)], 8, 5) is None
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_shards_are_best_fit_of_all_groups(spark, folder):
+    docs = spark.read.parquet(f"{SF_SMALL}/../{folder}/documents.parquet")
+    groups = {}
+    for r in docs.select("text").collect():
+        t = r["text"] or ""
+        groups[t] = groups.get(t, 0) + len(t.encode()) + 1
+    sizes = sorted(groups.values(), reverse=True)
+    got = sharding.assign_shards(docs).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    bytes_in = {r["shard"]: r["n"] for r in got}
+    if sizes[0] * 16 <= sum(sizes):                 # no group above the even share
+        capacity = next(c for c in range(-(-sum(sizes) // 16), sum(sizes))
+                        if max(plain_best_fit(sizes, c)) < 16)
+        plain = [0] * 16
+        for s, b in zip(sizes, plain_best_fit(sizes, capacity)):
+            plain[b] += s
+        assert [bytes_in[b] for b in range(16)] == plain
+    assert sorted(bytes_in) == list(range(16)) and sum(bytes_in.values()) == sum(sizes)
 
 
 # 10 -----------------------------------------------------------------------------------------
@@ -529,15 +560,38 @@ def test_best_fit_enters_the_tightest_bin():
 def test_line_dedup(edge, edge_rows, none, small, small_rows):
     agree(line_dedup.repeat_digests(small).collect(), brute.lines(small_rows))
     agree(line_dedup.repeat_digests(edge).collect(), brute.lines(edge_rows))
+    for least in (1, 8):
+        agree(line_dedup.repeat_digests(edge, min_words=least).collect(), brute.lines(edge_rows, least))
     assert line_dedup.repeat_digests(none).count() == 0
 
 
+def test_line_dedup_takes_runs_of_short_lines(spark, monkeypatch):
+    verse = "\n".join(f"line {i} of a verse" for i in range(8))
+    one = "a single line that is shared by two documents only here"
+    rows = [(1, f"head one\n{verse}\ntail"), (2, f"other\n\n{verse.upper()}\n \nline 3 of a verse\nend"),
+            (3, f"{one}\nx"), (4, f"y\n{one}"), (5, verse.replace("\n", "\n\n"))]
+    for share in (4096, 4):                        # the second makes many lines hot ones
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        got = {r["doc_id"]: r["text"] for r in line_dedup.repeat_digests(frame(spark, rows)).collect()}
+        assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[4] == rows[3][1]
+        assert got[2] == "other\n\n \nend" and got[5] == "\n" * 6
+        agree(line_dedup.repeat_digests(frame(spark, rows)).collect(), brute.lines(rows))
+
+
+def test_line_dedup_of_text_ids(spark):
+    long = "w " * 30
+    rows = [("b", long), ("a", long), (None, long), ("c", "x")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.repeat_digests(
+        frame(spark, rows, "doc_id string, text string")).collect()}
+    assert got == {"a": long, "b": "", None: "", "c": "x"}
+
+
 def test_paragraphs(spark):
     a, b = "a b c d e\nf g h i j", "k l m n o p q r s"
     rows = [(1, f"{a}\n\n{b}"), (2, f"x\n\n{a.upper()}\n \n{b}\n"), (3, b)]
-    got = {r["doc_id"]: r for r in line_dedup.remove_repeats(frame(spark, rows), "paragraph").collect()}
-    assert got[1]["kept_text"] == rows[0][1] and got[3]["kept_text"] == ""
-    assert got[2]["kept_text"] == "x\n\n \n" and got[2]["n_removed"] == 2
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeats(frame(spark, rows), "paragraph", 8).collect()}
+    assert got[1]["text"] == rows[0][1] and got[3]["text"] == ""
+    assert got[2]["text"] == "x\n\n \n" and got[2]["n_removed"] == 2
     assert [rows[1][1][s["start"]:s["end"]] for s in got[2]["removed"]] == [a.upper(), b]
     for text in ("", "\n", "a\n", "\n\na\n\nb\n\n", " \na"):
         assert b"\n".join(line_dedup.units_of(text.encode(), "paragraph")) == text.encode()

@@ -1,10 +1,12 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Equal texts form a group, which one shard takes whole.  Groups above a share of the total
-(so a bounded number of them, whatever the input) are packed one by one; smaller ones are
-first gathered by hash into a fixed number of bundles, which are packed like groups.
-Largest first, each enters the shard of least remaining capacity that still holds it,
-found in a balanced search tree over remaining capacities.  The capacity is the least,
+Equal texts form a group, which one shard takes whole.  Groups of one size can stand for
+each other, so best-fit-decreasing runs over the **sizes** and how many groups have each:
+the driver holds distinct sizes, not groups (k of them need k * k / 2 bytes of text at least, so
+they are at most the square root of twice the input).  Largest first, each group enters the shard of least remaining
+capacity that still holds it, found in a balanced search tree over remaining capacities; the
+next one of its size enters the same shard as long as it fits, for that is now the tightest.
+A group then finds its shard by its rank among the groups of its size.  The capacity is the least,
 by bisection, with which the wanted number of shards is enough.  A group above the even
 share gets a shard of its own, and the rest is spread over the other shards.
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BUNDLES = 4096
 CHUNKS = 1024
+HOT_SHARE = 4096
 
 
 class FreeSpace:
@@ -89,43 +91,55 @@ class FreeSpace:
         return best
 
 
-def best_fit(sizes: list[int], capacity: int, limit: int) -> list[int] | None:
-    """Bin of every size (sorted from largest), opening a bin where none holds it; None above
-    ``limit`` bins or for a size above ``capacity``."""
+Run = tuple[int, int, int]              # size, rank of its first group, groups
+
+
+def best_fit(runs: list[Run], capacity: int, limit: int) -> list[tuple[int, int, int, int]] | None:
+    """(size, first rank, groups, bin) for runs sorted from the largest size, opening a bin where
+    none holds a group; None above ``limit`` bins or for a size above ``capacity``."""
     free, used, out = FreeSpace(), 0, []
-    for size in sizes:
-        found = free.take(size)
-        if found is None:
-            if used == limit or size > capacity:
-                return None
-            found = (capacity, used)
-            used += 1
-        out.append(found[1])
-        free.insert((found[0] - size, found[1]))
+    for size, rank, count in runs:
+        while count:
+            found = free.take(size)
+            if found is None:
+                if used == limit or size > capacity:
+                    return None
+                found = (capacity, used)
+                used += 1
+            room, at = found
+            n = min(count, room // size)
+            out.append((size, rank, n, at))
+            free.insert((room - n * size, at))
+            rank, count = rank + n, count - n
     return out
 
 
-def pack(sizes: list[int], shards: int) -> list[int]:
-    """Shard of every size (sorted from largest), near equal in total."""
-    out, rest, total = [], 0, sum(sizes)
-    while rest < len(sizes) and rest < shards - 1 and sizes[rest] * (shards - rest) > total:
-        out.append(rest)                   # larger than an even share of what is left
-        total -= sizes[rest]
+def pack(counts: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
+    """(size, first rank, groups, shard) of groups counted by size, near equal in total."""
+    left = [(size, 0, counts[size]) for size in sorted(counts, reverse=True)]
+    out, rest, total = [], 0, sum(size * n for size, n in counts.items())
+    while left and rest < shards - 1 and left[0][0] * (shards - rest) > total:
+        size, rank, n = left[0]            # larger than an even share of what is left
+        out.append((size, rank, 1, rest))
+        total -= size
         rest += 1
-    left, bins = sizes[rest:], shards - rest
+        left[0:1] = [(size, rank + 1, n - 1)] if n > 1 else []
     if not left:
         return out
-    low = max(left[0], -(-total // bins))
-    high = low + left[0]
-    while best_fit(left, high, bins) is None:
-        high += left[0]
+    bins = shards - rest
+    low = high = max(left[0][0], -(-total // bins))
+    found = best_fit(left, low, bins)      # many small groups fill the bins evenly at once
+    while found is None:
+        low, high = high + 1, high + max(1, 2 * (high - low + 1))
+        found = best_fit(left, high, bins)
     while low < high:
         middle = (low + high) // 2
-        if best_fit(left, middle, bins) is None:
+        fits = best_fit(left, middle, bins)
+        if fits is None:
             low = middle + 1
         else:
-            high = middle
-    return out + [rest + b for b in best_fit(left, high, bins)]
+            high, found = middle, fits
+    return out + [(size, rank, n, rest + b) for size, rank, n, b in found]
 
 
 def _text() -> Column:
@@ -136,67 +150,67 @@ def _size() -> Column:
     return (F.octet_length(_text()) + 1).cast("long")
 
 
-def _keyed(docs: DataFrame, bundles: int, *columns: Column) -> DataFrame:
-    """``columns`` of ``docs`` with the digest and the bundle of their text."""
-    digest = F.unhex(F.md5(_text()))
-    return docs.select(*columns, digest.alias("_md5"),
-                       F.pmod(F.xxhash64(digest), F.lit(bundles)).alias("_bundle"))
-
-
-def _located(rows: DataFrame, sizes: DataFrame, shards: int, bundles: int) -> DataFrame:
-    """``rows`` with the shard of their text; ``sizes`` has _md5, _bundle and size of all rows.
-
-    At most ``2 * bundles`` units of packing reach the driver and are sent back.
-    """
-    groups = stored(sizes.groupBy("_md5", "_bundle").agg(F.sum("size").alias("size")),
-                    "sharding-groups")
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    large = F.col("size") > total // bundles        # fewer than ``bundles`` groups
-    units = groups.where(large).select("_md5", "_bundle", "size").union(
-        groups.where(~large).groupBy("_bundle").agg(F.sum("size").alias("size")).select(
-            F.lit(None).cast("binary").alias("_md5"), "_bundle", "size")).collect()
-    units.sort(key=lambda r: (-r["size"], bytes(r["_md5"] or b""), r["_bundle"]))
-    placed = [(r["_md5"], r["_bundle"], s)
-              for r, s in zip(units, pack([r["size"] for r in units], shards))]
-    spark = rows.sparkSession
-    alone = spark.createDataFrame([p[::2] for p in placed if p[0] is not None],
-                                  "_md5 binary, _own int")
-    gathered = spark.createDataFrame([p[1:] for p in placed if p[0] is None],
-                                     "_bundle long, _shared int")
-    return rows.join(F.broadcast(alone), "_md5", "left").join(
-        F.broadcast(gathered), "_bundle", "left").withColumn(
-        "shard", F.coalesce("_own", "_shared")).drop("_own", "_shared")
-
-
-def assign_shards(docs: DataFrame, shards: int = 16, bundles: int = BUNDLES,
-                  chunks: int = CHUNKS) -> DataFrame:
+def _digest() -> Column:
+    return F.unhex(F.md5(_text()))
+
+
+def _chunk(*columns: str, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(chunks)).cast("int")
+
+
+def _numbered(rows: DataFrame, group: str, order: list[str], chunks: int) -> DataFrame:
+    """``rows`` (with a column chunk) with a gapless ``number`` from 0 within ``group``: its place
+    within (group, chunk), after the rows of the chunks before.  No task sorts a whole group."""
+    counts = rows.groupBy(group, "chunk").agg(F.count("*").alias("n"))
+    before = counts.select(group, "chunk", F.coalesce(F.sum("n").over(
+        Window.partitionBy(group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(group, "chunk").orderBy(*order))
+    return rows.withColumn("inside", inside).join(before, [group, "chunk"]).withColumn(
+        "number", F.col("before") + F.col("inside") - 1).drop("before", "inside", "chunk")
+
+
+def _homes(sizes: DataFrame, shards: int, chunks: int) -> tuple[DataFrame, int]:
+    """_md5, copies and shard of every group of ``sizes`` (_md5, size of all rows), and the rows."""
+    groups = stored(sizes.groupBy("_md5").agg(
+        F.sum("size").alias("group_size"), F.count("*").alias("copies")).withColumn(
+        "chunk", _chunk("_md5", chunks=chunks)), "sharding-groups")
+    counts = groups.groupBy("group_size").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).collect()
+    placed = pack({r["group_size"]: r["n"] for r in counts}, shards)
+    runs = sizes.sparkSession.createDataFrame(
+        placed, "group_size long, first long, groups long, shard int")
+    ranked = _numbered(groups, "group_size", ["_md5"], chunks)
+    ahead = F.col("number") - F.col("first")
+    homes = ranked.join(runs, "group_size").where((ahead >= 0) & (ahead < F.col("groups"))).select(
+        "_md5", "copies", "shard")
+    return stored(homes, "sharding-homes"), sum(r["rows"] for r in counts)
+
+
+def _located(rows: DataFrame, sizes: DataFrame, shards: int, chunks: int) -> DataFrame:
+    """``rows`` with the shard of their text.  Texts that are at least 1/4,096 of all rows (so
+    at most 4,096 of them) are sent to all tasks; a shuffle would gather each in one."""
+    homes, total = _homes(sizes, shards, chunks)
+    hot = F.col("copies") >= max(2, -(-total // HOT_SHARE))
+    common, rare = (homes.where(c).select("_md5", "shard") for c in (hot, ~hot))
+    return rows.join(F.broadcast(common), "_md5").unionByName(
+        rows.join(F.broadcast(common.select("_md5")), "_md5", "left_anti").join(rare, "_md5"))
+
+
+def assign_shards(docs: DataFrame, shards: int = 16, chunks: int = CHUNKS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row of ``docs``."""
-    if shards < 1 or bundles < 1 or chunks < 1:
-        raise ValueError("shards, bundles and chunks must be positive")
-    rows = stored(_keyed(docs, bundles, F.col("doc_id"), _size().alias("size"),
-                         F.crc32(_text().cast("binary")).alias("text_crc32")), "sharding-rows")
-    located = _located(rows, rows, shards, bundles).withColumn(
-        "chunk", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(chunks)))
-
-    # slots: a number within (shard, chunk), after the rows of the chunks before
-    counts = located.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(
-        Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("before"))                  # shards * chunks rows at most
-    inside = Window.partitionBy("shard", "chunk").orderBy("doc_id", "_md5")
-    return located.withColumn("number", F.row_number().over(inside)).join(
-        F.broadcast(before), ["shard", "chunk"]).select(
+    if shards < 1 or chunks < 1:
+        raise ValueError("shards and chunks must be positive")
+    rows = stored(docs.select("doc_id", _digest().alias("_md5"), _size().alias("size"),
+                              F.crc32(_text().cast("binary")).alias("text_crc32")), "sharding-rows")
+    located = _located(rows, rows.select("_md5", "size"), shards, chunks).withColumn(
+        "chunk", _chunk("doc_id", "size", "text_crc32", chunks=chunks))
+    return _numbered(located, "shard", ["doc_id", "_md5"], chunks).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("before") + F.col("number") - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"))
-
+        F.col("number").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
-def write_shards(docs: DataFrame, folder: str, shards: int = 16, bundles: int = BUNDLES) -> None:
-    """Write ``docs``, all columns, as Parquet with one subfolder ``shard=N`` for each shard.
 
-    Nothing is shuffled: every task looks its rows' shards up and writes them.
-    """
-    rows = _keyed(docs, bundles, *[F.col(f"`{c}`") for c in docs.columns])
-    sizes = _keyed(docs, bundles, _size().alias("size"))
-    _located(rows, sizes, shards, bundles).drop("_md5", "_bundle").write.partitionBy(
-        "shard").parquet(folder)
+def write_shards(docs: DataFrame, folder: str, shards: int = 16, chunks: int = CHUNKS) -> None:
+    """Write ``docs``, all columns, as Parquet with one subfolder ``shard=N`` for each shard."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], _digest().alias("_md5"))
+    sizes = docs.select(_digest().alias("_md5"), _size().alias("size"))
+    _located(rows, sizes, shards, chunks).drop("_md5").write.partitionBy("shard").parquet(folder)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import (finite_or_null, kurt_bias_corrected, pearson, q, round_half_up,
                                  skew_bias_corrected, to_double)
+from ..functions.moments import pair_correlations
 from ..functions.quantiles import quantiles_many
 from .schema import is_numeric_type
 
@@ -263,28 +264,18 @@ def target_correlations(df: DataFrame, y: Column, cols: list[str],
                    "varies"], positions)
 
 
-PAIRS_PER_PASS = 300
-
-
 def multicollinear_report(train: DataFrame, cols: list[str]) -> DataFrame:
     """Upper-triangle |r| on train; a column is dropped when its largest |r| with an
-    earlier column passes the threshold (DQ18).  Pairs go in passes of a fixed number,
-    so a plan does not grow with the square of the columns."""
-    pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
-    best: dict[int, float] = {}
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        some = pairs[at:at + PAIRS_PER_PASS]
-        row = train.agg(*[F.abs(pearson(numeric_view(train, cols[i]), numeric_view(train, cols[j])))
-                          .alias(f"r_{i}_{j}") for i, j in some]).first()
-        for i, j in some:
-            r = row[f"r_{i}_{j}"]
-            if r is not None:
-                best[j] = max(r, best.get(j, r))
+    earlier column passes the threshold (DQ18).  All pairs come from one scan."""
+    best = pair_correlations(train, [numeric_view(train, c) for c in cols]).groupBy("b").agg(
+        F.max(F.abs("r")).alias("max_abs_corr_prior"))
     limit = COLLINEAR_SMALL if len(cols) <= COLLINEAR_SMALL_COLS else COLLINEAR_LARGE
-    return train.sparkSession.createDataFrame(
-        [(c, train.columns.index(c), best.get(j), best.get(j, 0.0) > limit)
-         for j, c in enumerate(cols)],
-        "column_name string, position int, max_abs_corr_prior double, dropped boolean")
+    names = train.sparkSession.createDataFrame(
+        [(j, c, train.columns.index(c)) for j, c in enumerate(cols)],
+        "b int, column_name string, position int")
+    return names.join(best, "b", "left").select(
+        "column_name", "position", "max_abs_corr_prior",
+        F.coalesce(F.col("max_abs_corr_prior") > limit, F.lit(False)).alias("dropped"))
 
 
 def leak_threshold(n_rows: int) -> float:

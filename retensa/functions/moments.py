@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ["n", "mean_a", "mean_b", "ss_a", "ss_b", "products"]
+FIELDS = ["n", "centre_a", "centre_b", "off_a", "off_b", "ss_a", "ss_b", "products"]
 
 
 def pair_moments(df: DataFrame, columns: list[Column]) -> DataFrame:
@@ -56,7 +56,7 @@ def pair_moments(df: DataFrame, columns: list[Column]) -> DataFrame:
         some = n > 0
         a, b, n, sa, sb, qa, qb, p = (v[some] for v in (a, b, n, sa, sb, qa, qb, p))
         with np.errstate(all="ignore"):
-            values = [n.astype(np.int64), centre[a] + sa / n, centre[b] + sb / n,
+            values = [n.astype(np.int64), centre[a], centre[b], sa / n, sb / n,
                       np.maximum(qa - sa * sa / n, 0), np.maximum(qb - sb * sb / n, 0),
                       p - sa * sb / n]
         yield pa.RecordBatch.from_arrays(
@@ -73,16 +73,21 @@ def pair_moments(df: DataFrame, columns: list[Column]) -> DataFrame:
     def total(of) -> Column:
         return F.aggregate("parts", F.lit(0.0), lambda s, p: s + of(p))
 
+    def mean(side: str):
+        """A task's mean less the first task's centre: a difference of near values is exact."""
+        return lambda p: (p[f"centre_{side}"] - F.col("parts")[0][f"centre_{side}"]) + p[f"off_{side}"]
+
+    mean_a, mean_b = mean("a"), mean("b")
     counted = gathered.withColumn("n", F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p.n))
-    n = F.col("n").cast("double")
-    centred = counted.withColumns({
-        "mean_a": total(lambda p: p.n * p.mean_a) / n, "mean_b": total(lambda p: p.n * p.mean_b) / n})
+    centred = counted.withColumns({"rel_a": total(lambda p: p.n * mean_a(p)) / F.col("n"),
+                                   "rel_b": total(lambda p: p.n * mean_b(p)) / F.col("n")})
     return centred.select(
-        "a", "b", "n", "mean_a", "mean_b",
-        total(lambda p: p.ss_a + p.n * (p.mean_a - F.col("mean_a")) ** 2).alias("ss_a"),
-        total(lambda p: p.ss_b + p.n * (p.mean_b - F.col("mean_b")) ** 2).alias("ss_b"),
-        total(lambda p: p.products + p.n * (p.mean_a - F.col("mean_a"))
-              * (p.mean_b - F.col("mean_b"))).alias("products"))
+        "a", "b", "n", (F.col("parts")[0].centre_a + F.col("rel_a")).alias("mean_a"),
+        (F.col("parts")[0].centre_b + F.col("rel_b")).alias("mean_b"),
+        total(lambda p: p.ss_a + p.n * (mean_a(p) - F.col("rel_a")) ** 2).alias("ss_a"),
+        total(lambda p: p.ss_b + p.n * (mean_b(p) - F.col("rel_b")) ** 2).alias("ss_b"),
+        total(lambda p: p.products + p.n * (mean_a(p) - F.col("rel_a"))
+              * (mean_b(p) - F.col("rel_b"))).alias("products"))
 
 
 #: a sum of squares this much below the square of the mean is rounding, not spread

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
-from ..functions.ordering import global_row_number
+from ..functions.ordering import global_row_number, key_number
 from ..functions.quantiles import quantiles_many
 from .explain import is_immutable
+from .stats import SIGNIFICANT, WILCOXON_MIN_PAIRS, signed_ranks, two_sided_p
 
 # ---- fixed values (must equal the reference's) -------------------------------
 GENERIC_EFFECTIVENESS = 0.30
@@ -249,10 +250,12 @@ def ab_bootstrap(t: DataFrame, key: str, n_boot: int = AB_BOOTSTRAP) -> DataFram
     from the hash of (seed, key), so one pass with partial sums per seed is enough.  Sums
     are whole cents, exact in any order.
     """
-    cents = t.select(F.col(key), F.round((F.col("net_b") - F.col("net_a")) * 100).cast("long")
+    number = key_number(t, key)                # below 2**32 the key itself; the mixer needs as much
+    folded = number.bitwiseXOR(F.shiftrightunsigned(number, 32)).bitwiseAND(F.lit(MASK32))
+    cents = t.select(folded.alias("_key"), F.round((F.col("net_b") - F.col("net_a")) * 100).cast("long")
                      .alias("cents"))
     each = cents.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    draw = mix32(F.col("seed").cast("long") * F.lit(1000003) + F.col(key)) / F.lit(float(1 << 32))
+    draw = mix32(F.col("seed").cast("long") * F.lit(1000003) + F.col("_key")) / F.lit(float(1 << 32))
     weight = F.lit(0)
     for step in POISSON_STEPS:
         weight = weight + (draw >= F.lit(step)).cast("int")
@@ -304,27 +307,38 @@ def bootstrap_summary(boot: DataFrame) -> DataFrame:
         round_half_up(F.avg("avg_prob_reduction"), 4).alias("mean_avg_prob_reduction"))
 
 
+#: differences are ranked to this many places, so that ties don't hang on the order of sums
+RANKED_PLACES = 6
+
+
 def pairwise(boot: DataFrame) -> DataFrame:
-    """Integrated arm against each baseline per seed (JN7 pivot, EV4)."""
-    pv = boot.groupBy("seed").pivot("arm", ARMS).agg(F.first("total_net_benefit"))
-    parts = []
-    for base in ARMS[:3]:
-        dcol = F.col("`Integrated AI + SHAP`") - F.col(f"`{base}`")
-        imp = F.when(F.col(f"`{base}`") != 0, dcol / F.col(f"`{base}`") * 100.0)
-        x = pv.select(dcol.alias("diff"), imp.alias("imp")).where(F.col("diff").isNotNull())
-        sd = F.stddev_samp("diff")
-        parts.append(x.agg(
-            F.lit(base).alias("baseline"), F.count(F.lit(1)).alias("n_pairs"),
-            round_half_up(F.avg("diff"), 4).alias("mean_net_benefit_diff"),
-            round_half_up(F.coalesce(F.percentile("imp", 0.5), F.lit(0.0)), 4)
-            .alias("median_value_improvement_pct"),
-            round_half_up(F.coalesce(F.percentile("imp", 0.025), F.lit(0.0)), 4)
-            .alias("ci_low_value_improvement_pct"),
-            round_half_up(F.coalesce(F.percentile("imp", 0.975), F.lit(0.0)), 4)
-            .alias("ci_high_value_improvement_pct"),
-            round_half_up(F.when(sd > 1e-9, F.avg("diff") / sd).otherwise(0.0), 4)
-            .alias("cohens_d")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Integrated arm against each baseline per seed, with the signed-rank test of the
+    differences (JN7, EV4).  The test needs ``WILCOXON_MIN_PAIRS`` pairs and a difference."""
+    mine = boot.where(F.col("arm") == ARMS[-1]).select("seed", F.col("total_net_benefit").alias("own"))
+    theirs = boot.where(F.col("arm").isin(ARMS[:-1])).select(
+        "seed", F.col("arm").alias("baseline"), F.col("total_net_benefit").alias("base"))
+    diff = F.col("own") - F.col("base")
+    x = theirs.join(mine, "seed").where(diff.isNotNull()).select(
+        "baseline", diff.alias("diff"), F.when(F.col("base") != 0, diff / F.col("base") * 100.0).alias("imp"),
+        round_half_up(diff, RANKED_PLACES).alias("ranked"))
+    sd = F.stddev_samp("diff")
+
+    def share(p: float) -> Column:
+        return round_half_up(F.coalesce(F.percentile("imp", p), F.lit(0.0)), 4)
+
+    summary = x.groupBy("baseline").agg(
+        F.count(F.lit(1)).alias("n_pairs"), round_half_up(F.avg("diff"), 4).alias("mean_net_benefit_diff"),
+        share(0.5).alias("median_value_improvement_pct"), share(0.025).alias("ci_low_value_improvement_pct"),
+        share(0.975).alias("ci_high_value_improvement_pct"),
+        round_half_up(F.when(sd > 1e-9, F.avg("diff") / sd).otherwise(0.0), 4).alias("cohens_d"))
+    ranks = signed_ranks(x, "ranked", ("baseline",)).select(
+        "baseline", F.col("n").alias("n_nonzero"), "w_plus", "w_minus", "statistic", "z")
+    tested = (F.col("n_pairs") >= WILCOXON_MIN_PAIRS) & (F.coalesce("n_nonzero", F.lit(0)) > 0)
+    p = round_half_up(two_sided_p(F.col("z")), 6)
+    return summary.join(ranks, "baseline", "left").select(
+        "baseline", "n_pairs", "mean_net_benefit_diff", "median_value_improvement_pct",
+        "ci_low_value_improvement_pct", "ci_high_value_improvement_pct", "cohens_d",
+        F.coalesce("n_nonzero", F.lit(0)).alias("n_nonzero"),
+        F.when(tested, round_half_up(F.col("statistic"), 4)).alias("wilcoxon_statistic"),
+        F.when(tested, p).alias("wilcoxon_p_value"),
+        F.when(tested, F.coalesce(p < SIGNIFICANT, F.lit(False))).alias("significant_at_005"))

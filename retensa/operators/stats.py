@@ -49,12 +49,32 @@ def sql_two_sided_p(z: str) -> str:
     return f"(2e0 * exp(-({z}) * ({z}) / 2e0) / {math.sqrt(2 * math.pi)!r}e0 * {poly})"
 
 
-def value_ranks(counts: DataFrame, value: str, n: str, descending: bool = False) -> DataFrame:
-    """(value, _rank, _ties) of a table of values and how often they occur: average-tie rank
-    (1 = smallest, or largest if descending) and the number of equal rows."""
-    per = counts.groupBy(F.col(value)).agg(F.sum(n).alias("_ties"))
-    cum = ordered_cumsum(per, [value], {"_cum": "_ties"}, descending=descending)
-    return cum.select(value, "_ties", (F.col("_cum") - (F.col("_ties") - 1) / 2.0).alias("_rank"))
+def value_ranks(counts: DataFrame, value: str, n: str, descending: bool = False,
+                groups: tuple[str, ...] = ()) -> DataFrame:
+    """(groups, value, _rank, _ties) of a table of values and how often they occur: average-tie
+    rank (1 = smallest, or largest if descending) and the number of equal rows.
+
+    With ``groups`` the ranks begin anew in each: one running count over (groups, value) serves
+    all of them, however many or uneven they are, less the count before each group.
+    """
+    per = counts.groupBy(*groups, value).agg(F.sum(n).alias("_ties"))
+    cum = ordered_cumsum(per, [*groups, value], {"_cum": "_ties"},
+                         descending=[False] * len(groups) + [descending])
+    if groups:
+        before = cum.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]).agg(
+            F.min(F.col("_cum") - F.col("_ties")).alias("_before"))
+        at = all_equal([(F.col(g), F.col(f"_g{i}")) for i, g in enumerate(groups)])
+        cum = cum.join(before, at).withColumn("_cum", F.col("_cum") - F.col("_before"))
+    return cum.select(*groups, value, "_ties",
+                      (F.col("_cum") - (F.col("_ties") - 1) / 2.0).alias("_rank"))
+
+
+def all_equal(pairs: list[tuple[Column, Column]]) -> Column:
+    """Whether both sides of every pair are equal, nulls included."""
+    out = F.lit(True)
+    for left, right in pairs:
+        out = out & left.eqNullSafe(right)
+    return out
 
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = False) -> DataFrame:
@@ -91,29 +111,40 @@ def spearman(df: DataFrame, a: str, b: str, descending: bool = True) -> DataFram
                       _weighted_corr("ra", "rb", "w").alias("rho"))
 
 
-def wilcoxon(df: DataFrame, diff: str) -> DataFrame:
-    """Signed-rank statistic on non-zero differences, normal approximation
-    with the tie term (SS2).  statistic = min(W+, W-); ``tested`` from
-    ``WILCOXON_MIN_PAIRS`` pairs."""
+def signed_ranks(df: DataFrame, diff: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Per group (or for all rows): n non-zero differences, w_plus, w_minus, statistic =
+    min(W+, W-), and the normal z with the tie term.  Groups without any have no row."""
     by_value = df.where(F.col(diff) != 0).groupBy(
-        F.abs(F.col(diff)).alias("size"), (F.col(diff) > 0).alias("up")).agg(
+        *groups, F.abs(F.col(diff)).alias("size"), (F.col(diff) > 0).alias("up")).agg(
         F.count(F.lit(1)).alias("w"))
-    ranks = value_ranks(by_value, "size", "w")
-    ties = ranks.agg(F.sum(F.pow(F.col("_ties"), 3) - F.col("_ties"))).first()[0] or 0
-    mass = F.col("_rank") * F.col("w")
-    s = by_value.join(ranks, "size").agg(
-        F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
-        F.sum(F.when(F.col("up"), mass).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("up"), 0.0).otherwise(mass)).alias("w_minus"))
+    ranks = value_ranks(by_value, "size", "w", groups=groups)
+    # both directions of one size share its rank, so they are one row of the join's left side
+    sides = by_value.groupBy(*groups, "size").agg(
+        F.sum(F.when(F.col("up"), F.col("w")).otherwise(0)).alias("plus"), F.sum("w").alias("w"))
+    right = ranks.select(*[F.col(g).alias(f"_r{i}") for i, g in enumerate(groups)],
+                         F.col("size").alias("_size"), "_rank", "_ties")
+    on = all_equal([(F.col("size"), F.col("_size")),
+                    *[(F.col(g), F.col(f"_r{i}")) for i, g in enumerate(groups)]])
+    plus = F.col("_rank") * F.col("plus")
+    s = sides.join(right, on).groupBy(*groups).agg(
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.sum(plus).alias("w_plus"),
+        F.sum(F.col("_rank") * F.col("w") - plus).alias("w_minus"),
+        F.sum(F.pow(F.col("_ties"), 3) - F.col("_ties")).alias("ties"))
     n = F.col("n").cast("double")
-    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.lit(float(ties)) / 48.0)
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
     stat = F.least("w_plus", "w_minus")
     z = F.when(sd > 0, (stat - n * (n + 1) / 4.0) / sd)
-    tested = F.col("n") >= WILCOXON_MIN_PAIRS
-    return s.select("n", "w_plus", "w_minus", stat.alias("statistic"), z.alias("z"),
-                    round_half_up(two_sided_p(z), 6).alias("p_value"), tested.alias("tested"),
-                    F.coalesce(tested & (two_sided_p(z) < SIGNIFICANT), F.lit(False))
-                    .alias("significant"))
+    return s.select(*groups, "n", "w_plus", "w_minus", stat.alias("statistic"), z.alias("z"))
+
+
+def wilcoxon(df: DataFrame, diff: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Signed-rank test on non-zero differences, normal approximation (SS2); ``tested`` from
+    ``WILCOXON_MIN_PAIRS`` pairs."""
+    s = signed_ranks(df, diff, groups)
+    tested, p = F.col("n") >= WILCOXON_MIN_PAIRS, two_sided_p(F.col("z"))
+    return s.select(*groups, "n", "w_plus", "w_minus", "statistic", "z",
+                    round_half_up(p, 6).alias("p_value"), tested.alias("tested"),
+                    F.coalesce(tested & (p < SIGNIFICANT), F.lit(False)).alias("significant"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:

@@ -259,19 +259,36 @@ def q_policy_bootstrap(spark, sf_dir):
 
 
 def _pairwise_sql():
-    parts = []
-    for base in P.ARMS[:3]:
-        parts.append(f"""SELECT '{base}' AS baseline, COUNT(*) AS n_pairs, {rhu('AVG(diff)', 4)} AS mean_net_benefit_diff,
+    p = S.sql_two_sided_p("z")
+    return f"""{EV2_SQL},
+x AS (SELECT b.arm AS baseline, i.total_net_benefit - b.total_net_benefit AS diff,
+             CASE WHEN b.total_net_benefit <> 0 THEN (i.total_net_benefit - b.total_net_benefit)
+                  / b.total_net_benefit * {d(100.0)} END AS imp,
+             {rhu('i.total_net_benefit - b.total_net_benefit', P.RANKED_PLACES)} AS ranked
+      FROM boot i JOIN boot b ON i.seed = b.seed
+      WHERE i.arm = 'Integrated AI + SHAP' AND b.arm <> 'Integrated AI + SHAP'),
+nz AS (SELECT baseline, ranked, ABS(ranked) AS size,
+              RANK() OVER (PARTITION BY baseline ORDER BY ABS(ranked)) AS first_rank,
+              COUNT(*) OVER (PARTITION BY baseline, ABS(ranked)) AS t
+       FROM x WHERE ranked <> 0),
+w AS (SELECT baseline, COUNT(*) AS n, SUM(CAST(t AS DOUBLE) * t - 1) AS ties,
+             SUM(CASE WHEN ranked > 0 THEN first_rank + (t - 1) / {d(2.0)} ELSE {d(0.0)} END) AS w_plus,
+             SUM(CASE WHEN ranked < 0 THEN first_rank + (t - 1) / {d(2.0)} ELSE {d(0.0)} END) AS w_minus
+      FROM nz GROUP BY baseline),
+z AS (SELECT baseline, n, LEAST(w_plus, w_minus) AS statistic,
+             (LEAST(w_plus, w_minus) - CAST(n AS DOUBLE) * (n + 1) / {d(4.0)})
+             / SQRT(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / {d(24.0)} - ties / {d(48.0)}) AS z FROM w),
+s AS (SELECT baseline, COUNT(*) AS n_pairs, {rhu('AVG(diff)', 4)} AS mean_net_benefit_diff,
   {rhu(f'COALESCE(quantile_cont(imp, 0.5), {d(0.0)})', 4)} AS median_value_improvement_pct,
   {rhu(f'COALESCE(quantile_cont(imp, 0.025), {d(0.0)})', 4)} AS ci_low_value_improvement_pct,
   {rhu(f'COALESCE(quantile_cont(imp, 0.975), {d(0.0)})', 4)} AS ci_high_value_improvement_pct,
   {rhu(f'CASE WHEN STDDEV_SAMP(diff) > {d(1e-9)} THEN AVG(diff) / STDDEV_SAMP(diff) ELSE {d(0.0)} END', 4)} AS cohens_d
-FROM (SELECT i.total_net_benefit - b.total_net_benefit AS diff,
-             CASE WHEN b.total_net_benefit <> 0 THEN (i.total_net_benefit - b.total_net_benefit)
-                  / b.total_net_benefit * {d(100.0)} END AS imp
-      FROM boot i JOIN boot b ON i.seed = b.seed
-      WHERE i.arm = 'Integrated AI + SHAP' AND b.arm = '{base}') t""")
-    return f"{EV2_SQL}\n" + "\nUNION ALL ".join(parts)
+  FROM x GROUP BY baseline)
+SELECT s.*, COALESCE(n, 0) AS n_nonzero,
+  CASE WHEN n_pairs >= 10 AND n > 0 THEN {rhu('statistic', 4)} END AS wilcoxon_statistic,
+  CASE WHEN n_pairs >= 10 AND n > 0 THEN {rhu(p, 6)} END AS wilcoxon_p_value,
+  CASE WHEN n_pairs >= 10 AND n > 0 THEN {rhu(p, 6)} < {d(0.05)} END AS significant_at_005
+FROM s LEFT JOIN z USING (baseline)"""
 
 
 @register("policy_pairwise", _pairwise_sql())

@@ -131,12 +131,23 @@ def level_table(df: DataFrame, cols: list[str]) -> DataFrame:
         "column_name", "level", (F.col("upto") - F.col("first")).cast("int").alias("code"))
 
 
-def fit_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct levels per column, for encoders that make a column of each level
-    (so the model's width is what they bound; ``level_table`` serves any number)."""
+#: most levels that may become columns of their own
+MAX_LEVELS = 10_000
+
+
+def fit_levels(df: DataFrame, cols: list[str], most: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """Sorted distinct levels per column, for encoders that make a column of each level.
+
+    More than ``most`` of them raise: such a column is encoded by joins with ``level_table``
+    (``ordinal_encode``), which serves any number.
+    """
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in level_table(df, cols).orderBy("column_name", "code").collect():
+    few = level_table(df, cols).where(F.col("code") <= most)      # one more than allowed, at most
+    for r in few.orderBy("column_name", "code").collect():
         out[r["column_name"]].append(r["level"])
+    wide = [c for c, v in out.items() if len(v) > most]
+    if wide:
+        raise ValueError(f"more than {most} levels in {wide}: encode by level_table")
     return out
 
 
@@ -166,30 +177,6 @@ def ordinal_encode(df: DataFrame, levels: DataFrame, cols: list[str],
     return out
 
 
-def align_columns(df: DataFrame, schema: dict[str, str],
-                  levels: dict[str, list[str]] | None = None) -> DataFrame:
-    """Shape a new table like the one a model was fitted on (PRJ13, PRJ14).
-
-    ``schema``: fitted column -> type, in order.  Missing columns are added (0 for numbers,
-    "Unknown" for text), further ones dropped, the order restored; numbers are coerced with
-    0 for what is none, and text that is not among a column's fitted ``levels`` becomes
-    "Unknown".
-    """
-    out = []
-    for c, kind in schema.items():
-        text = kind == "string"
-        if c not in df.columns:
-            value = F.lit(UNKNOWN if text else 0).cast(kind)
-        elif text:
-            value = F.coalesce(q(c).cast("string"), F.lit(UNKNOWN))
-            if levels and c in levels:
-                value = F.when(value.isin(*levels[c]), value).otherwise(UNKNOWN)
-        else:
-            value = F.coalesce(finite_or_null(numeric_view(df, c)), F.lit(0.0)).cast(kind)
-        out.append(value.alias(c))
-    return df.select(*out)
-
-
 def binary_remap(df: DataFrame, cols: list[str], mapping: dict[str, int] = BINARY_MAP) -> DataFrame:
     """Map yes/no-like text to 1/0 for the given columns."""
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])

@@ -9,8 +9,13 @@ rounded half-up to 10 places so both engines see identical values and ties.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
+from pyspark import keyword_only
+from pyspark.ml import Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +69,27 @@ class Scorecard:
         return F.coalesce((x - F.lit(self.mean[c])) / F.lit(self.std[c]), F.lit(0.0))
 
 
+class ScorecardStage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """The scorecard as a pipeline stage: adds ``score``; saved and loaded like any model."""
+
+    card = Param(Params._dummy(), "card", "means and deviations as JSON", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, card: str = "{}"):
+        super().__init__()
+        self._setDefault(card="{}")
+        self._set(card=card)
+
+    @staticmethod
+    def of(card: Scorecard) -> ScorecardStage:
+        return ScorecardStage(card=json.dumps(asdict(card)))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        fitted = Scorecard(**json.loads(self.getOrDefault(self.card)))
+        return df.withColumn("score", fitted.prob(
+            {c: F.col(c) for c in list(NUMERIC_WEIGHTS) + CATEGORY_COLUMNS}))
+
+
 def fit_scorecard(mart: DataFrame) -> Scorecard:
     st = mart.agg(*[F.avg(c).alias(f"m_{c}") for c in NUMERIC_WEIGHTS],
                   *[F.stddev_samp(c).alias(f"s_{c}") for c in NUMERIC_WEIGHTS]).first()

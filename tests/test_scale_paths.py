@@ -108,24 +108,13 @@ def test_ambiguous_and_dated_targets(spark):
     assert sorted(r["target"] for r in encoded.collect()) == [0, 0, 1]
 
 
-def test_align_columns(spark):
-    df = spark.createDataFrame([(1, "x", "1.5", "a"), (2, None, "bad", "zz")],
-                               "extra int, city string, amount string, level string")
-    got = features.align_columns(df, {"amount": "double", "level": "string", "gone": "int",
-                                      "lost": "string", "city": "string"}, {"level": ["a", "b"]})
-    assert got.columns == ["amount", "level", "gone", "lost", "city"]
-    assert [tuple(r) for r in got.collect()] == [
-        (1.5, "a", 0, "Unknown", "x"), (0.0, "Unknown", 0, "Unknown", "Unknown")]
-
-
 def test_rfm_features_never_train(spark):
     with pytest.raises(ValueError):
         features.check_no_rfm(["a", "RFM_score"])
     assert features.drop_rfm(spark.createDataFrame([(1, 2)], "a int, rfm_x int")).columns == ["a"]
 
 
-def test_many_columns_screen_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(quality, "PAIRS_PER_PASS", 4)
+def test_many_columns_screen(spark):
     df = spark.range(200).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"c{i}")
                                    for i in range(5)], (F.col("id") % 17).cast("double").alias("copy"))
     report = {r["column_name"]: r["dropped"] for r in

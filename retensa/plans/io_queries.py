@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import sinks
-from ..sources.tables import content_fingerprint, file_fingerprint, read_csv
+from ..sources.derived import files_fingerprint
+from ..sources.tables import content_fingerprint, read_any, table
+from .mart import MART_TABLES
 from .policy_queries import EV1_COLS, EV1_SQL, ev1
 from .registry import register
 
@@ -14,8 +16,8 @@ from .registry import register
 def q_csv_roundtrip(spark, sf_dir):
     """Policy A/B table exported as CSV to the shared folder, read back with
     the header scan and its encoding fallback (SNK1, SRC1, SRC2)."""
-    path = sinks.write_csv(ev1(spark, sf_dir), sinks.shared_path(spark, "policy_ab_csv"))
-    return read_csv(spark, path, infer_schema=True)
+    path = sinks.write_csv(ev1(spark, sf_dir), sinks.shared_path(spark, "policy_ab") + ".csv")
+    return read_any(spark, path, infer_schema=True)
 
 
 @register("json_summary")
@@ -65,13 +67,12 @@ def q_validation_report(spark, sf_dir):
 
 @register("dataset_fingerprint")
 def q_dataset_fingerprint(spark, sf_dir):
-    """File metadata fingerprint and order-free content fingerprint of the
-    largest table (SRC3).  Nothing compares them: fitted state is kept by path, and
-    ``mart.clear_cache`` resets it."""
-    path = f"{sf_dir}/lineitem.parquet"
-    meta = file_fingerprint(spark, path)
-    content = content_fingerprint(spark.read.parquet(path))
-    files = meta.first()
-    return content.withColumn("n_files", F.lit(files["n_files"])) \
-        .withColumn("total_size", F.lit(files["total_size"])) \
-        .withColumn("modified", F.lit(files["modified"]))
+    """Per table that the marts read: the fingerprint of its files' metadata, by which derived tables
+    and models are kept or made anew, and an order-free one of its content (SRC3)."""
+    rows = None
+    for name in (*MART_TABLES, "events"):
+        files = files_fingerprint(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        one = content_fingerprint(table(spark, sf_dir, name)).select(
+            F.lit(name).alias("table_name"), F.lit(files).alias("files"), "n_rows", "fingerprint")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

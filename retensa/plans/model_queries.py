@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import features
 from ..operators import models as MD
-from .mart import MART_SQL, build_mart
+from ..sources.derived import DERIVED
+from .mart import MART_SQL, MART_TABLES, build_mart
 from .registry import register
 from .sqlgen import d
 
@@ -16,14 +17,15 @@ NUMERIC = ["account_balance", "tenure_days", "days_since_last_order", "order_cou
            "total_revenue", "avg_order_value", "monthly_charges", "usage_quantity",
            "complaint_ratio", "avg_discount", "urgent_share"]
 CATEGORICAL = ["segment", "main_priority"]
-_STATE: dict = {}
 
 
 def training(spark, sf_dir):
-    """Split, weights, folds, learner comparison; trained once per application."""
-    k = (spark.sparkContext.applicationId, sf_dir)
-    if k in _STATE:
-        return _STATE[k]
+    """Split, weights, folds, learner comparison; trained once for the same files."""
+    return DERIVED.get(spark, sf_dir, ("training",), MART_TABLES, lambda: _train(spark, sf_dir),
+                       lambda state: state["train"].unpersist())
+
+
+def _train(spark, sf_dir):
     m = build_mart(spark, sf_dir)
     sp = features.stratified_split(m, KEY, LABEL)
     st = m.agg(F.sum(LABEL).alias("p"), F.count(F.lit(1)).alias("n")).first()
@@ -35,9 +37,8 @@ def training(spark, sf_dir):
     results = MD.compare(train, LABEL, folds)
     board = [MD.holdout_row(r["model"], test, LABEL, r["name"], r["cv_auc"], KEY) for r in results]
     best = max(results, key=lambda r: (r["cv_auc"], r["name"]))
-    _STATE[k] = {"mart": everyone, "train": train, "test": test, "folds": folds, "results": results,
-                 "board": board, "best": best}
-    return _STATE[k]
+    return {"mart": everyone, "train": train, "test": test, "folds": folds, "results": results,
+            "board": board, "best": best}
 
 
 @register("train_leaderboard")

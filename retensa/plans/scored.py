@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up, sql_round_half_up
-from .mart import MART_SQL, build_mart, cached
+from ..sources.derived import DERIVED
+from .mart import MART_SQL, MART_TABLES, build_mart, cached
 from .sqlgen import d
 
 # scorecard of the fixture: intercept, weights per standardised feature,
@@ -98,13 +99,8 @@ def fit_scorecard(mart: DataFrame) -> Scorecard:
 
 
 def scorecard(spark: SparkSession, sf_dir: str) -> Scorecard:
-    key = ("scorecard", spark.sparkContext.applicationId, sf_dir)
-    if key not in _CARDS:
-        _CARDS[key] = fit_scorecard(build_mart(spark, sf_dir))
-    return _CARDS[key]
-
-
-_CARDS: dict[tuple, Scorecard] = {}
+    return DERIVED.get(spark, sf_dir, ("scorecard",), MART_TABLES,
+                       lambda: fit_scorecard(build_mart(spark, sf_dir)))
 
 
 def build_scored(spark: SparkSession, sf_dir: str) -> DataFrame:

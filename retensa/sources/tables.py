@@ -32,21 +32,13 @@ def read_csv(spark: SparkSession, path: str, header: bool = True,
     return df
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Default dataset scan by extension (Parquet or CSV)."""
+def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Default dataset scan by extension (Parquet or CSV, with ``read_csv``'s options)."""
     if path.lower().endswith(".csv"):
-        return read_csv(spark, path)
+        return read_csv(spark, path, **options)
     return spark.read.parquet(path)
 
 
-def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprint from the files' metadata: number, total size, newest change.  No content
-    is read."""
-    return spark.read.format("binaryFile").load(path).agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("total_size"),
-        F.max("modificationTime").alias("modified"))
-
-
 def content_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Order-free content fingerprint: row count plus xor of per-row 64-bit
     hashes, and the first 12 hex chars of a SHA-256 over those two numbers.

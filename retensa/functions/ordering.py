@@ -5,7 +5,8 @@ helpers here get exact global running sums / row numbers the distributed way, at
 every size:
 
 1. bounds of contiguous ranges are chosen once, from a bounded draw of the order
-   keys (the rows of least key hash, so the draw is the same on every run),
+   keys (the rows of least key hash, so the draw is the same on every run; each task
+   keeps no more of them than the whole draw),
 2. each row finds its range by a binary search over the bounds, written as one
    expression of literals.  The assignment depends on the row alone, so it may be
    recomputed after an executor loss and needs no checkpoint; a unique tie-breaker in
@@ -57,14 +58,11 @@ def range_bounds(df: DataFrame, order: list[str], descending: list[bool] | bool
     flags = _flags(order, descending)
     if ranges is None:
         ranges = min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = df.select(*[F.col(f"`{c}`") for c in order])
-    n = keys.count()
-    if n == 0 or ranges < 2:
+    if ranges < 2:
         return []
-    share = min(1.0, ranges * DRAW_PER_RANGE / n)
-    cut = min((1 << 63) - 1, -(1 << 63) + int(share * ((1 << 64) - 1)))
-    drawn = keys.where(F.xxhash64(*[F.col(f"`{c}`") for c in order]) <= F.lit(cut)) \
-        .orderBy(*_order_exprs(order, flags)).collect()
+    keys = df.select(*[F.col(f"`{c}`") for c in order])
+    drawn = keys.orderBy(F.xxhash64(*keys.columns), *order).limit(ranges * DRAW_PER_RANGE) \
+        .sortWithinPartitions(*_order_exprs(order, flags)).collect()      # one partition
     step = len(drawn) / ranges
     out: list[tuple] = []
     for i in range(1, ranges):

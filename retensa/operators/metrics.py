@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import ordered_cumsum
+from ..session import reliable_checkpoint
 
 # ---- fixed values (must equal the reference's) -------------------------------
 DEFAULT_THRESHOLD = 0.35
@@ -78,6 +79,33 @@ def auc(df: DataFrame, y: str, p: str) -> float | None:
     return float(r["num"]) / (float(r["P"]) * float(r["N"]))
 
 
+def split_metrics(df: DataFrame, split: str, y: str, p: str, threshold: float,
+                  strict: bool = True) -> DataFrame:
+    """Per split: the confusion counts and rates, AUC (null with one class), n and the positive rate.
+
+    The rows are counted once by (split, score, label); all of it follows from these counts
+    and one running count over (split, score).
+    """
+    counts = reliable_checkpoint(df.groupBy(F.col(split), F.col(p).alias("s")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
+    cum = ordered_cumsum(counts, [split, "s"], {"cneg": "neg"})
+    pred = (F.col("s") > threshold) if strict else (F.col("s") >= threshold)
+
+    def total(c: str, which: Column | None = None) -> Column:
+        return F.sum(F.col(c) if which is None else F.when(which, F.col(c)).otherwise(0))
+
+    c = cum.groupBy(split).agg(
+        total("pos", pred).alias("tp"), total("neg", pred).alias("fp"),
+        total("neg", ~pred).alias("tn"), total("pos", ~pred).alias("fn"),
+        F.sum(F.col("pos") * (F.col("cneg") - F.col("neg") / 2.0)).alias("below"),
+        F.min(F.col("cneg") - F.col("neg")).alias("before"))
+    pos, neg = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
+    auc_value = F.when((pos > 0) & (neg > 0), (F.col("below") - pos * F.col("before")) / (
+        pos.cast("double") * neg))
+    return with_rates(c.withColumns({"auc": auc_value, "n": pos + neg, "rate": pos / (pos + neg)}).drop(
+        "below", "before"))
+
+
 def youden(df: DataFrame, y: str, p: str, lo: float = YOUDEN_MIN, hi: float = YOUDEN_MAX) -> dict:
     """Threshold maximising tpr - fpr over distinct scores (descending); the
     first (highest) score wins ties; no positive J keeps the +inf start."""

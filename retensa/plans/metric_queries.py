@@ -228,16 +228,9 @@ FROM k"""
 
 @register("train_test_verdict", _verdict_sql())
 def q_train_test_verdict(spark, sf_dir):
-    sp = scored_split(spark, sf_dir)
-    res = {}
-    for name in ("train", "test"):
-        part = sp.where(F.col("split") == name)
-        m = M.confusion(part, "churn", "score", THR, strict=True).first().asDict()
-        m["auc"] = M.auc(part, "churn", "score")
-        res[name] = m
-    meta = sp.where(F.col("split") == "test").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("churn").cast("double")).alias("r")).first()
-    v = M.verdict(res["train"], res["test"], int(meta["n"]), float(meta["r"]))
+    res = {r["split"]: r.asDict() for r in M.split_metrics(
+        scored_split(spark, sf_dir), "split", "churn", "score", THR).collect()}
+    v = M.verdict(res["train"], res["test"], int(res["test"]["n"]), float(res["test"]["rate"]))
     tr, te = res["train"], res["test"]
     row = (tr["auc"], te["auc"], tr["f1"], te["f1"], tr["accuracy"], te["accuracy"],
            v["gaps"]["auc"], v["gaps"]["f1"], v["gaps"]["accuracy"], v["expected_gap"],

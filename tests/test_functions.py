@@ -119,3 +119,21 @@ def test_target_numeric_labels_canonicalised(spark):
     enc, strategy = target.encode_target(df, "y")
     assert strategy == "semantic_token_mapping"
     assert [r["target"] for r in enc.collect()] == [1, 0, 1, None]
+
+
+def test_split_metrics_equal_those_of_each_split(spark):
+    import random
+    from retensa.operators import metrics
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "b"]), rng.randint(0, 1), rng.choice([0.1, 0.35, 0.5, rng.random()]))
+            for _ in range(600)] + [("one class", 1, 0.4), ("one class", 1, 0.2)]
+    df = spark.createDataFrame(rows, "part string, y int, p double")
+    got = {r["part"]: r for r in metrics.split_metrics(df, "part", "y", "p", 0.35).collect()}
+    assert set(got) == {"a", "b", "one class"} and got["one class"]["auc"] is None
+    for part in ("a", "b"):
+        own = df.where(F.col("part") == part)
+        plain = metrics.confusion(own, "y", "p", 0.35).first()
+        for c in ("tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1", "specificity"):
+            assert got[part][c] == plain[c]
+        assert abs(got[part]["auc"] - metrics.auc(own, "y", "p")) < 1e-12
+        assert got[part]["n"] == own.count()

@@ -33,8 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by the session.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; we only pick
-    our own (a fresh scratch folder) when nothing is set, as in local tests.
+    A cluster has to name a shared folder in ``spark.checkpoint.dir``.  Only a session whose
+    driver and executors are one process, as in tests, gets a scratch folder if it names none.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="retensa-ckpt-")
     sc.setCheckpointDir(configured)
     return configured

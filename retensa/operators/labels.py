@@ -315,7 +315,7 @@ def isolation_forest_labels(df: DataFrame, key: str, cols: list[str],
             e = total / max(len(forest_), 1)
             yield pd.DataFrame({"k": pdf["k"], "anomaly_score": np.power(2.0, -e / cn)})
 
-    scored = X.mapInPandas(score, "k long, anomaly_score double")
+    scored = X.mapInPandas(score, f"k {X.schema['k'].dataType.simpleString()}, anomaly_score double")
     cut = quantiles_many(scored, {"s": F.col("anomaly_score")}, [1 - contamination])["s"][0]
     return scored.select(F.col("k").alias(key), "anomaly_score",
                          (F.col("anomaly_score") >= F.lit(cut)).cast("int").alias("label"))

@@ -16,9 +16,8 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import key_number
@@ -33,6 +32,7 @@ AGREEMENT_TOP = 5
 # ------------------------------------------------------------------------------
 
 SEED = 123
+MAX_CLASSES = 100
 
 
 def add_folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
@@ -42,7 +42,9 @@ def add_folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
 
 def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Balanced weights n / (2 n_class) (default for ML3)."""
-    c = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    c = {r[label]: r["count"] for r in df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()}
+    if len(c) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     n = sum(c.values())
     w = F.create_map(*[x for k_, v in c.items() for x in (F.lit(k_), F.lit(n / (2.0 * v)))])
     return df.withColumn(name, w[F.col(label)])
@@ -152,10 +154,59 @@ def out_of_fold_scores(best: dict, train: DataFrame, label: str, folds: int, key
     return out
 
 
-def isotonic(oof: DataFrame, label: str):
-    """Isotonic map from out-of-fold score to observed rate (ML6)."""
-    return IsotonicRegression(featuresCol="score", labelCol=label, predictionCol="calibrated",
-                              isotonic=True).fit(oof.withColumn(label, F.col(label).cast("double")))
+CALIBRATION_CELLS = 1000
+
+
+def score_cell(score: Column, cells: int) -> Column:
+    """Cell of a probability on a grid of equal steps; 1 belongs to the last."""
+    inside = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) * cells)
+    return F.least(inside, F.lit(cells - 1)).cast("int")
+
+
+def grid_counts(df: DataFrame, score: str, label: str, cells: int) -> DataFrame:
+    """cell, n, positives of the cells that have rows (map-side combined)."""
+    return df.where(F.col(score).isNotNull()).groupBy(score_cell(F.col(score), cells).alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("positives"))
+
+
+def pool_adjacent(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(first cell, last cell, n, positives) of the blocks of an isotonic fit to (cell, n,
+    positives): neighbours whose rates do not rise are pooled, compared as whole numbers."""
+    blocks: list[tuple[int, int, int, int]] = []
+    for cell, n, pos in sorted(rows):
+        block = (cell, cell, n, pos)
+        while blocks and blocks[-1][3] * block[2] >= block[3] * blocks[-1][2]:
+            before = blocks.pop()
+            block = (before[0], block[1], before[2] + block[2], before[3] + block[3])
+        blocks.append(block)
+    return blocks
+
+
+class IsotonicGrid:
+    """Isotonic map from score to observed rate, fitted to the counts on a fixed grid (ML6): only
+    the grid's cells reach the driver, however many rows were scored.  A cell without rows
+    has the rate of the block below it (of the first block, if none is)."""
+
+    def __init__(self, rows: list[tuple[int, int, int]], cells: int = CALIBRATION_CELLS):
+        if not rows:
+            raise ValueError("nothing to calibrate on")
+        self.cells, self.blocks = cells, pool_adjacent(rows)
+        self.rates, at = [], 0
+        for cell in range(cells):
+            while at + 1 < len(self.blocks) and self.blocks[at + 1][0] <= cell:
+                at += 1
+            self.rates.append(self.blocks[at][3] / self.blocks[at][2])
+
+    def calibrate(self, score: Column) -> Column:
+        rates = F.array(*map(F.lit, self.rates))
+        return F.when(score.isNotNull(), F.element_at(rates, score_cell(score, self.cells) + 1))
+
+
+def isotonic(scored: DataFrame, label: str, score: str = "score",
+             cells: int = CALIBRATION_CELLS) -> IsotonicGrid:
+    """Isotonic map from score to observed rate (ML6)."""
+    rows = grid_counts(scored, score, label, cells).collect()          # ``cells`` at most
+    return IsotonicGrid([(r["cell"], r["n"], r["positives"]) for r in rows], cells)
 
 
 def importances(model, train: DataFrame) -> list[tuple[str, float]]:

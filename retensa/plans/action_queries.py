@@ -311,19 +311,34 @@ def signal_table(spark, sf_dir, people=None):
     return cached(spark, ("signal", sf_dir), lambda: build(linear_attribution(spark, sf_dir)))
 
 
-@register("attribution_permutation")
+def _permutation_sql():
+    """The additive logit's permutation values by a running sum over (customer, order)."""
+    terms = _terms_sql()
+    table = X.permutation_table(len(terms))
+    orders = ", ".join(f"({p}, {place}, {f})" for p, order in enumerate(table)
+                       for place, f in enumerate(order))
+    base = " + ".join([d(INTERCEPT)] + [f"{d(w)} * bg.z_{c}" for c, w in NUMERIC_WEIGHTS.items()]
+                      + [f"{d(w)} * bg.i_{i}" for i, w in enumerate(DUMMY_WEIGHTS.values())])
+    deltas = ", ".join(c for _, c in terms.values())
+    names = ", ".join(f"'{f}'" for f in terms)
+    return f"""{WS}, {BG_SQL},
+orders(perm, place, f) AS (VALUES {orders}),
+x AS (SELECT scored.{KEY}, [{deltas}] AS ds, {base} AS base FROM scored, sc_stats, bg),
+steps AS (SELECT {KEY}, perm, place, f, base, ds[f + 1] AS delta,
+                 SUM(ds[f + 1]) OVER (PARTITION BY {KEY}, perm ORDER BY place) AS upto FROM x, orders),
+marginals AS (SELECT {KEY}, f, {d(1)} / ({d(1)} + EXP(-(base + upto)))
+                              - {d(1)} / ({d(1)} + EXP(-(base + upto - delta))) AS m FROM steps)
+SELECT {KEY}, ([{names}])[f + 1] AS feature, {rhu('AVG(m)', X.ATTRIBUTION_PLACES)} AS attribution
+FROM marginals GROUP BY {KEY}, f"""
+
+
+@register("attribution_permutation", _permutation_sql())
 def q_attribution_permutation(spark, sf_dir):
-    """Permutation Shapley values (probability scale), 8 permutations per customer."""
-    s, card, r = _background(spark, sf_dir)
-    deltas, base = {}, INTERCEPT
-    for c, w in NUMERIC_WEIGHTS.items():
-        deltas[c] = F.lit(w) * (card.z(c, F.col(c)) - F.lit(r[f"z_{c}"]))
-        base += w * r[f"z_{c}"]
-    for i, ((c, lv), w) in enumerate(DUMMY_WEIGHTS.items()):
-        ind = F.coalesce((F.col(c) == lv).cast("double"), F.lit(0.0))
-        deltas[dummy_name(c, lv)] = F.lit(w) * (ind - F.lit(r[f"i_{i}"]))
-        base += w * r[f"i_{i}"]
-    return X.permutation_attribution(s, KEY, deltas, base, n_perm=8)
+    """Permutation Shapley values (probability scale), 8 orders for every customer (EX1)."""
+    s, _, r, terms = _terms(spark, sf_dir)
+    base = INTERCEPT + sum(w * r[f"z_{c}"] for c, w in NUMERIC_WEIGHTS.items()) + sum(
+        w * r[f"i_{i}"] for i, w in enumerate(DUMMY_WEIGHTS.values()))
+    return X.permutation_attribution(s, KEY, {f: c for f, (_, c) in terms.items()}, base)
 
 
 @register("low_risk_profile", f"""{WS}, {LOW_SQL}, {_prof_sql()}

@@ -9,6 +9,7 @@ from ..operators import models as MD
 from ..sources.derived import DERIVED
 from .mart import MART_SQL, MART_TABLES, build_mart
 from .registry import register
+from .scored import SCORED_SQL, build_scored
 from .sqlgen import d
 
 KEY = "customer_id"
@@ -67,7 +68,30 @@ def q_calibrated_scores(spark, sf_dir):
     oof = MD.out_of_fold_scores(t["best"], t["train"], LABEL, t["folds"], KEY)
     iso = MD.isotonic(oof, LABEL)
     s = MD.positive_score(t["best"]["model"].transform(t["mart"])).select(KEY, LABEL, "score")
-    return iso.transform(s).select(KEY, LABEL, "score", "calibrated")
+    return s.withColumn("calibrated", iso.calibrate(F.col("score")))
+
+
+CARD_CELLS = 100
+
+
+@register("isotonic_calibration", f"""WITH {SCORED_SQL},
+g AS (SELECT CAST(LEAST(FLOOR(score * {CARD_CELLS}), {CARD_CELLS - 1}) AS INTEGER) AS cell, COUNT(*) AS n,
+             COUNT(*) FILTER (WHERE churn = 1) AS pos FROM scored GROUP BY 1),
+c AS (SELECT cell, SUM(n) OVER w AS cn, SUM(pos) OVER w AS cp, n, pos FROM g WINDOW w AS (ORDER BY cell)),
+-- the fit at a cell: over all runs around it, the greatest over starts of the least over ends
+runs AS (SELECT a.cell AS at, b.cell AS upto,
+                CAST(b.cp - a.cp + a.pos AS DOUBLE) / (b.cn - a.cn + a.n) AS rate
+         FROM c a JOIN c b ON a.cell <= b.cell),
+least_ AS (SELECT c.cell, r.at, MIN(rate) AS rate FROM c JOIN runs r ON r.at <= c.cell AND r.upto >= c.cell
+           GROUP BY 1, 2),
+fit AS (SELECT cell, MAX(rate) AS calibrated FROM least_ GROUP BY 1)
+SELECT customer_id, score, calibrated FROM scored
+JOIN fit ON fit.cell = CAST(LEAST(FLOOR(score * {CARD_CELLS}), {CARD_CELLS - 1}) AS INTEGER)""")
+def q_isotonic_calibration(spark, sf_dir):
+    """Scorecard scores calibrated to the observed churn rate by pooling adjacent cells (ML6)."""
+    s = build_scored(spark, sf_dir)
+    return s.select(KEY, "score", MD.isotonic(s, LABEL, cells=CARD_CELLS).calibrate(F.col("score"))
+                    .alias("calibrated"))
 
 
 @register("feature_selection")

@@ -36,7 +36,7 @@ WORDS = WordClass(b"\x20\x09" + SEPARATORS, fold_case=True)
 IS_CUT = np.zeros(256, bool)
 IS_CUT[list(SEPARATORS)] = True
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 HOT_SHARE = 4096
 SALTS = 64
 
@@ -305,7 +305,7 @@ def without_parts(scored: DataFrame, share: int) -> DataFrame:
 
 
 def mine(docs: DataFrame, max_words: int = 3, min_count: int = 10, top: int = 2000,
-         part_share: int = 50, bucket_words: int = 1_000_000) -> DataFrame:
+         part_share: int = 50, bucket_words: int = 500_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each lang's ``top`` phrases."""
     if max_words < 2 or min_count < 1:
         raise ValueError("phrases have two words or more and are found at least once")

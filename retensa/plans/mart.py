@@ -193,6 +193,11 @@ mart AS (
   FROM j)"""
 
 
+MART_PROFILE_SQL = "profile AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS position, COUNT(*) - COUNT({c}) AS missing, "
+    f"COALESCE(MIN({c}) < MAX({c}), FALSE) AS varies FROM mart" for i, c in enumerate(MART_COLUMNS)) + ")"
+
+
 EVENT_REF_DATE = "2024-02-01"
 
 

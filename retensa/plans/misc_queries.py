@@ -12,7 +12,8 @@ from ..operators import actions as A
 from ..operators import explain as X
 from ..operators import features, quality, runlog, schema
 from ..operators import policy as P
-from .mart import (DIRTY_COLUMNS, EVENT_MART_SQL, MART_COLUMNS, MART_DIRTY_SQL, MART_SQL,
+from .mart import (DIRTY_COLUMNS, EVENT_MART_SQL, MART_COLUMNS, MART_DIRTY_SQL,
+                   MART_PROFILE_SQL, MART_SQL,
                    build_mart, build_mart_dirty)
 from .policy_queries import EV2_SQL
 from .registry import register
@@ -35,7 +36,8 @@ def display_name(c: str) -> str:
 _DISPLAY = [display_name(c) for c in MART_COLUMNS]
 
 
-@register("rename_columns", "SELECT position, display_name, normalized_name, modelling_name, "
+@register("rename_columns", f"WITH {MART_SQL}, {MART_PROFILE_SQL}\n"
+          "SELECT missing, varies, position, display_name, normalized_name, modelling_name, "
           "lower(trim(display_name)) AS lookup_key, lower(normalized_name) = "
           "replace(lower(trim(display_name)), ' ', '_') AS resolved_exact, "
           "regexp_matches(regexp_replace(lower(trim(normalized_name)), '\\s+', '_', 'g'), "
@@ -44,7 +46,7 @@ _DISPLAY = [display_name(c) for c in MART_COLUMNS]
           "regexp_replace(regexp_replace(trim(display_name), '\\s+', '_', 'g'), '[^\\w_]', '', 'g') AS normalized_name, "
           "regexp_replace(display_name, '[^0-9a-zA-Z]+', '_', 'g') AS modelling_name FROM (VALUES "
           + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_DISPLAY))
-          + ") t(position, display_name)) s")
+          + ") t(position, display_name)) s JOIN profile USING (position)")
 def q_rename_columns(spark, sf_dir):
     """Normalise presentation headers of the mart (PRJ1), modelling names
     (PRJ2), case/space-insensitive lookup (PRJ3) and ID flags (PRJ5/PRJ6)."""
@@ -60,9 +62,10 @@ def q_rename_columns(spark, sf_dir):
             resolved = False
         rows.append((i, disp, nm, schema.modelling_name(disp), key, resolved,
                      schema.is_id_like(nm)))
-    return spark.createDataFrame(rows, "position int, display_name string, normalized_name string, "
-                                       "modelling_name string, lookup_key string, "
-                                       "resolved_exact boolean, is_id boolean")
+    names = spark.createDataFrame(rows, "position int, display_name string, normalized_name string, "
+                                        "modelling_name string, lookup_key string, "
+                                        "resolved_exact boolean, is_id boolean")
+    return schema.with_profile(names, norm)
 
 
 _NUM = [c for c in MART_COLUMNS if c not in ("customer_id", "segment", "nation", "main_priority",
@@ -130,16 +133,20 @@ def q_null_row_filters(spark, sf_dir):
 _NONACT_SQL = ", ".join(f"'{x}'" for x in sorted(X.NON_ACTIONABLE))
 
 
-@register("actionable_filter", f"""SELECT feature,
+@register("actionable_filter", f"""WITH {MART_SQL}, {MART_PROFILE_SQL}
+SELECT position, feature, missing, varies,
   NOT (k IN ({_NONACT_SQL}) OR k = 'customer_id' OR suffix(k, 'id') OR contains(k, '_id')) AS actionable,
   ({' OR '.join(f"contains(lower(feature), '{w}')" for w in X.IMMUTABLE_KEYWORDS)}) AS immutable
-FROM (SELECT feature, regexp_replace(replace(lower(trim(feature)), ' ', '_'), '[^a-z0-9_]+', '', 'g') AS k
-      FROM (VALUES {', '.join(f"('{c}')" for c in MART_COLUMNS if c != 'churn')}) t(feature)) s""")
+FROM (SELECT position, feature, regexp_replace(replace(lower(trim(feature)), ' ', '_'), '[^a-z0-9_]+', '', 'g') AS k
+      FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(MART_COLUMNS) if c != 'churn')}) t(position, feature)) s
+JOIN profile USING (position)""")
 def q_actionable_filter(spark, sf_dir):
     """Actionability (FLT7) and immutability (FLT8) of every mart feature."""
     m = build_mart(spark, sf_dir)
-    rows = [(c, X.is_actionable(c, [KEY]), X.is_immutable(c)) for c in m.columns if c != "churn"]
-    return spark.createDataFrame(rows, "feature string, actionable boolean, immutable boolean")
+    rows = [(i, c, X.is_actionable(c, [KEY]), X.is_immutable(c)) for i, c in enumerate(m.columns)
+            if c != "churn"]
+    return schema.with_profile(spark.createDataFrame(
+        rows, "position int, feature string, actionable boolean, immutable boolean"), m)
 
 
 @register("rfm_guard", f"""WITH {MART_SQL}, {MART_RFM_SQL}

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import finite_or_null, q
 from ..operators import features, quality, schema, target
 from ..session import reliable_checkpoint
-from .mart import DIRTY_COLUMNS, MART_COLUMNS, MART_DIRTY_SQL, MART_SQL, build_mart, build_mart_dirty
+from .mart import (DIRTY_COLUMNS, MART_COLUMNS, MART_DIRTY_SQL, MART_PROFILE_SQL, MART_SQL, build_mart,
+                   build_mart_dirty)
 from .registry import register
 from .sqlgen import d
 from ..functions.numeric import sql_round_half_up as rhu
@@ -123,23 +124,32 @@ def q_schema_inference(spark, sf_dir):
     return schema.infer_types(build_mart_dirty(spark, sf_dir), threshold=0.70)
 
 
-@register("role_detection", """SELECT * FROM (VALUES
+@register("role_detection", f"""WITH {MART_SQL}, {MART_PROFILE_SQL}
+SELECT t.*, missing, varies FROM (VALUES
   ('tenure', 'tenure_days', 4), ('tenure', 'monthly_charges', 9), ('tenure', 'usage_quantity', 10),
   ('monetary', 'total_revenue', 7), ('monetary', 'monthly_charges', 9),
   ('usage', 'usage_quantity', 10), ('complaints', 'complaint_ratio', 11))
-  t(role, column_name, position)""")
+  t(role, column_name, position) JOIN profile USING (position)""")
 def q_role_detection(spark, sf_dir):
-    return schema.roles_frame(spark, build_mart(spark, sf_dir))
+    """Business roles by name, beside whether their columns have values that vary (PRJ16)."""
+    m = build_mart(spark, sf_dir)
+    return schema.with_profile(schema.roles_frame(spark, m), m)
 
 
-@register("id_columns", """SELECT * FROM (VALUES ('id_like', 'customer_id'),
-  ('id_guess', 'customer_id'), ('target_guess', 'churn')) t(kind, column_name)""")
+@register("id_columns", f"""WITH {MART_SQL},
+k AS (SELECT 'customer_id' AS column_name, COUNT(DISTINCT customer_id) AS n_distinct,
+             COUNT(DISTINCT customer_id) = COUNT(*) AS is_key FROM mart
+      UNION ALL SELECT 'churn', COUNT(DISTINCT churn), COUNT(DISTINCT churn) = COUNT(*) FROM mart)
+SELECT * FROM (VALUES ('id_like', 'customer_id'),
+  ('id_guess', 'customer_id'), ('target_guess', 'churn')) t(kind, column_name) JOIN k USING (column_name)""")
 def q_id_columns(spark, sf_dir):
+    """ID and target columns by name, and whether the rows bear an ID out (PRJ3, PRJ4)."""
     m = build_mart(spark, sf_dir)
     rows = [("id_like", c) for c in schema.detect_id_cols(m.columns, target="churn")]
     rows += [("id_guess", schema.guess_id_name(m.columns)),
              ("target_guess", schema.guess_target_name(m.columns))]
-    return spark.createDataFrame(rows, "kind string, column_name string")
+    names = spark.createDataFrame(rows, "kind string, column_name string")
+    return names.join(schema.key_columns(m, sorted({c for _, c in rows if c})), "column_name")
 
 
 # ---------------------------------------------------------------- cleaning

@@ -24,7 +24,7 @@ def sim_table(spark, sf_dir):
                 w = [wt for (cc, lv), wt in DUMMY_WEIGHTS.items() if dummy_name(cc, lv) == f][0]
             t3[f] = (v, c, w)
         vals = {c: F.col(c) for c in list(NUMERIC_WEIGHTS) + CATEGORY_COLUMNS}
-        return SIM.simulate(s, KEY, t3, card.logit(vals))
+        return SIM.simulate(s, KEY, t3, card.logit(vals), SIM.value_or_default(F.col("total_revenue")))
     return cached(spark, ("sim", sf_dir), build)
 
 
@@ -43,6 +43,7 @@ _FEAS = "CASE lower(trim(a.feature)) " + " ".join(
     f"WHEN '{k}' THEN '{v[1]}'" for k, v in SIM.TYPES.items()) + f" ELSE '{SIM.DEFAULT_TYPE[1]}' END"
 _COST = "CASE a.feature " + " ".join(
     f"WHEN '{f}' THEN {d(SIM.offer(f).cost)}" for f in _FEATS) + " END"
+_LABEL = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{SIM.label(f)}'" for f in _FEATS) + " END"
 _VALS = {c: f"scored.{c}" for c in list(NUMERIC_WEIGHTS) + CATEGORY_COLUMNS}
 
 SIM_SQL = f"""WITH {SCORED_SQL}, {BG_SQL}, {ATTR_SQL},
@@ -50,6 +51,8 @@ cnt AS (SELECT COUNT(*) FILTER (WHERE score BETWEEN {d(0.55)} AND {d(0.85)}) AS
 bnd AS (SELECT CASE WHEN c < 5 THEN {d(0.50)} ELSE {d(0.55)} END AS lo,
                CASE WHEN c < 5 THEN {d(0.90)} ELSE {d(0.85)} END AS hi FROM cnt),
 b AS (SELECT scored.{KEY}, scored.score, {logit_sql(_VALS)} AS lg,
+             CASE WHEN isfinite(total_revenue) AND total_revenue > 0 THEN total_revenue
+                  ELSE {d(SIM.DEFAULT_CUSTOMER_VALUE)} END AS cv,
              ROW_NUMBER() OVER (ORDER BY scored.score, scored.{KEY}) AS br, COUNT(*) OVER () AS m
       FROM scored, sc_stats, bnd WHERE scored.score BETWEEN bnd.lo AND bnd.hi),
 cut AS (SELECT quantile_cont(score, {d(0.3)}) AS cut FROM scored),
@@ -70,19 +73,23 @@ c3 AS (SELECT *, LEAST(GREATEST({rhu(f'{d(1.0)} / ({d(1.0)} + EXP(-(lg + w * (si
 c4 AS (SELECT *, LEAST(GREATEST(score - np_, {d(0.0)}), {d(0.25)}) AS red,
               CASE feas WHEN 'High' THEN {d(0.85)} WHEN 'Medium' THEN {d(0.70)} ELSE {d(0.55)} END AS ex
        FROM c3),
-c5 AS (SELECT *, {rhu(f'red * {d(SIM.DEFAULT_CUSTOMER_VALUE)} * {d(0.35)} * ex', 2)} AS saved FROM c4),
-sim AS (SELECT {KEY},
+c5 AS (SELECT *, {rhu(f'red * cv * {d(0.35)} * ex', 2)} AS saved FROM c4),
+sim0 AS (SELECT {KEY},
   (br - 1) IN (0, CAST(FLOOR(1 * ((m - 1) / {d(4.0)})) AS BIGINT), CAST(FLOOR(2 * ((m - 1) / {d(4.0)})) AS BIGINT),
                CAST(FLOOR(3 * ((m - 1) / {d(4.0)})) AS BIGINT), m - 1) AS representative,
-  {rhu('score', 4)} AS original_churn_probability, feature AS intervention_feature,
+  {rhu('score', 4)} AS original_churn_probability, feature AS intervention_feature, {_LABEL} AS feature_label,
   {rhu('cur', 2)} AS original_value, {rhu('sim', 2)} AS simulated_value,
   {rhu('score - red', 4)} AS simulated_churn_probability, {rhu('red', 4)} AS probability_reduction,
   itype AS intervention_type, feas AS feasibility_level, {rhu('cost', 2)} AS intervention_cost,
-  {rhu(d(SIM.DEFAULT_CUSTOMER_VALUE), 2)} AS customer_value, saved AS value_saved,
+  {rhu('cv', 2)} AS customer_value, saved AS value_saved,
   {rhu(f'CASE WHEN cost > 0 THEN saved / cost ELSE {d(0.0)} END', 4)} AS roi, {rhu('saved - cost', 2)} AS net_benefit,
   CASE WHEN red < {d(0.01)} THEN 'negligible' WHEN red < {d(0.05)} THEN 'modest'
        WHEN red < {d(0.15)} THEN 'moderate' ELSE 'notable' END AS impact,
-  CAST(m AS BIGINT) AS band_size FROM c5)"""
+  CAST(m AS BIGINT) AS band_size FROM c5),
+sim AS (SELECT *, printf('%s: moving %s from %.2f to %.2f lowers the predicted churn probability by %.1f%% (%s). '
+                         || 'An estimate by the model''s associations, no causal effect.',
+                         intervention_type, lower(feature_label), original_value, simulated_value,
+                         {rhu('probability_reduction * 100', 1)}, impact) AS message FROM sim0)"""
 
 
 @register("sim_interventions", f"{SIM_SQL}\nSELECT * FROM sim")

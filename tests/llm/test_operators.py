@@ -595,3 +595,29 @@ def test_paragraphs(spark):
     assert [rows[1][1][s["start"]:s["end"]] for s in got[2]["removed"]] == [a.upper(), b]
     for text in ("", "\n", "a\n", "\n\na\n\nb\n\n", " \na"):
         assert b"\n".join(line_dedup.units_of(text.encode(), "paragraph")) == text.encode()
+
+
+def test_large_sets_of_similar_documents_share_signatures(spark):
+    """Recall of the join's candidates on the larger table: every pair at 0.75 or more whose sets
+    have 64 shingles or more lies in one component."""
+    from collections import defaultdict
+    docs = spark.read.parquet(f"{SF_SMALL}/../sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets, holders = {}, defaultdict(list)
+    for doc_id, text in rows:
+        w = [x for x in brute.re.findall("[^\x20\x09-\x0D]+", brute.fold(text))]
+        s = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+        if len(s) >= 64:
+            sets[doc_id] = s
+            for shingle in s:
+                holders[shingle].append(doc_id)
+    common = defaultdict(int)
+    for own in holders.values():
+        for i, a in enumerate(own[:200]):
+            for b in own[i + 1:200]:
+                common[a, b] += 1
+    pairs = [(a, b) for (a, b), n in common.items()
+             if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) and sets[a] != sets[b]]
+    home = {r["doc_id"]: r["component_id"] for r in partenum.near_duplicates(docs).collect()}
+    assert len(pairs) > 5
+    assert [p for p in pairs if home[p[0]] != home[p[1]]] == []

@@ -307,6 +307,18 @@ def bootstrap_summary(boot: DataFrame) -> DataFrame:
         round_half_up(F.avg("avg_prob_reduction"), 4).alias("mean_avg_prob_reduction"))
 
 
+def run_parameters(pool: DataFrame, boot: DataFrame) -> DataFrame:
+    """One row: what a policy run was made with, counted where the data decide."""
+    counted = pool.agg(F.count(F.lit(1)).alias("candidate_pool_size")).crossJoin(
+        boot.agg(F.count_distinct("seed").alias("bootstrap_repetitions")))      # one row each
+    return counted.select(
+        "candidate_pool_size", F.lit(BUDGET).alias("decision_budget"), "bootstrap_repetitions",
+        F.lit(GENERIC_EFFECTIVENESS).alias("generic_effectiveness"),
+        F.lit(GENERIC_MARGIN).alias("generic_margin_rate"),
+        F.lit(GENERIC_EXECUTION_EV2).alias("generic_execution_prob"),
+        F.lit(POOL_SIZE).alias("pool_limit"), F.lit(MIN_BOOTSTRAP).alias("least_repetitions"))
+
+
 #: differences are ranked to this many places, so that ties don't hang on the order of sums
 RANKED_PLACES = 6
 

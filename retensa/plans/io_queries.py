@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.policy import run_parameters
 from ..sources import sinks
 from ..sources.derived import files_fingerprint
 from ..sources.tables import content_fingerprint, read_any, table
@@ -22,9 +23,12 @@ def q_csv_roundtrip(spark, sf_dir):
 
 @register("json_summary")
 def q_json_summary(spark, sf_dir):
-    """Arm metrics, bootstrap summary and pairwise tests as one nested JSON document (SNK2)."""
-    from .policy_queries import q_policy_arms, q_policy_bootstrap, q_policy_pairwise
-    parts = {"arm_metrics": q_policy_arms, "bootstrap_summary": q_policy_bootstrap,
+    """Run parameters, arm metrics, bootstrap summary and pairwise tests as one nested JSON
+    document (SNK2)."""
+    from .policy_queries import (boot, ev2_pool, q_policy_arms, q_policy_bootstrap,
+                                 q_policy_pairwise)
+    parts = {"run_parameters": lambda s, folder: run_parameters(ev2_pool(s, folder), boot(s, folder)),
+             "arm_metrics": q_policy_arms, "bootstrap_summary": q_policy_bootstrap,
              "pairwise_tests": q_policy_pairwise}
     # one-row aggregates side by side (a union + max, no join needed)
     doc = None

@@ -28,9 +28,16 @@ def write_parquet(df: DataFrame, path: str) -> str:
     return path
 
 
-def summary_json(df: DataFrame, name: str = "summary") -> DataFrame:
-    """A whole (small, aggregated) table as one JSON document in one row."""
-    return df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias(name))
+#: most rows that become one JSON text
+SUMMARY_ROWS = 10_000
+
+
+def summary_json(df: DataFrame, name: str = "summary", most: int = SUMMARY_ROWS) -> DataFrame:
+    """A whole small table as one JSON text in one row; a larger one raises when it is run."""
+    rows = F.collect_list(F.struct(*df.columns))
+    return df.limit(most + 1).agg(F.when(F.count(F.lit(1)) > most, F.raise_error(F.lit(
+        f"{name}: more than {most} rows for one JSON text; write the table"))).otherwise(
+        F.to_json(rows)).alias(name))
 
 
 def write_json(df: DataFrame, path: str) -> str:

@@ -32,6 +32,7 @@ class OrderStatistics:
     """Order statistics of one column, by rank among its n present values."""
     n: int
     missing: int
+    distinct: int
     at: dict[int, float]
 
     def _between(self, h: float, pick) -> float:
@@ -76,12 +77,12 @@ def order_statistics(counts: DataFrame, names: list[str], probs: list[float],
     present = F.col("v").isNotNull()
     totals = {r["i"]: r for r in counts.groupBy("i").agg(
         F.coalesce(F.sum(F.when(present, F.col("cnt"))), F.lit(0)).alias("n"),
-        F.sum("cnt").alias("rows")).collect()}
+        F.sum("cnt").alias("rows"), F.count_if(present).alias("distinct")).collect()}
     out: dict[str, OrderStatistics] = {}
     places, before = {}, 0
     for i, name in enumerate(names):
-        n, rows = (int(totals[i]["n"]), int(totals[i]["rows"])) if i in totals else (0, 0)
-        out[name] = OrderStatistics(n, rows - n, {})
+        n, rows, distinct = (int(totals[i][c]) for c in ("n", "rows", "distinct")) if i in totals else (0, 0, 0)
+        out[name] = OrderStatistics(n, rows - n, distinct, {})
         if n:
             places |= {(i, before + k): (name, k) for k in out[name].needed(probs, filled)}
         before += n

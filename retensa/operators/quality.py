@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.numeric import (finite_or_null, kurt_bias_corrected, pearson, q, round_half_up,
                                  skew_bias_corrected, to_double)
 from ..functions.moments import pair_correlations
-from ..functions.quantiles import quantiles_many
+from ..functions.quantiles import column_statistics, quantiles_many
 from .schema import is_numeric_type
 
 # ---- fixed values (must equal the reference's) -------------------------------
@@ -90,17 +90,18 @@ def profile_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
         exprs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
                   F.count_if(v.isNull()).alias(f"miss{i}"), F.min(v).alias(f"min{i}"),
                   F.max(v).alias(f"max{i}"), n.alias(f"cnt{i}"),
-                  F.count_distinct(v).alias(f"nd{i}"),
                   # rounded to 10 places: a symmetric column is 0, not +-1e-16
                   round_half_up(skew_bias_corrected(n.cast("double"), F.skewness(v)), 10)
                   .alias(f"sk{i}"),
                   round_half_up(kurt_bias_corrected(n.cast("double"), F.kurtosis(v)), 10)
                   .alias(f"ku{i}")]
     wide = df.agg(*exprs)
-    qs = quantiles_many(df, {c: numeric_view(df, c) for c in cols}, [0.25, 0.5, 0.75])
-    wide = wide.select("*", *[F.lit(qs[c][k]).cast("double").alias(f"{p}{i}")
-                              for i, c in enumerate(cols)
-                              for k, p in enumerate(["p25_", "med", "p75_"])])
+    # quantiles and distinct counts from the columns' value counts
+    probs = {"p25_": 0.25, "med": 0.5, "p75_": 0.75}
+    stats = column_statistics(df, {c: numeric_view(df, c) for c in cols}, list(probs.values()))
+    wide = wide.select("*", *[F.lit(stats[c].quantile(p)).cast("double").alias(f"{name}{i}")
+                              for i, c in enumerate(cols) for name, p in probs.items()],
+                       *[F.lit(stats[c].distinct).cast("long").alias(f"nd{i}") for i, c in enumerate(cols)])
     return _stack(wide, cols,
                   ["mean", "med", "std", "miss", "min", "max", "p25_", "p75_", "sk", "ku",
                    "cnt", "nd"],

@@ -72,13 +72,19 @@ def mart_plan(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFra
     # to_date(ts) < day  <=>  ts < day 00:00, written on the raw column so the
     # predicate reaches the Parquet scan (PushedFilters)
     hist = orders.filter(F.col("o_orderdate") < F.lit(cutoff).cast("timestamp_ntz"))
-    per_cust_orders = orders.groupBy("o_custkey").agg(
-        F.min(F.when(F.col("od") < cut, F.col("od"))).alias("first_od"),
-        F.max(F.when(F.col("od") < cut, F.col("od"))).alias("last_od"),
-        F.count_if(F.col("od") < cut).alias("order_count"),
-        F.count_if((F.col("od") < cut) & (F.col("o_orderpriority") == "1-URGENT"))
-        .alias("n_urgent"),
-        F.count_if(F.col("od") >= cut).alias("n_future"),
+    # one scan of orders for counts, dates and the most common priority
+    before = F.col("od") < cut
+    by_priority = orders.groupBy("o_custkey", "o_orderpriority").agg(
+        F.min(F.when(before, F.col("od"))).alias("first_od"),
+        F.max(F.when(before, F.col("od"))).alias("last_od"),
+        F.count_if(before).alias("n"), F.count_if(~before).alias("n_future"))
+    own = F.when(F.col("n") > 0, F.struct(-F.col("n"), F.col("o_orderpriority")))
+    per_cust_orders = by_priority.groupBy("o_custkey").agg(
+        F.min("first_od").alias("first_od"), F.max("last_od").alias("last_od"),
+        F.sum("n").alias("order_count"),
+        F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("n")).otherwise(0)).alias("n_urgent"),
+        F.sum("n_future").alias("n_future"),
+        F.min_by("o_orderpriority", own).alias("main_priority"),
     ).filter(F.col("order_count") > 0)
 
     per_cust_lines = (hist.select("o_orderkey", "o_custkey")
@@ -89,12 +95,6 @@ def mart_plan(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFra
                           F.sum("n_returned").alias("n_returned"),
                           F.sum("disc").alias("disc")))
 
-    per_cust_mode = (hist.groupBy("o_custkey", "o_orderpriority").count()
-                     .groupBy("o_custkey")
-                     .agg(F.min_by("o_orderpriority",
-                                   F.struct(-F.col("count"), F.col("o_orderpriority")))
-                          .alias("main_priority")))
-
     cust = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     # small enough for a broadcast by its size, which the session's threshold checks
@@ -103,8 +103,7 @@ def mart_plan(spark: SparkSession, sf_dir: str, cutoff: str = CUTOFF) -> DataFra
     m = (per_cust_orders
          .join(cust, F.col("o_custkey") == F.col("c_custkey"))
          .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-         .join(per_cust_lines, "o_custkey", "left")
-         .join(per_cust_mode, "o_custkey", "left"))
+         .join(per_cust_lines, "o_custkey", "left"))
 
     tenure = F.datediff(cut, F.col("first_od"))
     total_rev = F.coalesce(F.col("rev"), F.lit(0)).cast("double") / F.lit(10000.0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import (byte_bpe, collocations, decontaminate, line_dedup, packing, partenum, pii,
                quality_classifier, quality_rules, sharding, sql, token_files, warc, whitening)
 from .common import read_table
+from .files import read_tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,7 +60,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           public_tokenizers.path("word_bpe_49k.json"), END_ID)
     index = token_files.build_index(files)
     found = token_files.find(index, files.documents.select("doc_id", "repeat"))
-    return token_files.read_documents(files.folder, found, files.item_bytes)
+    ids, documents = files.documents.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    return token_files.read_documents(files.folder, found, files.item_bytes,
+                                      read_tasks(ids * files.item_bytes, documents))
 
 
 @query()

@@ -21,6 +21,15 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+READ_BYTES, READ_ROWS = 1 << 24, 10_000
+
+
+def read_tasks(total_bytes: int, ranges: int) -> int:
+    """Tasks for reading byte ranges: Spark, which sees only the narrow rows that name them, would
+    pack far too many into one."""
+    return max(1, min(100_000, max(-(-total_bytes // READ_BYTES), -(-ranges // READ_ROWS))))
+
+
 def attempt_name(prefix: str, suffix: str) -> str:
     """A file name of this task attempt's own."""
     from pyspark import TaskContext

@@ -190,10 +190,13 @@ def find(index: Index, keys: DataFrame) -> DataFrame:
         probe, f"doc_id {kind}, repeat long, file string, offset long, n_tokens long, start long")
 
 
-def read_documents(folder: str, found: DataFrame, item_bytes: int) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of found keys, from the files' bytes."""
+def read_documents(folder: str, found: DataFrame, item_bytes: int,
+                   tasks: int | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of found keys, from the files' bytes.
+    ``tasks``: how many read, if their number is not left to Spark."""
     kind = found.schema["doc_id"].dataType.simpleString()
-    ordered = found.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ordered = found.repartitionByRange(*([tasks] if tasks else []), "file", "offset") \
+        .sortWithinPartitions("file", "offset")
     item = np.dtype(f"<u{item_bytes}")
 
     def run(batch):

@@ -9,8 +9,8 @@ search in the shard bounds, in the directory and in one block read by its range;
 
 Defined cases: a null payload is empty; a null URL has an empty key; rows that carry the
 response's id and payload are responses too, so repeated rows stay; null ids sort last
-and are a response only where no row of the payload has an id; without pages nothing is
-written.
+and are a response only where no row of the payload has an id; ids are whole numbers (others
+raise TypeError); without pages nothing is written.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, same, shared_folder, ship_package, stored
-from .files import Folder, attempt_name
+from .files import Folder, attempt_name, read_tasks
 
 BLOCK_LINES = 512
 DATE = "2020-01-01T00:00:00Z"
@@ -61,6 +62,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write every row of ``pages`` (page_id, url, html); returns the captures:
     key, file, offset, length."""
     spark = pages.sparkSession
+    if not isinstance(pages.schema["page_id"].dataType, T.IntegralType):
+        raise TypeError("page_id must be a whole number")
     ship_package(spark)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"),
@@ -266,10 +269,12 @@ def parse_record(data: bytes) -> dict:
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_captures(folder: str, captures: DataFrame, payloads: bool = False) -> DataFrame:
-    """Records of captures, read by range in the order of files; with their payloads if asked."""
+def read_captures(folder: str, captures: DataFrame, payloads: bool = False,
+                  tasks: int | None = None) -> DataFrame:
+    """Records of captures, read by range in the order of files; with their payloads if asked.
+    ``tasks``: how many read, if their number is not left to Spark."""
     ordered = captures.select("file", "offset", "length").repartitionByRange(
-        "file", "offset").sortWithinPartitions("file", "offset")
+        *([tasks] if tasks else []), "file", "offset").sortWithinPartitions("file", "offset")
     names = [f.split()[0] for f in RESULT.split(", ")] + ["payload"] * payloads
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
@@ -292,4 +297,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     index = build_index(captures, folder)
     keys = pages.select(F.concat_ws(" ", url_key(F.col("url")), id_key(F.col("page_id"))).alias(
         "key")).distinct()
-    return read_captures(folder, look_up(index, keys))
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    return read_captures(folder, look_up(index, keys), tasks=read_tasks(*size))

@@ -69,6 +69,18 @@ def test_warc_round_trip(spark):
     agree(warc_rows(pages), brute.warc([tuple(r) for r in pages.select("page_id", "url", "html").collect()]))
 
 
+def test_warc_ids_are_whole_numbers(spark, tmp_path):
+    with pytest.raises(TypeError):
+        warc.write_archives(frame(spark, [("a", "u", "x")], "page_id string, url string, html string"),
+                            str(tmp_path))
+
+
+def test_read_tasks():
+    from retensa.llm.files import read_tasks
+    assert read_tasks(0, 0) == 1 and read_tasks(1 << 30, 5) == 64 and read_tasks(5, 95_000) == 10
+    assert read_tasks(1 << 60, 1) == 100_000
+
+
 def test_warc_index_finds_keys_over_many_blocks(spark, tmp_path):
     rows = [(i, f"http://h{i % 7}.example.com/{i % 50}", f"body {i}") for i in range(900)]
     df = frame(spark, rows, "page_id long, url string, html string")

@@ -16,7 +16,7 @@ from ..functions.numeric import (finite_or_null, kurt_bias_corrected, pearson, q
                                  skew_bias_corrected, to_double)
 from ..functions.moments import pair_correlations
 from ..functions.quantiles import column_statistics, quantiles_many
-from .schema import is_numeric_type
+from .schema import detect_id_cols, is_numeric_type, numeric_columns
 
 # ---- fixed values (must equal the reference's) -------------------------------
 TRAIN_MAX_MISSING = 0.6
@@ -322,6 +322,34 @@ def categorical_leaks(frame: DataFrame, y: str, cols: list[str], n_rows: int) ->
                    & (F.col("n_means") <= LEAK_MAX_DISTINCT_MEANS), F.lit(False)).alias("is_leak"))
 
 
+def screen_numeric(frame: DataFrame, y: str, n: int | None = None) -> DataFrame:
+    """The numeric screen over all columns that are neither the target nor like an ID."""
+    ids = detect_id_cols(frame.columns, target=y)
+    cols = [c for c in numeric_columns(frame) if c != y and c not in ids]
+    return numeric_leaks(frame, y, cols, frame.count() if n is None else n)
+
+
+def flagged(report: DataFrame) -> list[str]:
+    return [r["column_name"] for r in report.where("is_leak").select("column_name").collect()]
+
+
+def screen_categorical(frame: DataFrame, y: str, n: int | None = None,
+                       numeric: list[str] | None = None) -> DataFrame:
+    """The categorical screen over what the numeric one left (``numeric``: what it flagged)."""
+    n = frame.count() if n is None else n
+    numeric = flagged(screen_numeric(frame, y, n)) if numeric is None else numeric
+    ids = detect_id_cols(frame.columns, target=y)
+    cols = [c for c in frame.columns if c != y and c not in ids and c not in numeric]
+    return categorical_leaks(frame, y, cols, n)
+
+
+def leaking_columns(frame: DataFrame, y: str) -> list[str]:
+    """Names that either screen flags (DQ17)."""
+    n = frame.count()
+    numeric = flagged(screen_numeric(frame, y, n))
+    return numeric + flagged(screen_categorical(frame, y, n, numeric))
+
+
 def category_target_means(df: DataFrame, y: Column, cols: list[str]) -> DataFrame:
     """(column, category) -> mean target and count, missing as its own
     category; one long shuffle with partial aggregation (AG5)."""

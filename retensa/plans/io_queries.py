@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import quality
 from ..operators.policy import run_parameters
 from ..sources import sinks
 from ..sources.derived import files_fingerprint
@@ -45,7 +46,7 @@ def q_validation_report(spark, sf_dir):
     """Train/test verdict and leak findings as a (section, key, value,
     severity) report plus its text lines (SNK4)."""
     from .metric_queries import q_train_test_verdict
-    from .quality_queries import frozen_model_frame, leak_categorical_frame, leak_numeric_frame
+    from .quality_queries import frozen_model_frame
     v = q_train_test_verdict(spark, sf_dir)
     cols = [c for c in v.columns if c not in ("status",)]
     stack = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
@@ -55,8 +56,7 @@ def q_validation_report(spark, sf_dir):
                 .alias("severity"))
     mf = frozen_model_frame(spark, sf_dir)
     n = mf.count()
-    numeric = leak_numeric_frame(mf, n)
-    leaked = [r["column_name"] for r in numeric.where("is_leak").collect()]
+    numeric = quality.screen_numeric(mf, "churn", n)
 
     def section(name, leaks, value):
         return leaks.select(
@@ -65,7 +65,7 @@ def q_validation_report(spark, sf_dir):
             F.when(F.col("is_leak"), "CRITICAL").otherwise("INFO").alias("severity"))
 
     report = metrics.unionByName(section("leakage", numeric, "abs_corr")).unionByName(
-        section("categorical leakage", leak_categorical_frame(mf, leaked, n), "separation"))
+        section("categorical leakage", quality.screen_categorical(mf, "churn", n), "separation"))
     return report.withColumn("line", sinks.report_line())
 
 

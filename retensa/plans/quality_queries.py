@@ -298,12 +298,54 @@ def _labelled(spark, sf_dir, pos, neg):
 
 
 def _target_query(spark, sf_dir, pos, neg):
-    lab = _labelled(spark, sf_dir, pos, neg)
+    return _encoded(_labelled(spark, sf_dir, pos, neg))
+
+
+def _encoded(lab):
     enc, strategy = target.encode_target(lab, "raw_label", "target")
     enc = target.keep_mapped_binary(enc, "target")
     return enc.withColumn("strategy", F.lit(strategy))
 
 
+def _pair_sql(pos, neg, strategy):
+    return f"""WITH {MART_SQL}
+SELECT customer_id, CASE WHEN churn = 1 THEN '{pos}' ELSE '{neg}' END AS raw_label,
+       CAST(churn AS INTEGER) AS target, '{strategy}' AS strategy FROM mart"""
+
+
+@register("target_encode_paired", _pair_sql(" YES ", "platinum", "paired_with_known_label"))
+def q_target_encode_paired(spark, sf_dir):
+    """One known word settles the label beside it (DQ21)."""
+    return _target_query(spark, sf_dir, " YES ", "platinum")
+
+
+@register("target_encode_keyword", _pair_sql("Likely churner", "Regular guest", "keyword_inference"))
+def q_target_encode_keyword(spark, sf_dir):
+    """A marker inside a label tells the classes apart (DQ21)."""
+    return _target_query(spark, sf_dir, "Likely churner", "Regular guest")
+
+
+@register("target_encode_lexicographic", f"""WITH {MART_SQL}
+SELECT customer_id, raw_label, CASE WHEN raw_label = 'Group B' THEN 1 ELSE 0 END AS target,
+       'lexicographic_fallback' AS strategy
+FROM mart, (VALUES ('Group A'), ('Group B')) t(raw_label)""")
+def q_target_encode_lexicographic(spark, sf_dir):
+    """Two labels of equal size that say nothing: the first by name is 0 (DQ21)."""
+    both = F.explode(F.array(F.lit("Group A"), F.lit("Group B"))).alias("raw_label")
+    return _encoded(build_mart(spark, sf_dir).select("customer_id", both))
+
+
+@register("target_encode_partial", f"""WITH {MART_SQL}
+SELECT customer_id, CASE WHEN churn = 1 THEN 'Yes' ELSE 'No' END AS raw_label,
+       CAST(churn AS INTEGER) AS target, 'partial_semantic_mapping' AS strategy
+FROM mart WHERE segment IS DISTINCT FROM 'BUILDING' AND segment IS DISTINCT FROM 'MACHINERY'""")
+def q_target_encode_partial(spark, sf_dir):
+    """More than two labels, two of them known: rows of the others go (DQ21, FLT1)."""
+    label = F.when(F.col("segment") == "BUILDING", "maybe").when(
+        F.col("segment") == "MACHINERY", "unclear").when(F.col("churn") == 1, "Yes").otherwise("No")
+    return _encoded(build_mart(spark, sf_dir).select("customer_id", label.alias("raw_label")))
+
+
 @register("target_encode_semantic", f"""WITH {MART_SQL}
 SELECT customer_id, CASE WHEN churn = 1 THEN ' Churned' ELSE 'stayed ' END AS raw_label,
        CAST(churn AS INTEGER) AS target, 'semantic_token_mapping' AS strategy FROM mart""")
@@ -409,29 +451,9 @@ def _leak_numeric_sql():
             f"THEN {d(0.87)} ELSE {d(0.85)} END, FALSE) AS is_leak FROM r WHERE varies AND nn > 10 AND sd > 0")
 
 
-def leak_numeric_frame(mf, n=None):
-    ids = schema.detect_id_cols(mf.columns, target="churn")
-    cols = [c for c in schema.numeric_columns(mf) if c != "churn" and c not in ids]
-    return quality.numeric_leaks(mf, "churn", cols, mf.count() if n is None else n)
-
-
-def leak_categorical_frame(mf, numeric_leaks, n):
-    ids = schema.detect_id_cols(mf.columns, target="churn")
-    cols = [c for c in mf.columns if c != "churn" and c not in ids and c not in numeric_leaks]
-    return quality.categorical_leaks(mf, "churn", cols, n)
-
-
-def leaking_columns(mf):
-    """Names that either screen flags."""
-    n = mf.count()
-    numeric = [r["column_name"] for r in leak_numeric_frame(mf, n).where("is_leak").collect()]
-    return numeric + [r["column_name"] for r in
-                      leak_categorical_frame(mf, numeric, n).where("is_leak").collect()]
-
-
 @register("leak_numeric", _leak_numeric_sql())
 def q_leak_numeric(spark, sf_dir):
-    return leak_numeric_frame(model_frame(spark, sf_dir))
+    return quality.screen_numeric(model_frame(spark, sf_dir), "churn")
 
 
 CAT_LEAK_COLS = [c for c in DIRTY_COLUMNS if c not in ("customer_id", "churn", "leak_copy",
@@ -456,10 +478,7 @@ def _leak_cat_sql():
 
 @register("leak_categorical", _leak_cat_sql())
 def q_leak_categorical(spark, sf_dir):
-    mf = frozen_model_frame(spark, sf_dir)
-    n = mf.count()
-    leaked = [r["column_name"] for r in leak_numeric_frame(mf, n).where("is_leak").collect()]
-    return leak_categorical_frame(mf, leaked, n)
+    return quality.screen_categorical(frozen_model_frame(spark, sf_dir), "churn")
 
 
 def _multicol_sql():
@@ -507,21 +526,33 @@ def q_near_zero_variance(spark, sf_dir):
 
 def _conv_sql():
     from ..functions.numeric import NUMERIC_TEXT
-    text = ["segment", "nation", "main_priority", "priority_customer", "balance_text", "leak_group"]
-    return f"{W}\n" + "\nUNION ALL ".join(
-        f"SELECT '{c}' AS column_name, COALESCE(BOOL_AND(COALESCE(regexp_matches({c}, '{NUMERIC_TEXT}'), "
-        f"{c} IS NULL)), TRUE) AS converted FROM mart_dirty" for c in text)
+    text = ["segment", "nation", "main_priority", "priority_customer", "balance_text", "leak_group",
+            "days_text", "cents_text"]
+    return (f"{W},\nt AS (SELECT *, ' ' || tenure_days AS days_text, CASE WHEN customer_id % 3 <> 0 "
+            "THEN CAST(CAST(ROUND(account_balance * 100) AS BIGINT) AS VARCHAR) || 'e0' END AS cents_text "
+            "FROM mart_dirty)\n" + "\nUNION ALL ".join(
+                f"SELECT '{c}' AS column_name, ok AS converted, CASE WHEN ok THEN n END AS n_values, "
+                f"CASE WHEN ok THEN s END AS value_sum FROM (SELECT COALESCE(BOOL_AND(COALESCE("
+                f"regexp_matches({c}, '{NUMERIC_TEXT}'), {c} IS NULL)), TRUE) AS ok, COUNT({c}) AS n, "
+                f"SUM(TRY_CAST(trim({c}) AS DOUBLE)) AS s FROM t) x" for c in text))
 
 
 @register("convert_numeric_text", _conv_sql())
 def q_convert_numeric_text(spark, sf_dir):
-    """Text columns become numbers only when every value is numeric text (DQ8)."""
-    md = build_mart_dirty(spark, sf_dir)
+    """Text columns become numbers only when every value is numeric text (DQ8): per text column
+    whether it did, and the number and sum of its values as numbers."""
+    cents = F.concat(F.round(F.col("account_balance") * 100).cast("long").cast("string"), F.lit("e0"))
+    md = build_mart_dirty(spark, sf_dir).withColumns({
+        "days_text": F.concat(F.lit(" "), F.col("tenure_days").cast("string")),
+        "cents_text": F.when(F.col("customer_id") % 3 != 0, cents)})
     out = quality.convert_numeric_text(md)
-    return spark.createDataFrame(
-        [(f.name, out.schema[f.name].dataType.simpleString() == "double")
-         for f in md.schema.fields if f.dataType.simpleString() == "string"],
-        "column_name string, converted boolean")
+    text = [f.name for f in md.schema.fields if f.dataType.simpleString() == "string"]
+    done = [c for c in text if out.schema[c].dataType.simpleString() == "double"]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(c in done).alias("converted"),
+                     (F.count(c) if c in done else F.lit(None).cast("long")).alias("n_values"),
+                     (F.sum(c) if c in done else F.lit(None).cast("double")).alias("value_sum"))
+            for c in text]
+    return out.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 @register("clean_dataset", f"""{W}, {MODEL_FRAME_SQL}
@@ -529,7 +560,7 @@ SELECT * EXCLUDE (leak_copy, leak_inverse, leak_stamp, leak_group) FROM mf""")
 def q_clean_dataset(spark, sf_dir):
     """The model frame without the columns the leak engine flags (DQ17)."""
     mf = frozen_model_frame(spark, sf_dir)
-    return mf.drop(*leaking_columns(mf))
+    return mf.drop(*quality.leaking_columns(mf, "churn"))
 
 
 @register("validation_target", f"""WITH {MART_SQL}
@@ -541,3 +572,23 @@ def q_validation_target(spark, sf_dir):
     the mode, more than two values split at the median (DQ22)."""
     lab = _labelled(spark, sf_dir, " Churned", "stayed ")
     return target.validation_target(lab, "raw_label").select("customer_id", F.col("_y").alias("y"))
+
+
+@register("validation_target_numeric", f"""WITH {MART_SQL},
+r AS (SELECT customer_id, CASE WHEN customer_id % 5 <> 0 THEN churn END AS y FROM mart),
+m AS (SELECT y FROM r WHERE y IS NOT NULL GROUP BY y ORDER BY COUNT(*) DESC, y LIMIT 1)
+SELECT customer_id, CAST(COALESCE(r.y, m.y) AS INTEGER) AS y FROM r, m""")
+def q_validation_target_numeric(spark, sf_dir):
+    """Numbers as text, missing ones to the most common value (DQ22)."""
+    text = F.when(F.col("customer_id") % 5 != 0, F.concat(F.lit(" "), F.col("churn"), F.lit(".0")))
+    lab = build_mart(spark, sf_dir).select("customer_id", text.alias("raw_label"))
+    return target.validation_target(lab, "raw_label").select("customer_id", F.col("_y").alias("y"))
+
+
+@register("validation_target_many", f"""WITH {MART_SQL},
+m AS (SELECT quantile_cont(CAST(order_count AS DOUBLE), 0.5) AS med FROM mart)
+SELECT customer_id, CASE WHEN order_count > med THEN 1 ELSE 0 END AS y FROM mart, m""")
+def q_validation_target_many(spark, sf_dir):
+    """More than two values are split above the median (DQ22)."""
+    lab = build_mart(spark, sf_dir).select("customer_id", F.col("order_count").alias("raw_label"))
+    return target.validation_target(lab, "raw_label").select("customer_id", F.col("_y").alias("y"))

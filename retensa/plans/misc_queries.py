@@ -133,6 +133,15 @@ def q_null_row_filters(spark, sf_dir):
 _NONACT_SQL = ", ".join(f"'{x}'" for x in sorted(X.NON_ACTIONABLE))
 
 
+@register("modelling_columns", f"WITH {MART_SQL}\nSELECT " + ", ".join(
+    f'{c} AS "{schema.modelling_name(display_name(c))}"' for c in MART_COLUMNS) + " FROM mart")
+def q_modelling_columns(spark, sf_dir):
+    """The mart under modelling names; a later column of the same name goes (PRJ2)."""
+    m = build_mart(spark, sf_dir)
+    shown = m.toDF(*[display_name(c) for c in m.columns]).withColumn("-Customer-Id-", F.lit(0))
+    return schema.modelling_columns(shown)
+
+
 @register("actionable_filter", f"""WITH {MART_SQL}, {MART_PROFILE_SQL}
 SELECT position, feature, missing, varies,
   NOT (k IN ({_NONACT_SQL}) OR k = 'customer_id' OR suffix(k, 'id') OR contains(k, '_id')) AS actionable,

@@ -16,11 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True,
-             infer_schema: bool = False) -> DataFrame:
+             infer_schema: bool = False, encoding: str | None = None) -> DataFrame:
     """CSV scan with header; if the text decodes with replacement characters
-    under UTF-8, read again as ISO-8859-1 (Spark never fails on bad UTF-8)."""
+    under UTF-8, read again as ISO-8859-1 (Spark never fails on bad UTF-8).
+
+    Looking for such characters is a scan of its own, of whole files, since one bad byte may
+    stand anywhere; where the encoding is known, naming it saves that scan.
+    """
     opts = {"header": str(header).lower(), "inferSchema": str(infer_schema).lower(),
             "mode": "PERMISSIVE"}
+    if encoding:
+        return spark.read.options(encoding=encoding, **opts).csv(path)
     df = spark.read.options(**opts).csv(path)
     probe = F.lit(False)
     for c in df.columns:

@@ -18,6 +18,7 @@ def test_latin1_csv_is_reread(spark):
     rows = read_csv(spark, path).collect()
     assert [r["name"] for r in rows] == ["José", "René"]
     assert rows[1]["city"] == "Zürich"
+    assert rows == read_csv(spark, path, encoding="ISO-8859-1").collect()
 
 
 def test_fingerprint_ignores_row_order_and_partitioning(spark):

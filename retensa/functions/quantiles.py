@@ -36,8 +36,8 @@ class OrderStatistics:
     at: dict[int, float]
 
     def _between(self, h: float, pick) -> float:
-        lo, hi = pick(math.floor(h)), pick(math.ceil(h))
-        return lo if lo == hi else lo + (h - math.floor(h)) * (hi - lo)
+        lo, hi, share = pick(math.floor(h)), pick(math.ceil(h)), h - math.floor(h)
+        return lo if lo == hi else lo * (1.0 - share) + hi * share
 
     def quantile(self, p: float) -> float | None:
         return self._between((self.n - 1) * p, self.at.__getitem__) if self.n else None

@@ -9,14 +9,18 @@ out-of-fold scores.  Scores for all customers come from one ``transform``.
 
 from __future__ import annotations
 
+import math
 import statistics
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,10 @@ AGREEMENT_TOP = 5
 
 SEED = 123
 MAX_CLASSES = 100
+#: rows of a training table that one task reads; a learner runs hundreds of short stages over them
+TASK_ROWS = 50_000
+#: fits that run at a time
+PARALLEL_FITS = 8
 
 
 def add_folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
@@ -85,30 +93,70 @@ def positive_score(df: DataFrame, out: str = "score") -> DataFrame:
     return df.withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
+def laid_out(df: DataFrame, key: str) -> DataFrame:
+    """The table in tasks of about ``TASK_ROWS`` rows, by key: learners run hundreds of stages over
+    it, which a session's shuffle partitions would cut into tasks of a few rows.  The layout
+    depends on the rows alone, so a learner's draws do too."""
+    tasks = max(1, math.ceil(df.count() / TASK_ROWS))
+    return df.repartition(tasks, F.col(f"`{key}`")).sortWithinPartitions(f"`{key}`")
+
+
 def prepare(train: DataFrame, others: list[DataFrame], numeric: list[str],
-            categorical: list[str]) -> tuple[PipelineModel, DataFrame, list[DataFrame]]:
+            categorical: list[str], key: str) -> tuple[PipelineModel, DataFrame, list[DataFrame]]:
     """Fit imputation and encoding once on the train split; every later fit
     (folds, tuning, calibration) reuses the cached feature vectors."""
     stages, _ = feature_stages(numeric, categorical)
+    train = train.cache()
     prep = Pipeline(stages=stages).fit(train)
-    vec = prep.transform(train)
+    vec = prep.transform(laid_out(train, key))
     check_no_rfm([a["name"] for group in vec.schema["features"].metadata.get("ml_attr", {}).get(
         "attrs", {}).values() for a in group])
-    return prep, vec.cache(), [prep.transform(o) for o in others]
+    vec = vec.cache()
+    vec.count()
+    train.unpersist()
+    return prep, vec, [prep.transform(o) for o in others]
 
 
-def compare(train: DataFrame, label: str, folds: int, parallelism: int = 8) -> list[dict]:
-    """Cross-validated AUC of every learner on the same folds (ML4)."""
+def at_once(spark, jobs: list[Callable]) -> list:
+    """Results of independent jobs, ``PARALLEL_FITS`` of which run at a time, in their order."""
+    pool, carried = ThreadPool(max(1, min(PARALLEL_FITS, len(jobs)))), inheritable_thread_target(spark)
+    try:
+        return pool.map(lambda job: carried(job)(), jobs, chunksize=1)
+    finally:
+        pool.close()
+
+
+def fold_parts(train: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(rows of the other folds, rows of the fold) for every fold; neither may be empty."""
+    n = {r["fold"]: r["count"] for r in train.groupBy("fold").count().limit(folds + 1).collect()}
+    for k in range(folds):
+        if not n.get(k) or n[k] == sum(n.values()):
+            raise ValueError(f"fold {k} leaves nothing to train on or to validate with")
+    return [(train.where(F.col("fold") != k), train.where(F.col("fold") == k)) for k in range(folds)]
+
+
+def cross_validate(candidates: list, train: DataFrame, label: str, folds: int) -> list[float]:
+    """Mean AUC over the folds of every candidate (estimator, parameters).
+
+    Fits are independent, so all candidates and folds share one pool; a cross validator of MLlib
+    runs the folds of one candidate one after the other."""
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    out = []
-    for name, est in learners(label, "weight").items():
-        cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(),
-                            evaluator=ev, foldCol="fold", numFolds=folds,
-                            parallelism=parallelism, seed=SEED)
-        model = cv.fit(train)
-        out.append({"name": name, "cv_auc": float(model.avgMetrics[0]),
-                    "model": model.bestModel, "estimator": est})
-    return out
+    parts = fold_parts(train, folds)
+
+    def one(est, params, others, own):
+        return lambda: ev.evaluate(est.fit(others, params).transform(own))
+
+    aucs = at_once(train.sparkSession, [one(est, params, *part) for est, params in candidates for part in parts])
+    return [sum(aucs[i * folds:(i + 1) * folds]) / folds for i in range(len(candidates))]
+
+
+def compare(train: DataFrame, label: str, folds: int) -> list[dict]:
+    """Cross-validated AUC of every learner on the same folds (ML4)."""
+    each = learners(label, "weight")
+    aucs = cross_validate([(est, {}) for est in each.values()], train, label, folds)
+    models = at_once(train.sparkSession, [lambda est=est: est.fit(train) for est in each.values()])
+    return [{"name": name, "cv_auc": float(auc), "model": model, "estimator": est}
+            for (name, est), auc, model in zip(each.items(), aucs, models)]
 
 
 def holdout_row(model, test: DataFrame, label: str, name: str, cv_auc: float,
@@ -129,25 +177,21 @@ def tune(best: dict, train: DataFrame, label: str, folds: int) -> tuple[Pipeline
         grid = grid.addGrid(est.maxDepth, [4, 6, 8])
     else:
         grid = grid.addGrid(est.maxDepth, [3, 4, 5])
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    cv = CrossValidator(estimator=est,
-                        estimatorParamMaps=grid.build(), evaluator=ev, foldCol="fold",
-                        numFolds=folds, parallelism=8, seed=SEED)
-    m = cv.fit(train)
-    auc = max(m.avgMetrics)
+    grid = grid.build()
+    aucs = cross_validate([(est, params) for params in grid], train, label, folds)
+    auc = max(aucs)
     if auc > best["cv_auc"]:
-        return m.bestModel, auc, True
+        return est.fit(train, grid[aucs.index(auc)]), auc, True
     return best["model"], best["cv_auc"], False
 
 
 def out_of_fold_scores(best: dict, train: DataFrame, label: str, folds: int, key: str) -> DataFrame:
     """Score each fold with a model fit on the other folds."""
-    parts = []
-    pipe = best["estimator"]
-    for k in range(folds):
-        m = pipe.fit(train.where(F.col("fold") != k))
-        parts.append(positive_score(m.transform(train.where(F.col("fold") == k)))
-                     .select(key, label, "score"))
+    parts = fold_parts(train, folds)
+    fitted = at_once(train.sparkSession,
+                     [lambda others=others: best["estimator"].fit(others) for others, _ in parts])
+    parts = [positive_score(m.transform(own)).select(key, label, "score")
+             for m, (_, own) in zip(fitted, parts)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -33,10 +33,14 @@ def _train(spark, sf_dir):
     folds = features.adaptive_folds(int(st["p"]), int(st["n"]))
     train = MD.add_folds(MD.class_weights(sp.where(F.col("split") == "train"), LABEL), KEY, folds)
     train = train.withColumn(LABEL, F.col(LABEL).cast("double"))
-    test = sp.where(F.col("split") == "test").withColumn(LABEL, F.col(LABEL).cast("double"))
-    prep, train, (test, everyone) = MD.prepare(train, [test, m], NUMERIC, CATEGORICAL)
+    test = MD.laid_out(sp.where(F.col("split") == "test").withColumn(
+        LABEL, F.col(LABEL).cast("double")), KEY)
+    prep, train, (test, everyone) = MD.prepare(train, [test, m], NUMERIC, CATEGORICAL, KEY)
+    test = test.cache()
     results = MD.compare(train, LABEL, folds)
-    board = [MD.holdout_row(r["model"], test, LABEL, r["name"], r["cv_auc"], KEY) for r in results]
+    board = MD.at_once(spark, [lambda r=r: MD.holdout_row(r["model"], test, LABEL, r["name"], r["cv_auc"], KEY)
+                               for r in results])
+    test.unpersist()
     best = max(results, key=lambda r: (r["cv_auc"], r["name"]))
     return {"mart": everyone, "train": train, "test": test, "folds": folds, "results": results,
             "board": board, "best": best}

@@ -7,8 +7,8 @@ every size:
 1. bounds of contiguous ranges are chosen once, from a bounded draw of the order
    keys (the rows of least key hash, so the draw is the same on every run; each task
    keeps no more of them than the whole draw),
-2. each row finds its range by a binary search over the bounds, written as one
-   expression of literals.  The assignment depends on the row alone, so it may be
+2. each row finds its range by a binary search over the bounds, literal arrays that one
+   small expression looks into.  The assignment depends on the row alone, so it may be
    recomputed after an executor loss and needs no checkpoint; a unique tie-breaker in
    the order lets a hot value spread over many ranges,
 3. running sums inside each range (a window partitioned by range id),
@@ -36,7 +36,7 @@ def _order_exprs(order: list[str], flags: list[bool]) -> list[Column]:
 
 
 def _behind(bound: dict[str, Column], order: list[str], flags: list[bool]) -> Column:
-    """Whether a row sorts behind ``bound`` (a literal per order column)."""
+    """Whether a row sorts behind ``bound`` (a value per order column)."""
     out = F.lit(False)
     for c, desc in reversed(list(zip(order, flags))):
         v, b = F.col(f"`{c}`"), bound[c]
@@ -74,22 +74,24 @@ def range_bounds(df: DataFrame, order: list[str], descending: list[bool] | bool
 
 def range_id(df: DataFrame, bounds: list[tuple], order: list[str],
              descending: list[bool] | bool = False) -> Column:
-    """Number of the range a row falls in: how many bounds it sorts behind."""
-    flags = _flags(order, descending)
-    kinds = {c: df.schema[c].dataType for c in order}
+    """Number of the range a row falls in: how many bounds it sorts behind.
 
-    def literal(value, kind: T.DataType) -> Column:
-        return F.lit(value).cast(kind)
+    A binary search over one literal array per order column.  The expression holds the comparison
+    once, however many bounds there are.
+    """
+    if not bounds:
+        return F.lit(0)
+    flags = _flags(order, descending)
+    arrays = {c: F.array(*[F.lit(b[i]).cast(df.schema[c].dataType) for b in bounds])
+              for i, c in enumerate(order)}
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        middle = (lo + hi) // 2
-        bound = {c: literal(v, kinds[c]) for c, v in zip(order, bounds[middle])}
-        return F.when(_behind(bound, order, flags), search(middle + 1, hi)).otherwise(
-            search(lo, middle))
+    def step(at: Column, width: Column) -> Column:
+        upto = at + width
+        bound = {c: F.get(a, upto - 1) for c, a in arrays.items()}
+        return F.when((upto <= len(bounds)) & _behind(bound, order, flags), upto).otherwise(at)
 
-    return search(0, len(bounds))
+    widths = [F.lit(1 << digit) for digit in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*widths), F.lit(0), step)
 
 
 def ordered_cumsum(df: DataFrame, order: list[str], sums: dict[str, str],

@@ -17,6 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from ..sources.derived import DERIVED
 from ..sources.tables import table
 
@@ -40,6 +41,13 @@ def cached(spark: SparkSession, key: tuple, build, tables: tuple[str, ...] = MAR
                        lambda: build().persist(StorageLevel.MEMORY_AND_DISK), DataFrame.unpersist)
 
 
+def kept_small(spark: SparkSession, key: tuple, build, tables: tuple[str, ...] = MART_TABLES) -> DataFrame:
+    """A derived table whose number of rows is a parameter, written once to the shared checkpoint
+    folder until the files of its tables change.  A persisted table carries the plans of all that it
+    was made from into every plan built on it; this one is a leaf."""
+    return DERIVED.get(spark, key[1], key, tables, lambda: reliable_checkpoint(build()))
+
+
 def clear_cache() -> None:
     """Drop every derived table and model (benchmarks time queries from cold)."""
     DERIVED.clear()

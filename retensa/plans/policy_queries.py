@@ -11,11 +11,12 @@ from ..operators import metrics as M
 from ..operators import policy as P
 from ..operators import stats as S
 from ..operators.explain import is_immutable
+from ..session import reliable_checkpoint
 from .action_queries import (ACTIONABLE, ACTIONS_SQL, ATTR_SQL, INPUTS, KEY, LINEAGE,
                              priced, signal_table, value_table)
 from .registry import register
 from .rfm_queries import MART_RFM_SQL, mart_rfm_segments
-from .mart import cached
+from .mart import cached, kept_small
 from .scored import build_scored
 from .sqlgen import d
 
@@ -54,7 +55,7 @@ def _ev1(spark, sf_dir):
 
 
 def ev2_pool(spark, sf_dir):
-    return cached(spark, ("ev2_pool", sf_dir), lambda: _ev2_pool(spark, sf_dir))
+    return kept_small(spark, ("ev2_pool", sf_dir), lambda: _ev2_pool(spark, sf_dir))
 
 
 def _ev2_pool(spark, sf_dir):
@@ -63,7 +64,7 @@ def _ev2_pool(spark, sf_dir):
     clv = F.least(F.greatest(F.coalesce(F.col("monthly_charges"), F.lit(med)) * F.lit(24.0),
                              F.lit(100.0)), F.lit(100000.0))
     # actions are built and priced for the members of the pool alone
-    members = P.pool_members(s, KEY).cache()
+    members = reliable_checkpoint(P.pool_members(s, KEY))
     best = A.top_actions(A.dedupe_actions(priced(spark, sf_dir, members), KEY), KEY).where(
         F.col("action_rank") == 1)
     return P.ev2_pool(s, best, signal_table(spark, sf_dir, members), KEY, clv, INPUTS)
@@ -244,7 +245,7 @@ def q_policy_arms(spark, sf_dir):
 
 
 def boot(spark, sf_dir):
-    return cached(spark, ("boot", sf_dir), lambda: P.bootstrap_arms(spark, ev2_pool(spark, sf_dir)))
+    return kept_small(spark, ("boot", sf_dir), lambda: P.bootstrap_arms(spark, ev2_pool(spark, sf_dir)))
 
 
 @register("policy_bootstrap", f"""{EV2_SQL}

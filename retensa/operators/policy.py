@@ -11,6 +11,11 @@ generated with ``range`` and joined to the pool by position.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +55,13 @@ def mix32(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 16))
 
 
+def mix32_array(x: np.ndarray) -> np.ndarray:
+    """``mix32`` of whole numbers below 2**48: 32 bits are left of each round's product."""
+    for _ in range(2):
+        x = (x ^ (x >> 16)).astype(np.uint32) * np.uint32(MIX)
+    return x ^ (x >> 16)
+
+
 def sql_mix32(x: str) -> str:
     for _ in range(2):
         x = f"((xor({x}, ({x} >> 16)) * {MIX}) & {MASK32})"
@@ -247,19 +259,37 @@ def ab_bootstrap(t: DataFrame, key: str, n_boot: int = AB_BOOTSTRAP) -> DataFram
     """Interval of the total gain of policy B over A (EV3).
 
     No rows are drawn: in each of ``n_boot`` resamples a row's weight is a Poisson(1) count
-    from the hash of (seed, key), so one pass with partial sums per seed is enough.  Sums
-    are whole cents, exact in any order.
+    from the hash of (seed, key).  Every task adds up its rows per seed, an Arrow batch at a time, so
+    only ``n_boot`` sums a task are shuffled.  Sums are whole cents, exact in any order.
     """
     number = key_number(t, key)                # below 2**32 the key itself; the mixer needs as much
     folded = number.bitwiseXOR(F.shiftrightunsigned(number, 32)).bitwiseAND(F.lit(MASK32))
     cents = t.select(folded.alias("_key"), F.round((F.col("net_b") - F.col("net_a")) * 100).cast("long")
                      .alias("cents"))
-    each = cents.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    draw = mix32(F.col("seed").cast("long") * F.lit(1000003) + F.col("_key")) / F.lit(float(1 << 32))
-    weight = F.lit(0)
-    for step in POISSON_STEPS:
-        weight = weight + (draw >= F.lit(step)).cast("int")
-    gains = each.groupBy("seed").agg(F.sum(weight * F.col("cents")).alias("cents"))
+    # draw >= step for the draw bits / 2**32
+    steps = [np.uint32(math.ceil(step * (1 << 32))) for step in POISSON_STEPS]
+
+    def add_up(batches):
+        sums, rows, known = np.zeros(n_boot, dtype=np.int64), 0, 0
+        for batch in batches:
+            rows += batch.num_rows
+            both = pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid())
+            keys, gains = (batch.column(i).filter(both).to_numpy(zero_copy_only=False).astype(np.int64)
+                           for i in (0, 1))
+            known += len(keys)
+            for seed in range(n_boot):
+                bits = mix32_array(keys + seed * 1000003)
+                weight = np.zeros(len(keys), dtype=np.int8)
+                for step in steps:
+                    weight += bits >= step
+                sums[seed] += np.dot(weight.astype(np.int64), gains)
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(n_boot), pa.int32()), pa.array(sums, mask=np.full(n_boot, not known))],
+                names=["seed", "cents"])
+
+    each = cents.mapInArrow(add_up, "seed int, cents long")
+    gains = each.groupBy("seed").agg(F.sum("cents").alias("cents"))
     gain = F.col("cents") / 100.0
     return gains.agg(
         F.count(F.lit(1)).alias("resamples"), round_half_up(F.avg(gain), 2).alias("mean_gain"),

@@ -14,13 +14,13 @@ import statistics
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassificationModel,
+                                       RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +39,10 @@ SEED = 123
 MAX_CLASSES = 100
 #: rows of a training table that one task reads; a learner runs hundreds of short stages over them
 TASK_ROWS = 50_000
-#: fits that run at a time
+#: most fits that run at a time; see ``fits_at_a_time``
 PARALLEL_FITS = 8
+#: tasks a core that fits at a time should offer together
+TASKS_A_CORE = 4
 
 
 def add_folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
@@ -104,28 +106,43 @@ def laid_out(df: DataFrame, key: str) -> DataFrame:
 def prepare(train: DataFrame, others: list[DataFrame], numeric: list[str],
             categorical: list[str], key: str) -> tuple[PipelineModel, DataFrame, list[DataFrame]]:
     """Fit imputation and encoding once on the train split; every later fit
-    (folds, tuning, calibration) reuses the cached feature vectors."""
-    stages, _ = feature_stages(numeric, categorical)
+    (folds, tuning, calibration) reuses the cached feature vectors, without the columns
+    that they were assembled from."""
+    stages, made = feature_stages(numeric, categorical)
     train = train.cache()
     prep = Pipeline(stages=stages).fit(train)
     vec = prep.transform(laid_out(train, key))
     check_no_rfm([a["name"] for group in vec.schema["features"].metadata.get("ml_attr", {}).get(
         "attrs", {}).values() for a in group])
-    vec = vec.cache()
+    vec = vec.drop(*numeric, *categorical, *made, *[f"{c}__idx" for c in categorical]).cache()
     vec.count()
     train.unpersist()
     return prep, vec, [prep.transform(o) for o in others]
 
 
-def at_once(spark, jobs: list[Callable]) -> list:
-    """Results of independent jobs, ``PARALLEL_FITS`` of which run at a time, in their order."""
-    pool, carried = ThreadPool(max(1, min(PARALLEL_FITS, len(jobs)))), inheritable_thread_target(spark)
+def at_once(spark, jobs: list[Callable], most: int = PARALLEL_FITS) -> list:
+    """Results of independent jobs, ``most`` of which run at a time, in their order."""
+    pool, carried = ThreadPool(max(1, min(most, len(jobs)))), inheritable_thread_target(spark)
     try:
         return pool.map(lambda job: carried(job)(), jobs, chunksize=1)
     finally:
         pool.close()
 
 
+def fits_at_a_time(tasks: int, cores: int) -> int:
+    """Fits that fill the cores with stages of ``tasks`` tasks, two at least so that one runs while
+    the other waits for its last task.  Every fit holds a copy of its rows, so more than that
+    only takes memory: a table of many tasks is fit by few at a time."""
+    return max(2, min(PARALLEL_FITS, math.ceil(TASKS_A_CORE * cores / max(1, tasks))))
+
+
+def fit_at_once(train: DataFrame, jobs: list[Callable]) -> list:
+    """Results of fits on ``train`` or parts of it, as many at a time as its tasks leave room for."""
+    spark = train.sparkSession
+    return at_once(spark, jobs, fits_at_a_time(train.rdd.getNumPartitions(),
+                                               spark.sparkContext.defaultParallelism))
+
+
 def fold_parts(train: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
     """(rows of the other folds, rows of the fold) for every fold; neither may be empty."""
     n = {r["fold"]: r["count"] for r in train.groupBy("fold").count().limit(folds + 1).collect()}
@@ -135,26 +152,94 @@ def fold_parts(train: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]
     return [(train.where(F.col("fold") != k), train.where(F.col("fold") == k)) for k in range(folds)]
 
 
+def cut_forest(model: RandomForestClassificationModel, depth: int) -> RandomForestClassificationModel:
+    """The forest that the same fit gives with ``maxDepth`` = ``depth``, from a deeper one.
+
+    MLlib grows all trees level by level and draws a node's features in that order, so the first
+    levels do not depend on how many follow (see ``level_by_level``).  Nodes at ``depth`` become
+    leaves, and two leaves of one class become one, as in MLlib's own last step."""
+    jvm, gateway = SparkContext._active_spark_context._jvm, SparkContext._active_spark_context._gateway
+    ml, java = jvm.org.apache.spark.ml, model._java_obj
+
+    def cut(node, levels: int):
+        if not node.subtreeDepth():
+            return node
+        if levels:
+            a, b = cut(node.leftChild(), levels - 1), cut(node.rightChild(), levels - 1)
+            if a.subtreeDepth() or b.subtreeDepth() or a.prediction() != b.prediction():
+                return ml.tree.InternalNode(node.prediction(), node.impurity(), node.gain(), a, b, node.split(),
+                                            node.impurityStats())
+        return ml.tree.LeafNode(node.prediction(), node.impurity(), node.impurityStats())
+
+    trees = java.trees()
+    out = gateway.new_array(ml.classification.DecisionTreeClassificationModel, len(trees))
+    for i, tree in enumerate(trees):
+        out[i] = ml.classification.DecisionTreeClassificationModel(
+            tree.uid(), cut(tree.rootNode(), depth), tree.numFeatures(), tree.numClasses())
+    forest = ml.classification.RandomForestClassificationModel(
+        f"{java.uid()}_{depth}", out, java.numFeatures(), java.numClasses())
+    return RandomForestClassificationModel(java.copyValues(forest, ml.param.ParamMap.empty()))
+
+
+def level_by_level(est, params: dict, model) -> bool:
+    """Whether the counts of the widest level of all trees fit in the memory of one of MLlib's groups of
+    nodes, so that every level was grown at once."""
+    has = est.extractParamMap(params)
+    nodes = has[est.numTrees] * 2 ** (has[est.maxDepth] - 1)
+    counts = model.numFeatures * has[est.maxBins] * (model.numClasses + 1)
+    return nodes * counts * 8 <= has[est.maxMemoryInMB] * 2 ** 20
+
+
+def nested(candidates: list) -> list[list[int]]:
+    """Places of the candidates that one fit serves, the deepest first: forests of one estimator that
+    differ in depth only.  Any other candidate stands alone."""
+    groups: dict = {}
+    for i, (est, params) in enumerate(candidates):
+        forest = isinstance(est, RandomForestClassifier)
+        rest = frozenset((p.name, v) for p, v in params.items() if p.name != "maxDepth") if forest else i
+        groups.setdefault((id(est), rest), []).append(i)
+    return [sorted(group, key=lambda i: -candidates[i][0].extractParamMap(candidates[i][1]).get(
+        getattr(candidates[i][0], "maxDepth", None), 0)) for group in groups.values()]
+
+
 def cross_validate(candidates: list, train: DataFrame, label: str, folds: int) -> list[float]:
     """Mean AUC over the folds of every candidate (estimator, parameters).
 
     Fits are independent, so all candidates and folds share one pool; a cross validator of MLlib
-    runs the folds of one candidate one after the other."""
+    runs the folds of one candidate one after the other.  Forests that differ in depth only are fit
+    once, at the greatest depth, and cut."""
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    parts = fold_parts(train, folds)
-
-    def one(est, params, others, own):
-        return lambda: ev.evaluate(est.fit(others, params).transform(own))
-
-    aucs = at_once(train.sparkSession, [one(est, params, *part) for est, params in candidates for part in parts])
-    return [sum(aucs[i * folds:(i + 1) * folds]) / folds for i in range(len(candidates))]
+    parts, groups = fold_parts(train, folds), nested(candidates)
+
+    def one(group, others, own):
+        def job():
+            est, deepest = candidates[group[0]]
+            model, out = est.fit(others, deepest), []
+            for i in group:
+                params = candidates[i][1]
+                if i == group[0]:
+                    at = model
+                elif level_by_level(est, deepest, model):
+                    at = cut_forest(model, est.extractParamMap(params)[est.maxDepth])
+                else:
+                    at = est.fit(others, params)
+                out.append(ev.evaluate(at.transform(own)))
+            return out
+        return job
+
+    aucs = fit_at_once(train, [one(group, *part) for group in groups for part in parts])
+    mean = {}
+    for g, group in enumerate(groups):
+        for k, i in enumerate(group):
+            mean[i] = sum(by_fold[k] for by_fold in aucs[g * folds:(g + 1) * folds]) / folds
+    return [mean[i] for i in range(len(candidates))]
 
 
 def compare(train: DataFrame, label: str, folds: int) -> list[dict]:
     """Cross-validated AUC of every learner on the same folds (ML4)."""
     each = learners(label, "weight")
     aucs = cross_validate([(est, {}) for est in each.values()], train, label, folds)
-    models = at_once(train.sparkSession, [lambda est=est: est.fit(train) for est in each.values()])
+    models = fit_at_once(train, [lambda est=est: est.fit(train) for est in each.values()])
     return [{"name": name, "cv_auc": float(auc), "model": model, "estimator": est}
             for (name, est), auc, model in zip(each.items(), aucs, models)]
 
@@ -168,28 +253,29 @@ def holdout_row(model, test: DataFrame, label: str, name: str, cv_auc: float,
 
 
 def tune(best: dict, train: DataFrame, label: str, folds: int) -> tuple[PipelineModel, float, bool]:
-    """Small grid on the winner; keep it only when the CV AUC improves (ML5)."""
+    """Small grid on the winner; keep it only when the CV AUC improves (ML5).
+
+    The winner's own parameters are a point of the grid: its AUC on these folds is ``best["cv_auc"]``."""
     est = best["estimator"]
-    grid = ParamGridBuilder()
     if isinstance(est, LogisticRegression):
-        grid = grid.addGrid(est.regParam, [0.0, 0.01, 0.1])
+        param, values = est.regParam, [0.0, 0.01, 0.1]
     elif isinstance(est, RandomForestClassifier):
-        grid = grid.addGrid(est.maxDepth, [4, 6, 8])
+        param, values = est.maxDepth, [4, 6, 8]
     else:
-        grid = grid.addGrid(est.maxDepth, [3, 4, 5])
-    grid = grid.build()
-    aucs = cross_validate([(est, params) for params in grid], train, label, folds)
-    auc = max(aucs)
-    if auc > best["cv_auc"]:
-        return est.fit(train, grid[aucs.index(auc)]), auc, True
+        param, values = est.maxDepth, [3, 4, 5]
+    own = est.getOrDefault(param)
+    rest = [v for v in values if v != own]
+    aucs = dict(zip(rest, cross_validate([(est, {param: v}) for v in rest], train, label, folds)))
+    value = max(rest, key=aucs.get)
+    if aucs[value] > best["cv_auc"]:
+        return est.fit(train, {param: value}), aucs[value], True
     return best["model"], best["cv_auc"], False
 
 
 def out_of_fold_scores(best: dict, train: DataFrame, label: str, folds: int, key: str) -> DataFrame:
     """Score each fold with a model fit on the other folds."""
     parts = fold_parts(train, folds)
-    fitted = at_once(train.sparkSession,
-                     [lambda others=others: best["estimator"].fit(others) for others, _ in parts])
+    fitted = fit_at_once(train, [lambda others=others: best["estimator"].fit(others) for others, _ in parts])
     parts = [positive_score(m.transform(own)).select(key, label, "score")
              for m, (_, own) in zip(fitted, parts)]
     out = parts[0]

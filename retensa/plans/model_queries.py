@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import features
@@ -28,7 +29,7 @@ def training(spark, sf_dir):
 
 def _train(spark, sf_dir):
     m = build_mart(spark, sf_dir)
-    sp = features.stratified_split(m, KEY, LABEL)
+    sp = features.stratified_split(m, KEY, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
     st = m.agg(F.sum(LABEL).alias("p"), F.count(F.lit(1)).alias("n")).first()
     folds = features.adaptive_folds(int(st["p"]), int(st["n"]))
     train = MD.add_folds(MD.class_weights(sp.where(F.col("split") == "train"), LABEL), KEY, folds)
@@ -41,6 +42,7 @@ def _train(spark, sf_dir):
     board = MD.at_once(spark, [lambda r=r: MD.holdout_row(r["model"], test, LABEL, r["name"], r["cv_auc"], KEY)
                                for r in results])
     test.unpersist()
+    sp.unpersist()
     best = max(results, key=lambda r: (r["cv_auc"], r["name"]))
     return {"mart": everyone, "train": train, "test": test, "folds": folds, "results": results,
             "board": board, "best": best}
